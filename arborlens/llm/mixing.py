@@ -86,7 +86,7 @@ def plan(sizes: DataFrame, entropy: float = ENTROPY, max_passes: float = MAX_PAS
     whole = max(total, 1)
     norm = shares.where("tokens > 0").agg(F.sum(F.exp(F.lit(t) * F.log(F.col("tokens") / F.lit(float(whole)))))).first()[0] or 1.0
     weight = F.when(F.col("tokens") > 0, F.exp(F.lit(t) * F.log(F.col("tokens") / F.lit(float(whole)))) / F.lit(norm)).otherwise(0.0)
-    wanted = shares.select("key", F.col("tokens").alias("have"), F.floor(F.lit(float(budget)) * weight).cast("bigint").alias("want"))
+    wanted = shares.select("key", F.col("tokens").alias("have"), F.floor(F.lit(float(budget)) * weight + 0.5).cast("bigint").alias("want"))
     wanted = wanted.withColumn("passes", F.when(F.col("have") > 0, F.expr("want div have")).otherwise(F.lit(0)))
     uses = sizes.join(wanted, "key").withColumn("pass_no", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("passes"))))
     order = Window.partitionBy("key", "pass_no").orderBy(F.md5(F.concat_ws(":", "key", F.col("pass_no").cast("string"), F.col("block").cast("string")).cast("binary")), "block")
@@ -144,7 +144,7 @@ ex AS (SELECT least(1.0, greatest(
     CASE WHEN (SELECT sum(-exp(lp) * lp) FROM logs) >= {ENTROPY} * ln(n) - 1e-9 THEN 1.0 ELSE (SELECT low FROM e{last}) END,
     CASE WHEN (SELECT low FROM r{last}) = 0 AND 1.0 / n / (SELECT exp(min(lp)) FROM logs) <= {MAX_PASSES} THEN 0.0 ELSE (SELECT low FROM r{last}) + 1.0 / {32**ROUNDS} END)) AS t FROM tot),
 norm AS (SELECT sum(exp(t * lp)) AS z FROM logs, ex),
-want AS (SELECT key, tokens AS have, CASE WHEN tokens > 0 THEN floor(total::DOUBLE * (exp(t * ln(tokens / total::DOUBLE)) / z))::BIGINT ELSE 0 END AS want FROM shares, tot, ex, norm),
+want AS (SELECT key, tokens AS have, CASE WHEN tokens > 0 THEN floor(total::DOUBLE * (exp(t * ln(tokens / total::DOUBLE)) / z) + 0.5)::BIGINT ELSE 0 END AS want FROM shares, tot, ex, norm),
 pas AS (SELECT *, CASE WHEN have > 0 THEN want // have ELSE 0 END AS passes FROM want),
 uses AS (SELECT s.key, s.block, s.tokens, p.have, p.want, p.passes, unnest(range(0, p.passes + 1)) AS pass_no FROM sizes s JOIN pas p USING (key)),
 ranked AS (SELECT *, row_number() OVER w AS block_rank, sum(tokens) OVER w AS upto FROM uses

@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import text_stats
-from .common import free_name, map_batches, text_of
+from .common import free_name, map_batches, stored, text_of
 
 #: Measure, numerator, denominator and spread floor: 1000 * n_symbols div n_words and so on. The floor keeps a group
 #: whose quartiles coincide from rejecting what differs a little.
@@ -125,26 +125,26 @@ def filter_quality(docs: DataFrame, text_col: str = "text", groups: tuple[str, .
     The texts are counted once for the sketches and once for the filter; only counts are shuffled.
     """
     c = free_name("rule_counts", docs.columns)
-    lean = counted(docs.select(*{text_col: 0, **dict.fromkeys(groups)}), text_col, c)
+    lean = counted(docs.select(*dict.fromkeys([text_col, *groups])), text_col, c)
     keys = [f"__g{k}" for k in range(len(groups))]
     renamed = [F.col(g).alias(k) for g, k in zip(groups, keys, strict=True)]
     base = F.expr(BASE_FAILED)
     measured = lean.select(*renamed, f"{c}.*").where(~base).select(*keys, *_measured())
-    fences = thresholds(sketches(measured, keys), keys)
+    fences = stored(thresholds(sketches(measured, keys), keys), "fences")  # of known size, so a small one is broadcast
     full = counted(docs, text_col, c)
     rows = full.select(*renamed, F.struct(*[F.col(f"`{x}`") for x in full.columns]).alias("__row"), f"{c}.*").where(~base)
     kept = judged(rows.select(*keys, "__row", *_measured()), fences, keys, "__kept").where("__kept")
     return kept.select(*[F.col(f"__row.`{x}`").alias(x) for x in docs.columns])
 
 
-def assess(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", groups: tuple[str, ...] = ("lang", "source"), store=lambda df: df) -> DataFrame:
-    """One row a document: id, the counts, base_failed, the measures and kept. `store` makes the counts durable, so that texts are read once."""
+def assess(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", groups: tuple[str, ...] = ("lang", "source")) -> DataFrame:
+    """One row a document: id, the counts, base_failed, the measures and kept. The counts are stored, so that texts are read once."""
     c = "__counts"
     keys = [f"__g{k}" for k in range(len(groups))]
     lean = docs.select(F.col(id_col).alias("__id"), F.col(text_col).alias("__text"), *[F.col(g).alias(k) for g, k in zip(groups, keys, strict=True)])
-    found = store(counted(lean, "__text", c).select("__id", *keys, f"{c}.*"))
+    found = stored(counted(lean, "__text", c).select("__id", *keys, f"{c}.*"), "counts")
     measured = found.withColumn("base_failed", F.expr(BASE_FAILED)).select("*", *_measured())
-    fences = thresholds(sketches(measured.where("not base_failed"), keys), keys)
+    fences = stored(thresholds(sketches(measured.where("not base_failed"), keys), keys), "fences")
     out = judged(measured, fences, keys, "__inside")
     return out.select(F.col("__id").alias(id_col), *_COLUMNS, "base_failed", *[m for m, *_ in MEASURES], (F.col("__inside") & ~F.col("base_failed")).alias("kept"))
 

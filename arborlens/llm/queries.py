@@ -17,7 +17,7 @@ def op1_bradley_terry(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_adaptive_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = quality_rules.assess(table(spark, sf_dir, "documents"), store=lambda df: stored(df, "counts"))
+    found = quality_rules.assess(table(spark, sf_dir, "documents"))
     return found.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 

@@ -6,9 +6,10 @@ reported speech as reported. The clause one collects what a clause holds, and ac
 clause ends at a word that ends in . ! ? ; : or a comma, or at a line's end. A document's features are the sums of clause weights
 by kind; a logistic model turns them into a score.
 
-Insults are learned from the labelled rows: words, and word beginnings of 4 to 6 letters, that toxic documents have far
-more often than others (a likelihood ratio well beyond chance, and 20 times the odds). Near copies in the sample count
-once together: a document weighs one over the size of its largest group of equal minima of word hashes. Model weights
+Insults are learned from the labelled rows: words, and word beginnings of 3 to 8 letters, that toxic documents have far
+more often than others (a likelihood ratio well beyond chance, and 8 times the odds). The log of the odds is the weight of the
+lexical transducer's arc, so a doubtful word counts less than a plain one. Near copies in the sample count
+once together: a document weighs one over the size of its largest group of equal minima of shingle hashes. Model weights
 start from priors for kinds that the labels don't show. The fit uses at most TOXIC rows labelled 1 and CLEAN rows
 labelled 0, those with the smallest hashes of their ids; scoring covers every whole text.
 
@@ -32,7 +33,7 @@ from pyspark.sql import functions as F
 from . import kernels
 from .common import map_batches, stored, text_of
 
-TOXIC, CLEAN = 4_000, 12_000
+TOXIC, CLEAN, ODDS = 4_000, 12_000, 8.0
 NONE, INSULT, THREAT, TARGET, NEGATION, REPORT, NEGATED_INSULT, NEGATED_THREAT, REPORTED_INSULT, REPORTED_THREAT = range(10)
 
 #: Seed words; what the labels teach comes on top.
@@ -45,6 +46,8 @@ SEEDS = {
 }
 _EDGE = re.compile(r"^[\W_]+|[\W_]+$")
 _ENDS = tuple(".!?;:,")
+#: Letters of the beginnings that are learned.
+LENGTHS = range(3, 9)
 
 
 # -- transducers -----------------------------------------------------------------------------------------------------
@@ -74,12 +77,12 @@ class Transducer:
                 finals[number[(a, b)]] = after.finals[b]
         return Transducer(arcs, finals)
 
-    def run(self, symbols: list[int]) -> tuple[str | None, float]:
-        """The kind and the weight of an accepted sequence."""
+    def run(self, symbols: list[tuple[int, float]]) -> tuple[str | None, float]:
+        """The kind and the weight of an accepted sequence of symbols and the weights that they bring."""
         state, total = 0, 0.0
-        for x in symbols:
+        for x, own in symbols:
             state, _, weight = self.arcs[state][x]
-            total += weight
+            total += own + weight
         kind, weight = self.finals.get(state, (None, 0.0))
         return kind, total + weight
 
@@ -100,14 +103,14 @@ KINDS = {"targeted_insult": 3.0, "insult": 3.0, "targeted_threat": 3.0, "threat"
 
 
 def clause_grammar() -> Transducer:
-    """States are sets of what the clause has held: insult 1, threat 2, target 4, negated 8, reported 16. A second insult adds half."""
+    """States are sets of what the clause has held: insult 1, threat 2, target 4, negated 8, reported 16. A target beside an insult adds a quarter."""
     bit = {INSULT: 1, THREAT: 2, TARGET: 4, NEGATED_INSULT: 8, NEGATED_THREAT: 8, REPORTED_INSULT: 16, REPORTED_THREAT: 16}
     arcs, finals = [], {}
     for held in range(32):
-        arcs.append([(held | bit.get(x, 0), x, 0.5 if x == INSULT and held & 1 else 0.0) for x in range(10)])
+        arcs.append([(held | bit.get(x, 0), x, 0.25 if x == TARGET and held & 5 == 1 or x == INSULT and held & 5 == 4 else 0.0) for x in range(10)])
         kind = "insult_and_threat" if held & 3 == 3 else ("targeted_" if held & 4 else "") + ("insult" if held & 1 else "threat") if held & 3 else "reported" if held & 16 else "negated" if held & 8 else None
         if kind:
-            finals[held] = (kind, 1.0)
+            finals[held] = (kind, 0.0)
     return Transducer(arcs, finals)
 
 
@@ -120,23 +123,25 @@ def stripped(word: str) -> str:
 
 @dataclass
 class Lexicon:
-    """Words to symbols; insult beginnings by length."""
+    """Words to (symbol, weight); insult beginnings to weights."""
 
-    whole: dict[str, int]
-    beginnings: frozenset[str] = frozenset()
+    whole: dict[str, tuple[int, float]]
+    beginnings: dict[str, float] = field(default_factory=dict)
 
-    def symbol(self, word: str) -> int:
+    def symbol(self, word: str) -> tuple[int, float]:
         w = stripped(word)
         if not w:
-            return NONE
-        x = self.whole.get(w, NONE)
-        if x == NONE and any(w[:k] in self.beginnings for k in (4, 5, 6) if len(w) >= k):
-            return INSULT
-        return x
+            return NONE, 0.0
+        x, weight = self.whole.get(w, (NONE, 0.0))
+        if x in (NONE, INSULT):
+            best = max([self.beginnings.get(w[:k], 0.0) for k in LENGTHS if len(w) >= k], default=0.0)
+            if best > weight:
+                return INSULT, best
+        return x, weight
 
 
 def seed_lexicon() -> Lexicon:
-    return Lexicon({w: kind for kind, ws in SEEDS.items() for w in ws.split()})
+    return Lexicon({w: (kind, 1.0 if kind in (INSULT, THREAT) else 0.0) for kind, ws in SEEDS.items() for w in ws.split()})
 
 
 class Grammar:
@@ -145,6 +150,7 @@ class Grammar:
     def __init__(self, lexicon: Lexicon):
         self.lexicon, self.machine = lexicon, scope_grammar().compose(clause_grammar())
         self.known: dict[str, int] = {}
+        self.weights: dict[str, float] = {}
         self.places = {k: i for i, k in enumerate(KINDS)}
 
     def __getstate__(self):
@@ -153,28 +159,34 @@ class Grammar:
     def __setstate__(self, state):
         self.__init__(state["lexicon"])
 
+    def _code(self, word: str) -> int:
+        """Symbol, 16 if the word ends a clause; kept while the cache is small."""
+        x, weight = self.lexicon.symbol(word)
+        if weight:
+            self.weights[word] = weight
+        return x | (16 if word.endswith(_ENDS) else 0)
+
     def clauses(self, text: str) -> list[tuple[str, float]]:
         """(kind, weight) of each clause that holds an insult or a threat."""
         out = []
+        if len(self.known) > 400_000:
+            self.known, self.weights = {}, {}
+        known = self.known
         for line in text.split("\n"):
             ws = line.split()
             try:
-                xs = [self.known[w] for w in ws]
+                xs = [known[w] for w in ws]
             except KeyError:
                 for w in ws:
-                    if w not in self.known:
-                        if len(self.known) > 400_000:
-                            self.known.clear()
-                        x = self.lexicon.symbol(w)
-                        self.known[w] = x | (16 if w.endswith(_ENDS) else 0)
-                    # a cleared cache is refilled below
-                xs = [self.known[w] if w in self.known else self.lexicon.symbol(w) | (16 if w.endswith(_ENDS) else 0) for w in ws]
+                    if w not in known:
+                        known[w] = self._code(w)
+                xs = [known[w] for w in ws]
             if not any(x & 15 in (INSULT, THREAT) for x in {*xs}):
                 continue
-            clause: list[int] = []
-            for x in [*xs, 16]:
+            clause: list[tuple[int, float]] = []
+            for w, x in zip([*ws, ""], [*xs, 16], strict=True):
                 if x & 15:
-                    clause.append(x & 15)
+                    clause.append((x & 15, self.weights.get(w, 0.0)))
                 if x & 16:
                     if clause:
                         kind, weight = self.machine.run(clause)
@@ -184,12 +196,14 @@ class Grammar:
         return out
 
     def features(self, texts: list[str]) -> np.ndarray:
-        """A row for each text: min(sum of clause weights, 4) of each kind."""
-        x = np.zeros((len(texts), len(KINDS)))
+        """A row for each text: the sum of clause weights of each kind, to 6 at most, and the density, 100 times all of them over 50 more than the words."""
+        x = np.zeros((len(texts), len(KINDS) + 1))
         for i, t in enumerate(texts):
-            for kind, weight in self.clauses(t):
-                x[i, self.places[kind]] += weight
-        return np.minimum(x, 4.0)
+            if found := self.clauses(t):
+                for kind, weight in found:
+                    x[i, self.places[kind]] += weight
+                x[i, -1] = 100 * x[i].sum() / (50 + t.count(" ") + t.count("\n"))
+        return np.minimum(x, 6.0)
 
 
 # -- learning --------------------------------------------------------------------------------------------------------
@@ -197,6 +211,8 @@ class Grammar:
 
 @dataclass
 class Model:
+    """Weights of the clause kinds and of the density, and a bias."""
+
     grammar: Grammar
     weights: np.ndarray
     bias: float
@@ -206,18 +222,19 @@ class Model:
 
 
 def terms(text: str) -> set[str]:
-    """A text's words, and their beginnings of 4 to 6 letters as beginning + '*'."""
+    """A text's words, and their beginnings of 3 to 8 letters as beginning + '*'."""
     ws = {stripped(w) for w in set(text.split())} - {""}
-    return {w for w in ws if len(w) >= 3} | {f"{w[:k]}*" for w in ws for k in (4, 5, 6) if len(w) >= k}
+    return {w for w in ws if len(w) >= 3} | {f"{w[:k]}*" for w in ws for k in LENGTHS if len(w) >= k}
 
 
 def minima(texts: list[str], n: int = 8) -> np.ndarray:
-    """The least of n hashes over each text's words: near copies agree in most of them."""
+    """The least of n hashes over each text's runs of four words: near copies agree in most of them, other texts in none."""
     salts = kernels.mix(np.arange(1, n + 1, dtype=np.uint64))
     low = np.zeros((len(texts), n), np.uint64)
     data, offsets = kernels.buffers(pa.array(texts, pa.large_string()))
     for i in range(len(texts)):
         h = kernels.words(data[offsets[i] : offsets[i + 1]], np.zeros(1, np.int64), fold=True)[2]
+        h = kernels.shingles(h, np.zeros(len(h), np.int64), 4)[0]
         low[i] = [kernels.mix(h ^ s).min() if len(h) else 0 for s in salts]
     return low
 
@@ -240,16 +257,32 @@ def term_sums(texts: list[str], y: list[int], weights: list[float]) -> dict[str,
     return out
 
 
-def lexicon_of(sums: dict[str, list[float]], total: list[float], least: float = 28.0, odds: float = 20.0) -> Lexicon:
-    """The seed words and the terms that set the documents labelled 1 apart."""
-    found, beginnings = seed_lexicon(), set()
+def lexicon_of(sums: dict[str, list[float]], total: list[float], least: float = 28.0, odds: float = ODDS) -> Lexicon:
+    """The seed words and the terms that set the documents labelled 1 apart. A beginning goes if one longer
+    beginning or word stands for nine tenths of what it finds, or plainer ones of one more letter for eight tenths; a longer one goes if a
+    shorter one that stays has its weight."""
+    good = {}
     for t, (b, a) in sums.items():
-        if a >= 2 and _ratio(a, total[1], b, total[0]) >= least and (a + 0.5) / (total[1] - a + 0.5) >= odds * (b + 0.5) / (total[0] - b + 0.5):
-            if t.endswith("*"):
-                beginnings.add(t[:-1])
-            else:
-                found.whole[t] = INSULT
-    return Lexicon(found.whole, frozenset(beginnings))
+        gain = math.log((a + 0.5) / (total[1] - a + 0.5)) - math.log((b + 0.5) / (total[0] - b + 0.5))
+        if a >= 2 and gain >= math.log(odds) and _ratio(a, total[1], b, total[0]) >= least:
+            good[t] = (a, min(gain / 5, 1.5))
+    longer: dict[str, float] = defaultdict(float)  # the most that one extension of a beginning finds
+    for t, (a, _) in good.items():
+        for k in LENGTHS:
+            if k < len(t.rstrip("*")) or (k == len(t) and t[-1] != "*"):
+                longer[t[:k]] = max(longer[t[:k]], a)
+    plainer: dict[str, float] = defaultdict(float)
+    for t, (a, weight) in good.items():
+        if t[-1] == "*" and weight >= good.get(f"{t[:-2]}*", (0, 9.0))[1] + 0.1:
+            plainer[t[:-2]] += a
+    found = seed_lexicon()
+    for t in sorted(good, key=lambda t: (len(t.rstrip("*")), t)):
+        a, weight = good[t]
+        if t[-1] != "*":
+            found.whole[t] = (INSULT, weight)
+        elif longer[t[:-1]] < 0.9 * a and plainer[t[:-1]] < 0.8 * a and not any(found.beginnings.get(t[:k], 0) >= weight for k in LENGTHS if k < len(t) - 1):
+            found.beginnings[t[:-1]] = weight
+    return found
 
 
 def _ratio(a: float, n: float, b: float, m: float) -> float:
@@ -267,25 +300,33 @@ def _ratio(a: float, n: float, b: float, m: float) -> float:
 
 def fit(grammar: Grammar, x: np.ndarray, y: np.ndarray) -> Model:
     """Weights of clause kinds from features x and labels y, near the priors where the rows say little."""
-    prior = np.array([*KINDS.values()])
+    prior = np.array([*KINDS.values(), 0.0])
     if not (y == 1).any() or not (y == 0).any():
         return Model(grammar, prior, -2.0)
     x = np.c_[x, np.ones(len(x))]
-    mean, hold = np.r_[prior, -2.0], np.r_[np.full(len(prior), 1.0), 0.05]
+    mean, hold = np.r_[prior, -2.0], np.r_[np.full(len(prior), 0.5), 0.05]
     w = mean.copy()
     each = np.where(y == 1, 0.5 / (y == 1).mean(), 0.5 / (y == 0).mean())
+
+    def loss(w: np.ndarray) -> float:
+        z = np.where(y == 1, x @ w, -(x @ w))
+        return float(each @ np.logaddexp(0, -z) + 0.5 * hold @ (w - mean) ** 2)
+
     for _ in range(50):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
         step = np.linalg.solve((x * (each * p * (1 - p))[:, None]).T @ x + np.diag(hold), x.T @ (each * (y - p)) - hold * (w - mean))
-        w += step
-        if np.abs(step).max() < 1e-7:
+        now, size = loss(w), 1.0
+        while loss(w + size * step) > now and size > 1e-6:
+            size /= 2
+        w = w + size * step
+        if np.abs(size * step).max() < 1e-6:
             break
     return Model(grammar, w[:-1], float(w[-1]))
 
 
 def learn(docs: DataFrame, labels: DataFrame, label: str, allowed: Column, id_col: str = "doc_id", text_col: str = "text") -> Model:
     """Fit on the labelled rows that are allowed (a condition on `id`). Texts stay on the executors; the driver gets, of
-    at most TOXIC + CLEAN documents, eight hashes and seven features each, and the terms that pass a first test."""
+    at most TOXIC + CLEAN documents, eight hashes and a few features each, and the terms that pass a first test."""
     marks = labels.select(F.col(id_col).alias("id"), F.col(label).alias("y")).where(allowed & F.col("y").isin(0, 1) & F.col("id").isNotNull())
     marks = marks.groupBy("id").agg(F.max("y").cast("int").alias("y"))
     some = None
@@ -314,7 +355,7 @@ def learn(docs: DataFrame, labels: DataFrame, label: str, allowed: Column, id_co
     lexicon = seed_lexicon()
     if total[0] and total[1]:
         sums = map_batches(sample, sums_of, "term string, w0 double, w1 double").groupBy("term").agg(F.round(F.sum("w0"), 6).alias("w0"), F.round(F.sum("w1"), 6).alias("w1"))
-        sums = sums.where(f"w1 >= 2 and (w1 + 0.5) * ({total[0]!r} - w0 + 0.5) >= 20 * (w0 + 0.5) * ({total[1]!r} - w1 + 0.5)")
+        sums = sums.where(f"w1 >= 2 and (w1 + 0.5) * ({total[0]!r} - w0 + 0.5) >= {ODDS} * (w0 + 0.5) * ({total[1]!r} - w1 + 0.5)")
         lexicon = lexicon_of({r["term"]: [r["w0"], r["w1"]] for r in sums.collect()}, total)
     grammar = Grammar(lexicon)
 
@@ -324,7 +365,7 @@ def learn(docs: DataFrame, labels: DataFrame, label: str, allowed: Column, id_co
         return pa.RecordBatch.from_arrays([batch.column(2), flat], ["y", "x"])
 
     seen = sorted(map(tuple, map_batches(sample, features_of, "y int, x array<double>").collect()))
-    return fit(grammar, np.array([r[1] for r in seen], float).reshape(len(seen), len(KINDS)), np.array([r[0] for r in seen], int))
+    return fit(grammar, np.array([r[1] for r in seen], float).reshape(len(seen), len(KINDS) + 1), np.array([r[0] for r in seen], int))
 
 
 def scored(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
