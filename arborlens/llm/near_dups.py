@@ -10,9 +10,10 @@
    pivot, the class with the least hash for that value. A pair is a candidate if the union of both sketches estimates a similarity
    of half the threshold or more.
 4. Candidates are verified on full sets; links give connected components.
-5. Long lists that still hold several components are finished exactly: every class outside the list's main component
-   meets every other class of the list, block by block. A group of thousands of similar documents has become one component by
-   then, so this costs what the strays cost; nothing is dropped or capped.
+5. Long lists that still hold several components are finished exactly. Lists with the same main component are one group, in which
+   every class outside that component meets every other class, full set against full set, block by block; of a pair of blocks only
+   links between components that it hasn't linked yet come out. A group of thousands of similar documents is mostly one
+   component by then, so this costs what the strays cost; nothing is dropped or capped.
 
 Cases: a null or wordless text has no set and is linked with nothing; with fewer words than a shingle the whole
 sequence is one; rows with one id are one document; a row without an id is linked with nothing; an empty table gives an empty result.
@@ -31,7 +32,9 @@ from . import kernels as K
 from .common import connected_components, map_batches, stored, text_of
 
 SIZE, THRESHOLD, RETAINED, SHARE = 5, 0.8, 32, 0.4
-SHORT, PORTION, BLOCK = 16, 512, 256
+SHORT, PORTION = 16, 512
+#: Values of full sets in a block of step 5.
+BLOCK = 1 << 17
 
 
 def _sets(texts: pa.Array, size: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
@@ -111,28 +114,36 @@ def _list_candidates(k: int, least: float):
     return run
 
 
-def _block_candidates(k: int, least: float):
-    """Over rows (ids, components, sketches of one block, and of the other): candidate pairs of different components."""
+def _block_links(threshold: float):
+    """Over the rows (comp, id, stray, members) of two blocks: links between strays and others, one for each pair of components.
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            out = []
-            for row in batch.to_pylist():
-                left, right = row["left"], row["right"]
-                values = np.concatenate([np.array(x["sketch"], np.int64) for x in right])
-                owner = np.repeat(np.arange(len(right)), [len(x["sketch"]) for x in right])
-                order = np.argsort(values, kind="stable")
-                values, owner = values[order], owner[order]
-                for x in left:
-                    mine = np.array(x["sketch"], np.int64)
-                    lo, hi = np.searchsorted(values, mine, "left"), np.searchsorted(values, mine, "right")
-                    hits = np.bincount(owner[np.repeat(lo - (np.cumsum(hi - lo) - (hi - lo)), hi - lo) + np.arange((hi - lo).sum())], minlength=len(right))
-                    for j in np.flatnonzero(hits >= least * len(mine)):
-                        y = right[j]
-                        if y["comp"] != x["comp"] and estimate(mine.view(np.uint64), np.array(y["sketch"], np.int64).view(np.uint64), k) >= least:
-                            out.append((min(x["id"], y["id"]), max(x["id"], y["id"])))
-            if out:
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*out, strict=True)], ["a", "b"])
+    All intersections of a stray with the other block's sets come from one lookup in that block's sorted values.
+    """
+    percent = round(threshold * 100)
+
+    def run(rows: pa.Table) -> pa.Table:
+        ids, comps = rows.column("id").combine_chunks(), rows.column("comp").combine_chunks().dictionary_encode().indices.to_numpy()
+        stray = rows.column("stray").combine_chunks().to_numpy(zero_copy_only=False)
+        sets = [np.frombuffer(m.as_buffer(), np.uint64) for chunk in rows.column("members").chunks for m in chunk]
+        right = np.flatnonzero(~stray)
+        sizes = np.array([len(sets[r]) for r in right], np.int64)
+        values = np.concatenate([sets[r] for r in right]) if len(right) else np.zeros(0, np.uint64)
+        owner = np.repeat(np.arange(len(right)), sizes)
+        order = np.argsort(values, kind="stable")
+        values, owner = values[order], owner[order]
+        out, linked = [], set()
+        for x in np.flatnonzero(stray):
+            lo, hi = np.searchsorted(values, sets[x], "left"), np.searchsorted(values, sets[x], "right")
+            n = hi - lo
+            both = np.bincount(owner[np.repeat(lo - (np.cumsum(n) - n), n) + np.arange(n.sum())], minlength=len(right))
+            good = 100 * both >= percent * (len(sets[x]) + sizes - both)
+            for y in right[good & (comps[right] != comps[x])]:
+                pair = (min(comps[x], comps[y]), max(comps[x], comps[y]))
+                if pair not in linked:
+                    linked.add(pair)
+                    out.append((x, y))
+        left, other = (ids.take(pa.array([o[k] for o in out], pa.int64())) for k in (0, 1))
+        return pa.table([left, other], ["a", "b"])
 
     return run
 
@@ -208,20 +219,20 @@ def near_duplicates(
     long = chosen.join(sizes.where(F.col("size") > SHORT).select("v"), "v").join(parts, "id", "left")
     long = stored(long.select("v", "id", F.coalesce("component", "id").alias("comp")), "long")
     shares = long.groupBy("v", "comp").agg(F.count("*").alias("n"))
-    main = shares.groupBy("v").agg(F.max(F.struct("n", "comp")).alias("m"), F.sum("n").alias("total"), F.count("*").alias("kinds")).where("kinds > 1")
-    main = stored(main.select("v", F.col("m.comp").alias("main"), "total", (F.col("total") - F.col("m.n")).alias("strays")), "unfinished")
-    if not main.isEmpty():
-        left = long.join(main, "v").join(classes.select("id", "sketch"), "id")
-        entry = F.struct("id", "comp", "sketch")
-        ours = left.where("comp <> main").groupBy("v", F.pmod(F.xxhash64("id"), F.ceil(F.col("strays") / BLOCK)).alias("p")).agg(F.collect_list(entry).alias("left"))
-        theirs = left.groupBy("v", F.pmod(F.xxhash64("id"), F.ceil(F.col("total") / BLOCK)).alias("q")).agg(F.collect_list(entry).alias("right"))
-        met = ours.join(theirs, "v").select("left", "right").repartition(F.xxhash64("left.id", "right.id"))
-        more = met.mapInArrow(_block_candidates(k, least), f"a {kind}, b {kind}").distinct()
-        more = stored(more.join(pairs, ["a", "b"], "left_anti"), "candidates")
+    main = shares.groupBy("v").agg(F.max(F.struct("n", "comp"))["comp"].alias("main"), F.count("*").alias("kinds")).where("kinds > 1")
+    group = stored(long.join(main.select("v", "main"), "v").select("main", "id", "comp").distinct(), "unfinished")
+    if not group.isEmpty():
+        group = group.join(classes.select("id", "n"), "id").withColumn("stray", F.col("comp") != F.col("main"))
+        blocks = group.groupBy("main").agg(
+            F.ceil(F.sum(F.when(F.col("stray"), F.col("n")).otherwise(0)) / BLOCK).alias("ps"), F.ceil(F.sum("n") / BLOCK).alias("qs")
+        ).where("ps > 0")
+        h = F.xxhash64("id")
+        placed = group.join(blocks, "main").join(sets, "id")
+        ours = placed.where("stray").select("main", F.pmod(h, "ps").alias("p"), F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("qs") - 1)).alias("q"), "id", "comp", "stray", "members")
+        theirs = placed.select("main", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("ps") - 1)).alias("p"), F.pmod(h, "qs").alias("q"), "id", "comp", F.lit(False).alias("stray"), "members")
+        more = stored(ours.unionByName(theirs).groupBy("main", "p", "q").applyInArrow(_block_links(threshold), f"a {kind}, b {kind}"), "links")
         if not more.isEmpty():
-            more = stored(verified(more, sets, threshold), "links")
-            if not more.isEmpty():
-                parts = connected_components(links.unionByName(more))
+            parts = connected_components(links.unionByName(more))
 
     found = classes.select("s1", "s2", "n", "id").join(parts, "id", "left").select("s1", "s2", "n", F.coalesce("component", "id").alias("component"))
     out = table.drop("sketch").join(found, ["s1", "s2", "n"], "left").select("id", "n", F.coalesce("component", "id").alias("component"))
