@@ -89,7 +89,7 @@ def pack_documents(
     limits = np.array([length, segments, loss_limit])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, base, done = tokens.encoder(path).encode, TaskContext.get().partitionId() << 32, 0
+        encode_all, base, done = tokens.encoder(path).encode_all, TaskContext.get().partitionId() << 32, 0
         tail = b"" if end_id is None else np.array([end_id], "<u4").tobytes()
         pieces: list[tuple] = []
 
@@ -115,8 +115,8 @@ def pack_documents(
             kind = batch.schema.field(0).type
             bears = batch.column(2).to_pylist() if loss_col else None
             texts = text_of(batch.column(1))
-            for row, doc in enumerate(batch.column(0).to_pylist()):
-                ids = encode(texts[row].as_py()) + tail
+            for row, (doc, ids) in enumerate(zip(batch.column(0).to_pylist(), encode_all(t.as_py() for t in texts), strict=True)):
+                ids += tail
                 n, lossy = len(ids) // 4, not loss_col or bool(bears[row])
                 for start, size in cut(n, None if lossy else np.zeros(n, np.int8), length, loss_limit):
                     blob = ids[4 * start : 4 * (start + size)]

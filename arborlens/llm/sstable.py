@@ -189,7 +189,7 @@ def write_shards(docs: DataFrame, folder: str, id_col: str = "doc_id", text_col:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import uuid
 
-        encode, tail = tokens.encoder(path).encode, np.array([end_id], "<u4").tobytes()
+        encode_all, tail = tokens.encoder(path).encode_all, np.array([end_id], "<u4").tobytes()
         fs, root = _place(folder)
         fs.create_dir(root, recursive=True)
         writer = stream = shard = None
@@ -205,7 +205,7 @@ def write_shards(docs: DataFrame, folder: str, id_col: str = "doc_id", text_col:
         temporary = None
         for batch in batches:
             texts = text_of(batch.column(1))
-            for row, (doc, here) in enumerate(zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), strict=True)):
+            for doc, here, ids in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), encode_all(t.as_py() for t in texts), strict=True):
                 if doc is None:
                     raise ValueError("a document without an id has no place in the order")
                 if here != shard:
@@ -216,7 +216,7 @@ def write_shards(docs: DataFrame, folder: str, id_col: str = "doc_id", text_col:
                     writer = Writer(stream, tokens.encoder(path).width)
                 copy = copy + 1 if doc == last else 0
                 last = doc
-                writer.add(key_of(doc, copy), np.frombuffer(encode(texts[row].as_py()) + tail, "<u4"))
+                writer.add(key_of(doc, copy), np.frombuffer(ids + tail, "<u4"))
         if writer:
             close()
         if out:

@@ -1,17 +1,21 @@
 """Token ids of whole texts with the tokenizers library, through a bounded cache of the pieces between spaces.
 
 The vocabulary's normaliser and splitter never join what a space, tab, line feed or carriage return separates, so a text's ids are
-the ids of its pieces in order. Each distinct piece is encoded once while it stays in the cache.
+the ids of its pieces in order. A piece of letters is one word to the splitter, and a mark after it another, so pieces that are new
+are taken apart further: the ids of a word of letters are known in small letters already, or it is encoded together with other such
+words in one call, whose result is cut at the tokens that end words. All other pieces are encoded one by one.
 """
 
 from __future__ import annotations
 
 import os
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 
-#: Pieces that a worker keeps, and the longest that it keeps.
-CACHE, LONGEST = 400_000, 64
+#: Pieces, and words of letters, that a worker keeps in each of two generations; the longest that it keeps; bytes that are encoded together.
+CACHE, LONGEST, TOGETHER = 250_000, 48, 1 << 20
+_MARKS = frozenset(".,!?;:")
 _loaded: dict[str, Encoder] = {}
 
 
@@ -27,33 +31,90 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.cache: dict[str, bytes] = {"": b""}
+        # what is used stays, what isn't goes when the younger generation is full
+        self.pieces: list[dict[str, bytes]] = [{"": b""}, {}]
+        self.words: list[dict[str, bytes]] = [{}, {}]
+        vocabulary = self.tokenizer.get_vocab()
         #: Bytes that hold any id.
         self.width = 2 if self.tokenizer.get_vocab_size() <= 1 << 16 else 4
+        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.ends[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
+        self.marks = {m: self._ids([m])[0] for m in _MARKS}
 
     def _ids(self, pieces: list[str]) -> list[bytes]:
         return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(pieces, add_special_tokens=False)]
 
-    def encode(self, text: str) -> bytes:
-        """The ids of the text as little-endian unsigned 32-bit integers."""
-        pieces = text.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ")
-        cache = self.cache
-        try:
-            return b"".join([cache[p] for p in pieces])
-        except KeyError:
-            pass
-        own: dict[str, bytes] = {}
-        missing = [p for p in dict.fromkeys(pieces) if p not in cache]
-        for k in range(0, len(missing), 4096):
-            part = missing[k : k + 4096]
-            own.update(zip(part, self._ids(part), strict=True))
-        out = b"".join([own[p] if p in own else cache[p] for p in pieces])
-        if len(cache) + len(own) > CACHE:
-            self.cache = cache = {"": b""}
-        if len(own) <= CACHE // 4:
-            cache.update({p: v for p, v in own.items() if len(p) <= LONGEST})
+    def _word_ids(self, words: list[str]) -> list[bytes]:
+        """The ids of words of letters."""
+        ids = np.array(self.tokenizer.encode_batch_fast([" ".join(words)], add_special_tokens=False)[0].ids, "<u4")
+        bounds = [0, *(4 * (np.flatnonzero(self.ends[ids]) + 1)).tolist()]
+        if len(bounds) != len(words) + 1 or bounds[-1] != 4 * len(ids):
+            return self._ids(words)
+        blob = ids.tobytes()
+        return [blob[a:b] for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
+
+    def _learn(self, pieces: list[str]) -> dict[str, bytes]:
+        """The ids of pieces that the cache doesn't have."""
+        out: dict[str, bytes] = {}
+        apart, rest, wanted = [], [], set()
+        for p in pieces:
+            word, mark = (p[:-1], p[-1]) if p[-1] in _MARKS else (p, "")
+            if word.isascii():
+                word = word.lower()
+                plain = word.isalpha()
+            else:
+                plain = word.isalpha() and word.lower().isalpha()
+            if plain:
+                apart.append((p, word, mark))
+                wanted.add(word)
+            else:
+                rest.append(p)
+        young, old = self.words
+        if len(young) > CACHE:
+            self.words = young, old = [{}, young]
+        known = {w: young[w] if w in young else old[w] for w in wanted if w in young or w in old}
+        missing = [w for w in wanted if w not in known]
+        for k in range(0, len(missing), 8192):
+            part = missing[k : k + 8192]
+            known.update(zip(part, self._word_ids(part), strict=True))
+        young.update(known)
+        marks = self.marks
+        for p, word, mark in apart:
+            out[p] = known[word] + marks[mark] if mark else known[word]
+        for k in range(0, len(rest), 1024):
+            out.update(zip(rest[k : k + 1024], self._ids(rest[k : k + 1024]), strict=True))
         return out
 
+    def _together(self, texts: list[str]) -> list[bytes]:
+        lists = [t.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ") for t in texts]
+        young, old = self.pieces
+        if len(young) > CACHE:
+            self.pieces = young, old = [{"": b""}, young]
+        new = [p for p in set().union(*lists) if p not in young]
+        found = {p: old[p] for p in new if p in old}
+        found |= self._learn([p for p in new if p not in found])
+        kept = {p: v for p, v in found.items() if len(p) <= LONGEST}
+        if len(kept) <= 4 * CACHE:
+            young.update(kept)
+        if len(kept) == len(found) and len(kept) <= 4 * CACHE:
+            return [b"".join([young[p] for p in pieces]) for pieces in lists]
+        return [b"".join([found[p] if p in found else young[p] for p in pieces]) for pieces in lists]
+
+    def encode_all(self, texts: Iterable[str]) -> Iterator[bytes]:
+        """The ids of each text as little-endian unsigned 32-bit integers; runs of texts of TOGETHER characters share the work."""
+        held, size = [], 0
+        for t in texts:
+            held.append(t)
+            size += len(t)
+            if size >= TOGETHER:
+                yield from self._together(held)
+                held, size = [], 0
+        if held:
+            yield from self._together(held)
+
+    def encode(self, text: str) -> bytes:
+        return self._together([text])[0]
+
 
 def encoder(path: str) -> Encoder:
     """The worker's encoder for a vocabulary file; one a process."""
