@@ -1,9 +1,8 @@
 """Token ids of whole texts with the tokenizers library, through a bounded cache of the pieces between spaces.
 
 The vocabulary's normaliser and splitter never join what a space, tab, line feed or carriage return separates, so a text's ids are
-the ids of its pieces in order. A piece of letters is one word to the splitter, and a mark after it another, so pieces that are new
-are taken apart further: the ids of a word of letters are known in small letters already, or it is encoded together with other such
-words in one call, whose result is cut at the tokens that end words. All other pieces are encoded one by one.
+the ids of its pieces in order. A piece of letters is one word to the splitter, and a mark after it another; new words of letters
+are encoded together in one call, whose result is cut at the tokens that end words. All other new pieces are encoded one by one.
 """
 
 from __future__ import annotations
@@ -13,8 +12,8 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 
-#: Pieces, and words of letters, that a worker keeps in each of two generations; the longest that it keeps; bytes that are encoded together.
-CACHE, LONGEST, TOGETHER = 250_000, 48, 1 << 20
+#: Pieces that a worker keeps in each of two generations; the longest that it keeps; characters that are encoded together.
+CACHE, LONGEST, TOGETHER = 300_000, 48, 1 << 20
 _MARKS = frozenset(".,!?;:")
 _loaded: dict[str, Encoder] = {}
 
@@ -33,7 +32,6 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         # what is used stays, what isn't goes when the younger generation is full
         self.pieces: list[dict[str, bytes]] = [{"": b""}, {}]
-        self.words: list[dict[str, bytes]] = [{}, {}]
         vocabulary = self.tokenizer.get_vocab()
         #: Bytes that hold any id.
         self.width = 2 if self.tokenizer.get_vocab_size() <= 1 << 16 else 4
@@ -53,52 +51,58 @@ class Encoder:
         blob = ids.tobytes()
         return [blob[a:b] for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
 
-    def _learn(self, pieces: list[str]) -> dict[str, bytes]:
-        """The ids of pieces that the cache doesn't have."""
-        out: dict[str, bytes] = {}
-        apart, rest, wanted = [], [], set()
+    def _split(self, text: str) -> list[str]:
+        """The text's pieces; in small letters, if that is the vocabulary's own lowering: below U+0100, where nothing composes."""
+        low = text.isascii()
+        if not low:
+            try:
+                text.encode("latin-1")
+                low = True
+            except UnicodeEncodeError:
+                pass
+        if low:
+            text = text.lower()
+        return text.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ")
+
+    def _learn(self, pieces: list[str], old: dict[str, bytes], young: dict[str, bytes]) -> None:
+        """Put the ids of new pieces into the younger generation."""
+        marked, rest, wanted, marks = [], [], set(), self.marks
         for p in pieces:
-            word, mark = (p[:-1], p[-1]) if p[-1] in _MARKS else (p, "")
-            if word.isascii():
-                word = word.lower()
-                plain = word.isalpha()
-            else:
-                plain = word.isalpha() and word.lower().isalpha()
-            if plain:
-                apart.append((p, word, mark))
-                wanted.add(word)
+            if p in old:
+                young[p] = old[p]
+            elif p.isalpha():
+                (wanted.add if p.isascii() or p.lower().isalpha() else rest.append)(p)
+            elif p[-1] in marks and (word := p[:-1]).isalpha() and (word.isascii() or word.lower().isalpha()):
+                marked.append(p)
+                if word not in young:
+                    if word in old:
+                        young[word] = old[word]
+                    else:
+                        wanted.add(word)
             else:
                 rest.append(p)
-        young, old = self.words
-        if len(young) > CACHE:
-            self.words = young, old = [{}, young]
-        known = {w: young[w] if w in young else old[w] for w in wanted if w in young or w in old}
-        missing = [w for w in wanted if w not in known]
-        for k in range(0, len(missing), 8192):
-            part = missing[k : k + 8192]
-            known.update(zip(part, self._word_ids(part), strict=True))
-        young.update(known)
-        marks = self.marks
-        for p, word, mark in apart:
-            out[p] = known[word] + marks[mark] if mark else known[word]
+        words = [*wanted]
+        for k in range(0, len(words), 16384):
+            part = words[k : k + 16384]
+            young.update(zip(part, self._word_ids(part), strict=True))
+        for p in marked:
+            young[p] = young[p[:-1]] + marks[p[-1]]
         for k in range(0, len(rest), 1024):
-            out.update(zip(rest[k : k + 1024], self._ids(rest[k : k + 1024]), strict=True))
-        return out
+            young.update(zip(rest[k : k + 1024], self._ids(rest[k : k + 1024]), strict=True))
 
     def _together(self, texts: list[str]) -> list[bytes]:
-        lists = [t.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ") for t in texts]
+        lists = [self._split(t) for t in texts]
         young, old = self.pieces
         if len(young) > CACHE:
             self.pieces = young, old = [{"": b""}, young]
         new = [p for p in set().union(*lists) if p not in young]
-        found = {p: old[p] for p in new if p in old}
-        found |= self._learn([p for p in new if p not in found])
-        kept = {p: v for p, v in found.items() if len(p) <= LONGEST}
-        if len(kept) <= 4 * CACHE:
-            young.update(kept)
-        if len(kept) == len(found) and len(kept) <= 4 * CACHE:
-            return [b"".join([young[p] for p in pieces]) for pieces in lists]
-        return [b"".join([found[p] if p in found else young[p] for p in pieces]) for pieces in lists]
+        self._learn(new, old, young)
+        get = young.__getitem__
+        out = [b"".join(map(get, pieces)) for pieces in lists]
+        for p in new:
+            if len(p) > LONGEST:
+                young.pop(p, None)
+        return out
 
     def encode_all(self, texts: Iterable[str]) -> Iterator[bytes]:
         """The ids of each text as little-endian unsigned 32-bit integers; runs of texts of TOGETHER characters share the work."""
