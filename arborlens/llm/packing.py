@@ -3,7 +3,7 @@
 A document's ids are cut into pieces of `length` ids and a remainder. Full pieces are sequences by themselves. Remainders
 are packed by the dot-product heuristic: a bin takes, among the pieces that fit, the one with the largest product of its
 demands (tokens, segments, loss tokens, each as a share of the limit) with the bin's remaining room; when none
-fits, the next bin opens with the largest piece. Pieces with equal demands are interchangeable, so a choice costs one
+fits, the next bin opens with the piece of most tokens. Pieces with equal demands are interchangeable, so a choice costs one
 product over the distinct demands, not over the pieces.
 
 Rows are packed in windows of at most WINDOW pieces of one partition, in one pass over the input and without a shuffle: memory is
@@ -42,22 +42,30 @@ def pack(demands: np.ndarray, limits: np.ndarray) -> tuple[np.ndarray, np.ndarra
     taken = np.zeros(len(kinds), np.int64)
     share = kinds / limits
     bins, places = np.zeros(len(demands), np.int64), np.zeros(len(demands), np.int64)
-    live = np.arange(len(kinds))
     number = -1
+    for k in np.flatnonzero((kinds[:, 0] == limits[0])):  # these leave no room for tokens
+        if not (kinds[:, 0] == 0).any():
+            bins[order[heads[k] : heads[k + 1]]] = number + 1 + np.arange(left[k])
+            number, left[k] = number + left[k], 0
+    live = np.flatnonzero(left)
     while len(live):
         number += 1
         room, place = limits.astype(np.int64).copy(), 0
         fit = live
         while len(fit):
-            value = share[fit] @ (room / limits) if place else share[fit].max(1)
-            k = fit[len(value) - 1 - int(np.argmax(value[::-1]))]
+            if place:
+                value = share[fit] @ (room / limits)
+                k = fit[len(value) - 1 - int(value[::-1].argmax())]
+            else:
+                k = fit[-1]  # kinds ascend by tokens
             item = order[heads[k] + taken[k]]
             taken[k] += 1
             left[k] -= 1
             bins[item], places[item] = number, place
             place += 1
             room -= kinds[k]
-            fit = fit[(left[fit] > 0) & (kinds[fit] <= room).all(1)]
+            fit = fit[: np.searchsorted(kinds[fit, 0], room[0], "right")]  # kinds ascend by tokens
+            fit = fit[(left[fit] > 0) & (kinds[fit, 1:] <= room[1:]).all(1)]
         live = live[left[live] > 0]
     return bins, places
 
