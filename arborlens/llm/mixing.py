@@ -24,7 +24,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, free_name
+from .common import WORD, free_name, stored
 
 ENTROPY, MAX_PASSES, BLOCKS, ROUNDS = 0.97, 4.0, 1024, 4
 
@@ -103,7 +103,7 @@ def sized(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sourc
 
 def mixed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **options) -> DataFrame:
     """The rows of docs as often as their source's weight asks; columns as they were, and no more."""
-    sizes = sized(docs, id_col, text_col, source_col).groupBy("key", "block").agg(F.sum("tokens").alias("tokens"))
+    sizes = stored(sized(docs, id_col, text_col, source_col).groupBy("key", "block").agg(F.sum("tokens").alias("tokens")), "sizes")
     uses = plan(sizes, **options).select(F.col("key").alias("__key"), F.col("block").alias("__block"))
     name = free_name("__row", docs.columns)
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias(name), source_key(F.col(source_col)).alias("__key"), block_of(F.col(id_col)).alias("__block"))
@@ -112,7 +112,7 @@ def mixed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sourc
 
 def assignments(table: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
     """From sized(): a row for each use of a document: id, source, n_tokens, pass_no, block, block_rank, schedule."""
-    uses = plan(table.groupBy("key", "block").agg(F.sum("tokens").alias("tokens")), **options)
+    uses = plan(stored(table.groupBy("key", "block").agg(F.sum("tokens").alias("tokens")), "sizes"), **options)
     out = table.join(uses, ["key", "block"])
     return out.select(F.col("id").alias(id_col), F.nullif("key", F.lit("\x00")).alias("source"), F.col("tokens").alias("n_tokens"), "pass_no", "block", "block_rank", "schedule")
 
