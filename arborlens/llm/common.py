@@ -2,10 +2,6 @@
 
 from __future__ import annotations
 
-import atexit
-import shutil
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -13,6 +9,10 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..durable import new_path, shared_dir, stored
+
+__all__ = ["connected_components", "free_name", "map_batches", "new_path", "remainder", "same_columns", "shared_dir", "stored", "table", "text_of"]
+
 #: The characters that separate words: space, and the control characters from tab to carriage return.
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -21,27 +21,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The shared folder that the cluster names in spark.checkpoint.dir; one of our own only where that is unset."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        folder = f"file://{tempfile.mkdtemp(prefix='arborlens-')}"
-        spark.conf.set("spark.checkpoint.dir", folder)
-        atexit.register(shutil.rmtree, folder.removeprefix("file://"), ignore_errors=True)
-    return folder if "://" in folder or folder.startswith("file:") else f"file://{folder}"
-
-
-def new_path(spark: SparkSession, what: str) -> str:
-    return f"{shared_dir(spark)}/arborlens/{what}-{uuid.uuid4().hex[:12]}"
-
-
-def stored(df: DataFrame, what: str) -> DataFrame:
-    """Write df to the shared folder and read it back: the lineage ends there and a lost executor costs no recomputation."""
-    spark, path = df.sparkSession, new_path(df.sparkSession, what)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def remainder(id_col: str, by: int) -> Column:
     """crc32 of the id written as text, modulo by."""
     return F.crc32(F.col(id_col).cast("string").cast("binary")) % by

@@ -49,9 +49,9 @@ def buffers(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return (np.frombuffer(data, np.uint8) if data is not None and data.size else np.zeros(0, np.uint8)), offsets
 
 
-def units(offsets: np.ndarray, most: int = WINDOW) -> Iterator[tuple[int, int]]:
-    """Ranges of documents of at most `most` bytes together, or of one document."""
-    i, n = 0, len(offsets) - 1
+def units(offsets: np.ndarray) -> Iterator[tuple[int, int]]:
+    """Ranges of documents of at most WINDOW bytes together, or of one document."""
+    i, n, most = 0, len(offsets) - 1, WINDOW
     while i < n:
         j = max(i + 1, int(np.searchsorted(offsets, offsets[i] + most, "right")) - 1)
         yield i, min(j, n)
@@ -191,9 +191,3 @@ def per_doc(flags: np.ndarray, starts: np.ndarray) -> np.ndarray:
     run = np.zeros(len(flags) + 1, np.int64)
     np.cumsum(flags, out=run[1:])
     return run[np.r_[starts[1:], len(flags)]] - run[starts]
-
-
-def crc_words(blob: bytes) -> int:
-    import zlib
-
-    return zlib.crc32(blob) & 0xFFFFFFFF

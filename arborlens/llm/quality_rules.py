@@ -51,13 +51,9 @@ def counted(docs: DataFrame, text_col: str, out: str) -> DataFrame:
     return map_batches(docs, add, ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields), f"`{out}` {kind}"]))
 
 
-def _measured(counts: str = "") -> list[Column]:
-    import re
-
-    def put(e: str) -> str:
-        return re.sub(r"\b(n_\w+|word_chars)\b", lambda m: f"{counts}{m[1]}", e)
-
-    return [F.expr(f"({put(top)}) div ({put(below)})").alias(name) for name, top, below, _ in MEASURES]
+def _measured() -> list[Column]:
+    """The measures; null for a text without words."""
+    return [F.expr(f"({top}) div nullif({below}, 0)").alias(name) for name, top, below, _ in MEASURES]
 
 
 def bucket(v: Column) -> Column:
