@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ..durable import new_path, shared_dir, stored
 
-__all__ = ["connected_components", "free_name", "map_batches", "new_path", "remainder", "same_columns", "shared_dir", "stored", "table", "text_of"]
+__all__ = ["connected_components", "free_name", "map_batches", "new_path", "remainder", "shared_dir", "stored", "table", "text_of"]
 
 #: The characters that separate words: space, and the control characters from tab to carriage return.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -34,10 +34,6 @@ def free_name(wanted: str, taken: list[str]) -> str:
     return wanted
 
 
-def same_columns(df: DataFrame, like: DataFrame) -> DataFrame:
-    return df.select(*[F.col(f"`{c}`") for c in like.columns])
-
-
 def map_batches(df: DataFrame, f: Callable[[pa.RecordBatch], pa.RecordBatch | None], schema: str) -> DataFrame:
     """mapInArrow by single batches; f returns a batch or None."""
 
