@@ -370,6 +370,24 @@ def architecture(spark, sf_dir):
     return rows.select("c_custkey", infer.architecture(given).alias("architecture"))
 
 
+@query(
+    f"""SELECT page_id, CASE WHEN contains(m, '404') OR contains(m, '403') OR contains(m, 'not found') THEN 'Repository not found or access denied: ' || url
+WHEN contains(m, 'timed out') OR contains(m, 'SSL') THEN 'Network error while cloning: ' || m WHEN contains(m, 'invalid') THEN 'Invalid repository URL: ' || url
+ELSE 'Failed to clone repository: ' || m END AS said FROM (SELECT page_id, url, CASE page_id % 4 WHEN 0 THEN 'timed out after ' || page_id WHEN 1 THEN 'invalid'
+WHEN 2 THEN 'status ' || page_id ELSE 'SSL not found' END AS m FROM pages)"""
+)
+def clone_error_rules(spark, sf_dir):
+    k = F.col("page_id")
+    message = F.when(k % 4 == 0, F.concat(F.lit("timed out after "), k.cast("string"))).when(k % 4 == 1, "invalid").when(k % 4 == 2, F.concat(F.lit("status "), k.cast("string"))).otherwise("SSL not found")
+    return _table(spark, sf_dir, "pages").select("page_id", text.clone_error(message, F.col("url")).alias("said"))
+
+
+@query("SELECT greatest(4, coalesce(max(strlen(url)), 20))::BIGINT AS width, max(CASE WHEN url = '' THEN 1 ELSE 20 END)::BIGINT AS none FROM pages")
+def longest_path(spark, sf_dir):
+    pages = _table(spark, sf_dir, "pages")
+    return pages.agg(text.longest_path(F.col("url")).alias("width")).crossJoin(pages.where("url is null").agg(text.longest_path(F.col("url")).alias("none")))
+
+
 @query()
 def tree_lines(spark, sf_dir):
     """Hosts and paths of pages as a tree of three levels (rows only: the prefixes need a walk)."""

@@ -20,8 +20,21 @@ def shared_dir(spark: SparkSession) -> str:
     return folder if "://" in folder or folder.startswith("file:") else f"file://{folder}"
 
 
+_written: list[str] = []
+
+
 def new_path(spark: SparkSession, what: str) -> str:
-    return f"{shared_dir(spark)}/arborlens/{what}-{uuid.uuid4().hex[:12]}"
+    """A path that no other run uses; release() removes what is there."""
+    _written.append(f"{shared_dir(spark)}/arborlens/{what}-{uuid.uuid4().hex[:12]}")
+    return _written[-1]
+
+
+def release(spark: SparkSession) -> None:
+    """Remove the intermediate tables and files of this session; call it when the results that rest on them are written."""
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    while _written:
+        place = jvm.org.apache.hadoop.fs.Path(_written.pop())
+        place.getFileSystem(conf).delete(place, True)
 
 
 def stored(df: DataFrame, what: str) -> DataFrame:

@@ -107,3 +107,26 @@ def bar(pct: Column, width: int = 28) -> Column:
 
 def plural(n: Column) -> Column:
     return F.when(n == 1, "").otherwise("s")
+
+
+def clone_error(message: Column, url: Column) -> Column:
+    """What to tell of a failed clone; the first rule that fits."""
+
+    def has(*words: str) -> Column:
+        out = F.contains(message, F.lit(words[0]))
+        for w in words[1:]:
+            out = out | F.contains(message, F.lit(w))
+        return out
+
+    denied = has("not found", "404", "403", "authentication", "could not read Username")
+    return (
+        F.when(denied, F.concat(F.lit("Repository not found or access denied: "), url))
+        .when(has("resolve", "connect", "timed out", "SSL", "network"), F.concat(F.lit("Network error while cloning: "), message))
+        .when(has("unsupported URL protocol", "invalid"), F.concat(F.lit("Invalid repository URL: "), url))
+        .otherwise(F.concat(F.lit("Failed to clone repository: "), message))
+    )
+
+
+def longest_path(path: Column) -> Column:
+    """An aggregate: bytes of the longest path, 4 at least; 20 of no paths."""
+    return F.greatest(F.lit(4), F.coalesce(F.max(F.octet_length(path)), F.lit(20))).cast("bigint")

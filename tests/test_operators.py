@@ -273,3 +273,16 @@ def test_streaming(spark, tmp_path):
     q = stream.language_loc(df).writeStream.outputMode("complete").format("memory").queryName("loc").trigger(availableNow=True).start()
     q.awaitTermination(60)
     assert {r.language: r["loc"] for r in spark.table("loc").collect()} == {"Python": 2, "Rust": 1}
+
+
+def test_release(spark):
+    from arborlens import durable
+
+    df = durable.stored(spark.range(3), "x")
+    assert df.count() == 3
+    place = durable._written[-1].removeprefix("file:").replace("//", "/", 1) if durable._written[-1].startswith("file:") else durable._written[-1]
+    import os
+
+    assert os.path.isdir(place)
+    durable.release(spark)
+    assert not os.path.exists(place)
