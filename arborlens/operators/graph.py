@@ -11,23 +11,33 @@ from ..durable import stored
 from ..functions import text
 from ..rules import ENTRY_POINTS
 
+#: Rounds of one edge, and edges of a later round.
+WIDE, STEPS = 6, 8
+
 
 def reachable(nodes: DataFrame, edges: DataFrame, sources: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:
     """The nodes (keys, node) that paths of edges (keys, src, dst) from the sources reach, sources included; only through nodes.
 
-    Each round joins the last frontier with the edges and keeps what is new, so it ends on cycles too; frontiers are written
-    to the shared folder. The number of rounds is the longest distance.
+    A round takes the frontier STEPS edges further in one job (one edge at first, while frontiers are wide) and keeps what is
+    new, so it ends on cycles too; what it finds is written to the shared folder. Rounds grow with the longest distance over STEPS.
     """
     keys = list(keys)
     nodes = stored(nodes.select(*keys, "node").distinct(), "nodes")
     links = edges.select(*keys, "src", "dst").where("src <> dst").distinct()
     links = stored(links.join(nodes.withColumnRenamed("node", "dst"), [*keys, "dst"], "left_semi"), "edges")
     frontier = stored(sources.select(*keys, "node").distinct().join(nodes, [*keys, "node"], "left_semi"), "frontier")
-    seen = [frontier]
+    seen, rounds = [frontier], 0
     while not frontier.isEmpty():
-        step = frontier.withColumnRenamed("node", "src").join(links, [*keys, "src"]).select(*keys, F.col("dst").alias("node")).distinct()
-        frontier = stored(step.join(reduce(DataFrame.unionByName, seen), [*keys, "node"], "left_anti"), "frontier")
-        seen.append(frontier)
+        step, met = frontier, []
+        for _ in range(1 if rounds < WIDE else STEPS):
+            step = step.withColumnRenamed("node", "src").join(links, [*keys, "src"]).select(*keys, F.col("dst").alias("node")).distinct()
+            met.append(step)
+        # successors of what the earlier steps met are met too: only the last step's nodes go on
+        flagged = [s.withColumn("open", F.lit(k == len(met) - 1)) for k, s in enumerate(met)]
+        found = reduce(DataFrame.unionByName, flagged).groupBy(*keys, "node").agg(F.max("open").alias("open"))
+        fresh = stored(found.join(reduce(DataFrame.unionByName, seen), [*keys, "node"], "left_anti"), "frontier")
+        seen.append(fresh.drop("open"))
+        frontier, rounds = fresh.where("open").drop("open"), rounds + 1
     return reduce(DataFrame.unionByName, seen)
 
 

@@ -124,14 +124,14 @@ def test_reachability_against_plain_search(spark):
     import random
 
     rng = random.Random(5)
-    edges = [(rng.randrange(60), rng.randrange(60)) for _ in range(70)]
+    edges = [(rng.randrange(60), rng.randrange(60)) for _ in range(70)] + [(0, 60)] + [(i, i + 1) for i in range(60, 99)]
     seen, queue = {0}, [0]
     for x in queue:
         for a, b in edges:
             if a == x and b not in seen:
                 seen.add(b)
                 queue.append(b)
-    n = spark.createDataFrame([(i,) for i in range(60)], "node bigint")
+    n = spark.createDataFrame([(i,) for i in range(100)], "node bigint")
     found = graph.reachable(n, spark.createDataFrame(edges, "src bigint, dst bigint"), n.where("node = 0"))
     assert sorted(r.node for r in found.collect()) == sorted(seen)
 
