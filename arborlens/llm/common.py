@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ..durable import new_path, shared_dir, stored
 
-__all__ = ["connected_components", "free_name", "map_batches", "new_path", "remainder", "shared_dir", "stored", "table", "text_of"]
+__all__ = ["connected_components", "free_name", "join_counted", "map_batches", "new_path", "remainder", "shared_dir", "stored", "table", "text_of"]
 
 #: The characters that separate words: space, and the control characters from tab to carriage return.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -45,6 +45,23 @@ def map_batches(df: DataFrame, f: Callable[[pa.RecordBatch], pa.RecordBatch | No
     return df.mapInArrow(run, schema)
 
 
+#: A key is hot if it has more than one in HOT of the rows, so fewer than HOT keys are.
+HOT = 1000
+
+
+def join_counted(left: DataFrame, right: DataFrame, keys: list[str], count: str) -> DataFrame:
+    """The inner join of left with right, which has each key once and, in the column `count`, left's rows of that key.
+
+    Hot keys, fewer than HOT of them whatever the input, are broadcast; the others meet in a shuffle, in which no key has more
+    than one in HOT of the rows. Both inputs are read twice, so they should be stored tables.
+    """
+    rows = left.count()
+    hot = F.col(count) * HOT > rows
+    many = F.broadcast(right.where(hot))
+    few = left.join(F.broadcast(right.where(hot).select(*keys)), keys, "left_anti").join(right.where(~hot), keys)
+    return left.join(many, keys).unionByName(few)
+
+
 def text_of(column: pa.Array) -> pa.Array:
     """A text column with nulls as empty texts, with 64-bit offsets."""
     return pc.fill_null(column.cast(pa.large_string()), "")

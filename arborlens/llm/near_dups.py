@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import kernels as K
-from .common import connected_components, map_batches, stored, text_of
+from .common import connected_components, join_counted, map_batches, stored, text_of
 
 SIZE, THRESHOLD, RETAINED, SHARE = 5, 0.8, 32, 0.4
 SHORT, PORTION = 16, 512
@@ -186,20 +186,21 @@ def near_duplicates(
     least = SHARE * threshold / 0.8
     table = stored(sketched(docs, id_col, text_col, size, k), "sketches")
     kind = table.schema["id"].dataType.simpleString()
-    classes = table.where("n > 0").groupBy("s1", "s2", "n").agg(F.min(F.struct("id", "sketch")).alias("m"))
-    classes = stored(classes.select("s1", "s2", "n", F.col("m.id").alias("id"), F.col("m.sketch").alias("sketch")), "classes")
+    classes = table.where("n > 0").groupBy("s1", "s2", "n").agg(F.min(F.struct("id", "sketch")).alias("m"), F.count("*").alias("copies"))
+    classes = stored(classes.select("s1", "s2", "n", "copies", F.col("m.id").alias("id"), F.col("m.sketch").alias("sketch")), "classes")
 
     # 2: the rarest values of each class, without those of one sketch only
     postings = classes.select("id", F.size("sketch").alias("s"), F.explode("sketch").alias("v"))
-    frequent = postings.groupBy("v").agg(F.count("*").alias("df")).where("df > 1")
-    lists = postings.join(frequent, "v").groupBy("id").agg(F.first("s").alias("s"), F.sort_array(F.collect_list(F.struct("df", "v"))).alias("vs"))
+    frequent = stored(postings.groupBy("v").agg(F.count("*").alias("df")).where("df > 1"), "frequent")
+    lists = join_counted(postings, frequent, ["v"], "df").groupBy("id").agg(F.first("s").alias("s"), F.sort_array(F.collect_list(F.struct("df", "v"))).alias("vs"))
     need = F.when(F.col("s") < int(threshold * k), F.ceil(F.col("s") * threshold)).otherwise(F.ceil(F.col("s") * least))
     room = F.greatest(F.lit(0), (F.col("s") - need + 1 - (F.col("s") - F.size("vs"))).cast("int"))
     chosen = stored(lists.select("id", F.explode(F.slice("vs", F.lit(1), room)).alias("x")).select("id", "x.v"), "postings")
     sizes = chosen.groupBy("v").agg(F.count("*").alias("size"), F.min(F.struct(F.xxhash64("id", "v").alias("h"), "id"))["id"].alias("pivot")).where("size > 1")
+    listed = stored(join_counted(chosen, stored(sizes, "sizes"), ["v"], "size"), "listed")
 
     # 3: short lists whole, long ones by portions with their pivot
-    members = chosen.join(sizes, "v").withColumn("long", F.col("size") > SHORT).withColumn("portions", F.ceil(F.col("size") / PORTION).cast("int"))
+    members = listed.withColumn("long", F.col("size") > SHORT).withColumn("portions", F.ceil(F.col("size") / PORTION).cast("int"))
     own = F.col("id") == F.col("pivot")
     spread = F.when(~F.col("long"), F.array(F.lit(0))).when(own, F.sequence(F.lit(0), F.col("portions") - 1))
     spread = spread.otherwise(F.array(F.pmod(F.xxhash64("id"), F.col("portions")).cast("int")))
@@ -209,33 +210,36 @@ def near_duplicates(
     pairs = stored(rows.mapInArrow(_list_candidates(k, least), f"a {kind}, b {kind}").distinct(), "candidates")
 
     # 4
-    touched = chosen.join(sizes.where(F.col("size") > SHORT).select("v"), "v", "left_semi").select("id")
+    touched = listed.where(F.col("size") > SHORT).select("id")
     wanted = pairs.select(F.explode(F.array("a", "b")).alias("id")).union(touched).distinct()
     sets = stored(full_sets(docs, wanted, id_col, text_col, size), "sets")
     links = stored(verified(pairs, sets, threshold), "links")
     parts = connected_components(links)
 
     # 5
-    long = chosen.join(sizes.where(F.col("size") > SHORT).select("v"), "v").join(parts, "id", "left")
+    long = listed.where(F.col("size") > SHORT).join(parts, "id", "left")
     long = stored(long.select("v", "id", F.coalesce("component", "id").alias("comp")), "long")
     shares = long.groupBy("v", "comp").agg(F.count("*").alias("n"))
-    main = shares.groupBy("v").agg(F.max(F.struct("n", "comp"))["comp"].alias("main"), F.count("*").alias("kinds")).where("kinds > 1")
-    group = stored(long.join(main.select("v", "main"), "v").select("main", "id", "comp").distinct(), "unfinished")
+    main = shares.groupBy("v").agg(F.max(F.struct("n", "comp"))["comp"].alias("main"), F.count("*").alias("kinds"), F.sum("n").alias("size")).where("kinds > 1")
+    group = stored(join_counted(long, stored(main, "main"), ["v"], "size").select("main", "id", "comp").distinct(), "unfinished")
     if not group.isEmpty():
-        group = group.join(classes.select("id", "n"), "id").withColumn("stray", F.col("comp") != F.col("main"))
+        group = stored(group.join(classes.select("id", "n"), "id").withColumn("stray", F.col("comp") != F.col("main")), "group")
         blocks = group.groupBy("main").agg(
-            F.ceil(F.sum(F.when(F.col("stray"), F.col("n")).otherwise(0)) / BLOCK).alias("ps"), F.ceil(F.sum("n") / BLOCK).alias("qs")
+            F.ceil(F.sum(F.when(F.col("stray"), F.col("n")).otherwise(0)) / BLOCK).alias("ps"), F.ceil(F.sum("n") / BLOCK).alias("qs"), F.count("*").alias("size")
         ).where("ps > 0")
         h = F.xxhash64("id")
-        placed = group.join(blocks, "main").join(sets, "id")
+        placed = join_counted(group, stored(blocks, "blocks"), ["main"], "size").join(sets, "id")
         ours = placed.where("stray").select("main", F.pmod(h, "ps").alias("p"), F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("qs") - 1)).alias("q"), "id", "comp", "stray", "members")
         theirs = placed.select("main", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("ps") - 1)).alias("p"), F.pmod(h, "qs").alias("q"), "id", "comp", F.lit(False).alias("stray"), "members")
         more = stored(ours.unionByName(theirs).groupBy("main", "p", "q").applyInArrow(_block_links(threshold), f"a {kind}, b {kind}"), "links")
         if not more.isEmpty():
             parts = connected_components(links.unionByName(more))
 
-    found = classes.select("s1", "s2", "n", "id").join(parts, "id", "left").select("s1", "s2", "n", F.coalesce("component", "id").alias("component"))
-    out = table.drop("sketch").join(found, ["s1", "s2", "n"], "left").select("id", "n", F.coalesce("component", "id").alias("component"))
+    found = classes.select("s1", "s2", "n", "copies", "id").join(parts, "id", "left")
+    found = stored(found.select("s1", "s2", "n", "copies", F.coalesce("component", "id").alias("component")), "found")
+    rows = table.drop("sketch")
+    out = join_counted(rows.where("n > 0"), found, ["s1", "s2", "n"], "copies").select("id", "n", "component")
+    out = out.unionByName(rows.where("n = 0").select("id", "n", F.col("id").alias("component")))
     return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.col("component").alias("component_id"), (F.col("id") == F.col("component")).alias("kept"))
 
 

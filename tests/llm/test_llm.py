@@ -12,7 +12,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from arborlens.llm import bradley_terry, chat, class_lm, kernels, mixing, near_dups, packing, progressive_jpeg, quality_rules, queries, sstable, text_stats, tokens, toxicity
+from arborlens.llm import bradley_terry, chat, class_lm, common, kernels, mixing, near_dups, packing, progressive_jpeg, quality_rules, queries, sstable, text_stats, tokens, toxicity
 from arborlens.llm.common import connected_components, remainder, table
 
 ROOT = "/root/testdata/sf0.001"
@@ -82,6 +82,14 @@ def test_components(spark):
 
 
 @needs_tables
+def test_join_of_hot_and_rare_keys(spark, monkeypatch):
+    monkeypatch.setattr(common, "HOT", 4)
+    left = spark.createDataFrame([("a", i) for i in range(30)] + [(f"k{i % 7}", 100 + i) for i in range(40)], "k string, x int")
+    right = left.groupBy("k").count().where("k <> 'k6'").withColumn("y", F.concat("k", F.lit("!")))
+    found = common.join_counted(left, right, ["k"], "count").select("k", "x", "y").collect()
+    assert sorted(map(tuple, found)) == sorted((r.k, r.x, r.k + "!") for r in left.collect() if r.k != "k6")
+
+
 def test_quality_classifier_on_held_out_rows(spark):
     found = queries.op1_bradley_terry(spark, "/root/testdata/sf0.01").join(table(spark, "/root/testdata/sf0.01", "labels"), "doc_id").toPandas()
     own = found[found.held_out]
