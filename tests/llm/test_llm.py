@@ -105,6 +105,9 @@ def test_quality_classifier_odd_rows(spark, odd, none):
     assert len(rows) == odd.count() and all(0 <= r.score <= 1 for r in rows) and len({r.score for r in rows if r.id == 4}) == 1
     kept = bradley_terry.keep_good(odd, model)
     assert kept.columns == odd.columns and kept.count() == sum(r.score >= 0.7 for r in rows)
+    same = bradley_terry.learn_from(odd, labels, "quality", F.lit(True))
+    assert np.array_equal(same.weights, model.weights) and same.threshold == model.threshold
+    assert bradley_terry.learn_from(none, labels, "quality", F.lit(True)).threshold == 0
     flat = bradley_terry.learn(counts, labels.limit(0), "quality", F.lit(True))
     assert {round(r.score, 6) for r in bradley_terry.scored(odd, flat, "doc_id", "text").collect()} == {0.7}
     assert bradley_terry.scored(none, model, "doc_id", "text").count() == 0 and bradley_terry.learn(bradley_terry.counted(none, "doc_id", "text"), labels, "quality", F.lit(True)).threshold == 0
