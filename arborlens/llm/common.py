@@ -53,13 +53,15 @@ def join_counted(left: DataFrame, right: DataFrame, keys: list[str], count: str)
     """The inner join of left with right, which has each key once and, in the column `count`, left's rows of that key.
 
     Hot keys, fewer than HOT of them whatever the input, are broadcast; the others meet in a shuffle, in which no key has more
-    than one in HOT of the rows. Both inputs are read twice, so they should be stored tables.
+    than one in HOT of the rows. Both sides are told apart by the hot keys' hashes, so a key with the hash of a hot one goes
+    with it. Both inputs are read more than once, so they should be stored tables.
     """
-    rows = left.count()
-    hot = F.col(count) * HOT > rows
-    many = F.broadcast(right.where(hot))
-    few = left.join(F.broadcast(right.where(hot).select(*keys)), keys, "left_anti").join(right.where(~hot), keys)
-    return left.join(many, keys).unionByName(few)
+    rows, key = left.count(), F.xxhash64(*keys)
+    hot = [r[0] for r in right.where(F.col(count) * HOT > rows).select(key).distinct().collect()]  # fewer than HOT
+    if not hot:
+        return left.join(right, keys)
+    few = left.where(~key.isin(hot)).join(right.where(~key.isin(hot)), keys)
+    return left.where(key.isin(hot)).join(F.broadcast(right.where(key.isin(hot))), keys).unionByName(few)
 
 
 def text_of(column: pa.Array) -> pa.Array:

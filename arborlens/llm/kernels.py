@@ -13,7 +13,7 @@ import numpy as np
 import pyarrow as pa
 
 #: Bytes that are hashed at once; a longer document is cut at a space.
-WINDOW = 1 << 20
+WINDOW = 1 << 16
 _P, _GOLD = 0x9E3779B97F4A7C15, 0x9E3779B97F4A7C15
 
 
