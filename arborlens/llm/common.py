@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -11,7 +12,7 @@ from pyspark.sql import functions as F
 
 from ..durable import new_path, shared_dir, stored
 
-__all__ = ["connected_components", "free_name", "join_counted", "map_batches", "new_path", "remainder", "shared_dir", "stored", "table", "text_of"]
+__all__ = ["connected_components", "free_name", "join_counted", "map_batches", "new_path", "remainder", "return_memory", "shared_dir", "stored", "table", "text_of"]
 
 #: The characters that separate words: space, and the control characters from tab to carriage return.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -34,6 +35,13 @@ def free_name(wanted: str, taken: list[str]) -> str:
     return wanted
 
 
+def return_memory() -> None:
+    """Give what a finished task has freed back to the system: Python workers are kept for later tasks, and so is what they hold."""
+    pa.default_memory_pool().release_unused()
+    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):  # glibc has it
+        trim(0)
+
+
 def map_batches(df: DataFrame, f: Callable[[pa.RecordBatch], pa.RecordBatch | None], schema: str) -> DataFrame:
     """mapInArrow by single batches; f returns a batch or None."""
 
@@ -41,6 +49,7 @@ def map_batches(df: DataFrame, f: Callable[[pa.RecordBatch], pa.RecordBatch | No
         for batch in batches:
             if batch.num_rows and (out := f(batch)) is not None:
                 yield out
+        return_memory()
 
     return df.mapInArrow(run, schema)
 

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import tokens
-from .common import text_of
+from .common import return_memory, text_of
 
 LENGTH, SEGMENTS, WINDOW = 2048, 64, 16_384
 
@@ -133,6 +133,7 @@ def pack_documents(
                         yield flush()
         if pieces:
             yield flush()
+        return_memory()
 
     names = [id_col, "start", "length", "ids_crc32", "doc_tokens", "loss_tokens", "sequence_id", "offset", *(["ids"] if with_ids else [])]
     kind_of = docs.schema[id_col].dataType.simpleString()
