@@ -21,8 +21,7 @@ def rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier accepts. It learns from the labelled rows of the whole documents table, held-out rows apart:
     among those that the rules kept, hardly any are labelled 0."""
-    counts = stored(bradley_terry.counted(table(spark, sf_dir, "documents"), "doc_id", "text"), "counts")
-    model = bradley_terry.learn(counts, table(spark, sf_dir, "labels"), "quality", remainder("id", 4) != 2)
+    model = bradley_terry.learn_from(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), "quality", remainder("id", 4) != 2)
     return bradley_terry.keep_good(docs, model)
 
 
