@@ -2,14 +2,17 @@
 
 Counts cover all words of all training documents, by 64-bit hash. The HEAD most frequent words are clustered by exchange: each in turn
 moves to the class with the highest likelihood of the class bigrams, until nothing moves. Their bigrams (a dense table of
-bounded size) are counted over all training documents. Every other word is exchanged once, in parallel: it goes to the tail class
-that most of its occurrences vote for, an occurrence's vote being the group (of GROUPS, by exchange over the classes)
-of the nearest head word before it, else after it. Words that occur once share a class with unknown words, in which the
-unknown ones have the share that once-words have among words seen once or twice. The end of a document is a class of its own, and stands
-before its first word too. Class transitions are smoothed by class frequencies.
-
-The vocabulary is never gathered: documents are scored chunk by chunk, each chunk joined with the counts and classes of its own
-distinct words. Only tables of bounded size (head words, classes, transitions) are held by the driver or by closures.
+bounded size) are counted over all training documents. Every other word starts in the tail class that most of its occurrences vote
+for, an occurrence's vote being the group (of GROUPS, by exchange over the classes) of the nearest head word before it, else after
+it. Then all words seen twice or more outside the head are exchanged ROUNDS times, in parallel: each moves to the class, of the head's
+and the tail's alike, with the highest likelihood of the current class bigrams, from the counts of its neighbours' classes on both
+sides; a round that lowers the likelihood is taken back. Words that occur once stay together, as they stand for unknown words, whose
+neighbours no count tells; the two share a class, in which the unknown ones have the share that once-words have among words seen once
+or twice. The end of a document is a class of its own, and stands before its first word too. Class transitions are smoothed by class
+frequencies.
+
+The vocabulary is never gathered: documents are read chunk by chunk in each round and in scoring, each chunk joined with the classes of
+its own distinct words. Only tables of bounded size (head words, classes, transitions) are held by the driver or by closures.
 
 Cases: a null text is an empty one and has its end only; repeated rows are scored one by one, and count as often as they come; without
 training documents every word is unknown and the score is the base's; an empty table gives an empty result.
@@ -25,12 +28,16 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import kernels as K
-from .common import stored, text_of
+from .common import map_batches, stored, text_of
 
 HEAD, CLASSES, GROUPS, SWEEPS, SMOOTH = 1023, 48, 8, 6, 2.0
 #: The end of a document in place of a word's hash.
 END = np.uint64(1)
 END_CLASS, RARE_CLASS, ALL_CLASSES = CLASSES + GROUPS, CLASSES + GROUPS + 1, CLASSES + GROUPS + 2
+#: Rounds of exchange over all words outside the head.
+ROUNDS = 2
+#: In place of the hash of a word that occurs once. Codes of a word's neighbours: the class before it, _AFTER and the class after it, _SELF.
+RARE, _AFTER, _SELF = np.uint64(2), 64, 127
 _HELD = 1 << 21
 
 
@@ -227,8 +234,9 @@ def tail_votes(texts: DataFrame, head: np.ndarray, group: np.ndarray) -> DataFra
     return texts.mapInArrow(run, "h bigint, g int, n bigint").groupBy("h", "g").agg(F.sum("n").alias("n"))
 
 
-def vocabulary(texts: DataFrame, *, head_size: int = HEAD) -> DataFrame:
-    """(h, n, class) of all words of the training texts, stored."""
+def vocabulary(docs: DataFrame, own: DataFrame, *, head_size: int = HEAD, rounds: int = ROUNDS) -> DataFrame:
+    """(h, n, class) of all words of the training documents (chunk, text), stored. own: (chunk, h) of each chunk's words at least."""
+    texts = docs.select("text")
     counts = stored(word_counts(texts), "counts")
     top = counts.where((F.col("h") != int(END)) & (F.col("n") > 1)).orderBy(F.desc("n"), "h").limit(head_size).select("h").collect()
     head = np.sort(np.array([r[0] for r in top], np.int64).view(np.uint64))
@@ -243,7 +251,162 @@ def vocabulary(texts: DataFrame, *, head_size: int = HEAD) -> DataFrame:
     heads = spark.createDataFrame(pa.table({"h": head.view(np.int64), "head_class": label[: len(head)].astype(np.int32)}))
     out = counts.join(F.broadcast(heads), "h", "left").join(chosen, "h", "left")  # head_size rows at most
     kind = F.when(F.col("h") == int(END), END_CLASS).when(F.col("n") == 1, RARE_CLASS).otherwise(F.coalesce("head_class", "class", F.lit(CLASSES)))
-    return stored(out.select("h", "n", kind.cast("int").alias("class")), "vocabulary")
+    words, before, most = stored(out.select("h", "n", kind.cast("int").alias("class")), "vocabulary"), None, -np.inf
+    for _ in range(rounds):
+        found = neighbours(docs, own, words)
+        pairs = class_bigrams(found)
+        if (now := likelihood(pairs)) < most:
+            return before
+        before, most = words, now
+        moved = words.join(exchanged(found, pairs, head), "h", "left").select("h", "n", F.coalesce("moved", "class").alias("class"))
+        words = stored(moved, "vocabulary")
+    return words
+
+
+def neighbours(docs: DataFrame, own: DataFrame, words: DataFrame) -> DataFrame:
+    """(h, class, codes): how often the words seen twice, the end and all rare words together stand beside each class, as count * 128 + code; stored.
+
+    docs: (chunk, text) of the training documents; own: (chunk, h) of each chunk's words; words: (h, n, class).
+    """
+
+    def count(left: pa.Table, right: pa.Table) -> pa.Table:
+        order = np.argsort(h := right.column("h").to_numpy().view(np.uint64))
+        h, kind = np.r_[h[order], END, RARE], np.r_[right.column("class").to_numpy()[order], END_CLASS, RARE_CLASS].astype(np.int64)
+        k, tally = len(h) - 2, _Tally()
+        for chunk in left.column("text").chunks:
+            for g, doc, m in _documents(text_of(chunk)):
+                t, _ = with_ends(g, doc, m)
+                at = np.minimum(np.searchsorted(h[:k], t), max(k - 1, 0))
+                at = np.where(t == END, k, np.where(h[at] == t, at, k + 1)) if k else np.where(t == END, k, k + 1)
+                before = np.r_[k, at[:-1]]  # an end stands before each document
+                same = before == at
+                x = np.r_[at[~same] * 128 + kind[before[~same]], before[~same] * 128 + _AFTER + kind[at[~same]], at[same] * 128 + _SELF]
+                k_, n_ = np.unique(x, return_counts=True)
+                tally.keys.append(k_)
+                tally.counts.append(n_)
+                tally.size += len(k_)
+                if tally.size > _HELD:
+                    tally.merge()
+        if not tally.keys:
+            return pa.table([pa.array([], pa.int64()), pa.array([], pa.int32()), pa.array([], pa.binary())], ["h", "class", "codes"])
+        return _packed(h, kind, *next(tally.drain()))
+
+    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            held = pa.Table.from_batches([batch]) if held is None else pa.concat_tables([held, pa.Table.from_batches([batch])])
+            h = held.column("h").to_numpy()
+            if h[0] != h[-1]:  # the last word may go on in the next batch
+                cut = int(np.searchsorted(h, h[-1]))
+                yield from _summed(held.slice(0, cut)).to_batches()
+                held = held.slice(cut)
+        if held is not None:
+            yield from _summed(held).to_batches()
+
+    known = own.join(words.where((F.col("n") > 1) & (F.col("h") != int(END))), "h").select("chunk", "h", "class")
+    schema = "h bigint, class int, codes binary"
+    parts = docs.groupBy("chunk").cogroup(known.groupBy("chunk")).applyInArrow(count, schema)
+    return stored(parts.repartition("h").sortWithinPartitions("h").mapInArrow(merge, schema), "neighbours")
+
+
+def _packed(h: np.ndarray, kind: np.ndarray, key: np.ndarray, n: np.ndarray) -> pa.Table:
+    """Rows of neighbours() from sorted keys, word * 128 + code, and their counts."""
+    word = key >> 7
+    heads = np.flatnonzero(np.r_[True, word[1:] != word[:-1]])
+    at = word[heads]
+    codes = pa.BinaryArray.from_buffers(pa.binary(), len(at), [None, pa.py_buffer((np.r_[heads, len(key)] * 8).astype(np.int32)), pa.py_buffer(np.ascontiguousarray(n << 7 | key & 127))])
+    return pa.table([pa.array(h[at].view(np.int64)), pa.array(kind[at].astype(np.int32)), codes], ["h", "class", "codes"])
+
+
+def _unpacked(codes: pa.ChunkedArray | pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, code, count) of a column of codes."""
+    codes = codes.combine_chunks() if isinstance(codes, pa.ChunkedArray) else codes
+    data, offsets = K.buffers(codes.cast(pa.large_binary()))
+    x = np.frombuffer(data[offsets[0] : offsets[-1]].tobytes(), np.int64)
+    return np.repeat(np.arange(len(codes)), np.diff(offsets) // 8), x & 127, x >> 7
+
+
+def _summed(rows: pa.Table) -> pa.Table:
+    """Rows of neighbours(), in the order of h, with one row a word."""
+    h, kind = rows.column("h").to_numpy(), rows.column("class").to_numpy()
+    heads = np.flatnonzero(np.r_[True, h[1:] != h[:-1]])
+    place = np.searchsorted(heads, np.arange(len(h)), "right") - 1
+    row, code, n = _unpacked(rows.column("codes"))
+    key, back = np.unique(place[row] * 128 + code, return_inverse=True)
+    return _packed(h[heads].view(np.uint64), kind[heads], key, np.bincount(back, n).astype(np.int64))
+
+
+def class_bigrams(found: DataFrame) -> np.ndarray:
+    """Counts of class pairs from neighbours()."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = np.zeros(ALL_CLASSES**2, np.int64)
+        for batch in batches:
+            if batch.num_rows:
+                row, code, n = _unpacked(batch.column(1))
+                own = batch.column(0).to_numpy().astype(np.int64)[row]
+                after = code >= _AFTER
+                to = np.where(code == _SELF, own, code - _AFTER)
+                table += np.bincount((own * ALL_CLASSES + to)[after], n[after], minlength=len(table)).astype(np.int64)
+        at = np.flatnonzero(table)
+        yield from _batches(at.astype(np.uint64), table[at], ["pair", "n"])
+
+    pairs = found.select("class", "codes").mapInArrow(run, "pair bigint, n bigint").groupBy("pair").agg(F.sum("n").alias("n")).toArrow()  # ALL_CLASSES**2 rows at most
+    out = np.zeros(ALL_CLASSES**2, np.int64)
+    out[pairs["pair"].to_numpy()] = pairs["n"].to_numpy()
+    return out.reshape(ALL_CLASSES, ALL_CLASSES)
+
+
+def likelihood(pairs: np.ndarray) -> float:
+    """The part of the log likelihood of the class bigrams that depends on the classes."""
+    pairs = pairs.astype(float)
+    return float(_xlogx(pairs).sum() - _xlogx(pairs.sum(0)).sum() - _xlogx(pairs.sum(1)).sum())
+
+
+def best_classes(kind: np.ndarray, row: np.ndarray, code: np.ndarray, n: np.ndarray, pairs: np.ndarray) -> np.ndarray:
+    """The class of highest likelihood for each word, all others staying: kind is the words' classes, (row, code, n) their neighbours by row.
+
+    A word's counts are taken out of its own class before that is compared with the others; ties stay. An empty class takes none, since every word gains by a class of its own and all would move there together.
+    """
+    free, pairs = END_CLASS, pairs.astype(float)
+    key, back = np.unique(n << 7 | code, return_inverse=True)
+    c, m = key & 127, (key >> 7).astype(float)[:, None]
+    # the cell of each neighbour in each class: before, after, or the corner for the word itself
+    corner = np.broadcast_to(np.diag(pairs)[:free], (len(key), free))
+    cell = np.where((c == _SELF)[:, None], corner, np.where((c >= _AFTER)[:, None], pairs[:free, np.minimum(c % _AFTER, ALL_CLASSES - 1)].T, pairs[np.minimum(c % _AFTER, ALL_CLASSES - 1), :free]))
+    into = _xlogx(cell + m) - _xlogx(cell)
+    stay = _xlogx(cell) - _xlogx(np.maximum(cell - m, 0))
+    heads = np.flatnonzero(np.r_[True, row[1:] != row[:-1]])
+    own = kind[row]
+    gain = into[back]
+    gain[np.arange(len(row)), own] = stay[back, own]
+    gain = np.add.reduceat(gain, heads, axis=0)
+    for side, total in ((code >= _AFTER, pairs.sum(1)[:free]), ((code < _AFTER) | (code == _SELF), pairs.sum(0)[:free])):
+        w = np.add.reduceat(np.where(side, n, 0), heads).astype(float)[:, None]
+        less = _xlogx(total + w) - _xlogx(total)
+        at = np.arange(len(kind))
+        less[at, kind] = (_xlogx(total) - _xlogx(np.maximum(total - w, 0)))[at, kind]
+        gain -= less
+    gain[:, (pairs.sum(0) + pairs.sum(1))[:free] == 0] = -np.inf
+    best = gain.argmax(1)
+    at = np.arange(len(kind))
+    return np.where(gain[at, best] > gain[at, kind] + 1e-9, best, kind)
+
+
+def exchanged(found: DataFrame, pairs: np.ndarray, head: np.ndarray) -> DataFrame:
+    """(h, moved): the new classes of the words of neighbours() outside the sorted head."""
+    fixed = np.r_[head, END, RARE].view(np.int64)
+
+    def run(batch: pa.RecordBatch) -> pa.RecordBatch | None:
+        batch = batch.filter(pa.array(~np.isin(batch.column(0).to_numpy(), fixed)))
+        if not batch.num_rows:
+            return None
+        best = best_classes(batch.column(1).to_numpy().astype(np.int64), *_unpacked(batch.column(2)), pairs)
+        return pa.RecordBatch.from_arrays([batch.column(0), pa.array(best.astype(np.int32))], ["h", "moved"])
+
+    return map_batches(found, run, "h bigint, moved int")
 
 
 def chunk_words(docs: DataFrame) -> DataFrame:
@@ -357,7 +520,9 @@ def score(docs: DataFrame, training: Column, chunk: Column, id_col: str = "doc_i
     """
     kind_of = docs.schema[id_col].dataType.simpleString()
     training = F.coalesce(training, F.lit(False))
-    words = vocabulary(docs.where(training).select(F.col(text_col).alias("text")))
+    chunked = docs.select(chunk.cast("bigint").alias("chunk"), F.col(id_col).alias("id"), (~training).alias("held_out"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    own = stored(chunk_words(chunked.select("chunk", "text")), "words")
+    words = vocabulary(chunked.where("not held_out").select("chunk", "text"), own)
     totals = {r["class"]: (r["t"], r["v"]) for r in words.groupBy("class").agg(F.sum("n").alias("t"), F.count("*").alias("v")).collect()}
     tokens, kinds = sum(t for t, _ in totals.values()), sum(v for _, v in totals.values())
     class_total = np.array([totals.get(c, (0, 0))[0] for c in range(ALL_CLASSES)], np.int64)
@@ -365,8 +530,7 @@ def score(docs: DataFrame, training: Column, chunk: Column, id_col: str = "doc_i
     once = int(class_total[RARE_CLASS])
     unknown = min(0.9, max(0.1, once / (once + 2 * twice))) if once else 0.9
 
-    chunked = docs.select(chunk.cast("bigint").alias("chunk"), F.col(id_col).alias("id"), (~training).alias("held_out"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    own = chunk_words(chunked.select("chunk", "text")).join(words, "h").select("chunk", "h", "n", "class")
+    own = own.join(words, "h").select("chunk", "h", "n", "class")
     # the end belongs to every chunk
     ends = chunked.select("chunk").distinct().crossJoin(F.broadcast(words.where(F.col("h") == int(END)).select("h", "n", "class")))  # one row
     known = own.unionByName(ends.select("chunk", "h", "n", "class"))

@@ -465,6 +465,46 @@ def test_exchange_finds_alternating_classes():
     assert len({*label[:10]}) == 1 and len({*label[10:]}) == 1 and label[0] != label[10]
 
 
+def test_words_outside_the_head_are_exchanged(spark):
+    rng = random.Random(5)
+    sides = [[f"{p}{i}" for i in range(60)] for p in "ab"]
+    # what comes before a word tells nothing of it; what comes after does, as it does of the common words u0 and u1
+    texts = [" ".join(w for _ in range(25) for k in [rng.randrange(2)] for w in (f"x{rng.randrange(4)}", f"u{k}" if rng.random() < 0.4 else rng.choice(sides[k]), f"y{k}")) for _ in range(150)]
+    docs = spark.createDataFrame([(i % 3, t) for i, t in enumerate(texts)], "chunk bigint, text string")
+    own = class_lm.chunk_words(docs)
+    plain, found = (class_lm.vocabulary(docs, own, head_size=8, rounds=r) for r in (0, 2))
+    pairs = [class_lm.class_bigrams(class_lm.neighbours(docs, own, words)) for words in (plain, found)]
+    assert all(p.sum() == sum(len(t.split()) + 1 for t in texts) for p in pairs)
+    assert class_lm.likelihood(pairs[1]) > class_lm.likelihood(pairs[0]) + 500
+
+    def right(words):
+        kinds = {r.h: r["class"] for r in words.collect()}
+        hashes = [[next(class_lm._documents(pa.array([w], pa.large_string())))[0].view(np.int64)[0] for w in ws] for ws in sides]
+        a, b = ([kinds[h] for h in hs if h in kinds] for hs in hashes)
+        return sum(max(a.count(k), b.count(k)) for k in {*a, *b}) / (len(a) + len(b))
+
+    assert right(plain) < 0.8 and right(found) > 0.95
+
+
+def test_best_classes_against_whole_likelihoods():
+    rng = np.random.default_rng(1)
+    pairs = rng.integers(500, 3000, (class_lm.ALL_CLASSES, class_lm.ALL_CLASSES))
+    codes = [(3, 4), (20, 1), (class_lm._AFTER + 7, 5), (class_lm._AFTER + class_lm.END_CLASS, 2), (class_lm._SELF, 2)]
+    for kind in (9, 30):
+        got = class_lm.best_classes(np.array([kind]), np.zeros(5, int), np.array([c for c, _ in codes]), np.array([n for _, n in codes]), pairs)[0]
+
+        def moved(b):
+            p = pairs.copy()
+            for where, sign in ((kind, -1), (b, 1)):
+                for c, n in codes:
+                    at = (where, where) if c == class_lm._SELF else (where, c - class_lm._AFTER) if c >= class_lm._AFTER else (c, where)
+                    p[at] += sign * n
+            return class_lm.likelihood(p)
+
+        gains = np.array([moved(b) for b in range(class_lm.END_CLASS)])
+        assert gains[got] > gains.max() - 0.05
+
+
 def test_class_probabilities_sum_to_one():
     p = 10 ** class_lm.smoothed(np.random.default_rng(0).integers(0, 9, (class_lm.ALL_CLASSES, class_lm.ALL_CLASSES)))
     assert np.allclose(p.sum(1), 1, atol=1e-9)
