@@ -8,7 +8,7 @@ it. Then all words seen twice or more outside the head are exchanged ROUNDS time
 and the tail's alike, with the highest likelihood of the current class bigrams, from the counts of its neighbours' classes on both
 sides; a round that lowers the likelihood is taken back. Words that occur once stay together, as they stand for unknown words, whose
 neighbours no count tells; the two share a class, in which the unknown ones have the share that once-words have among words seen once
-or twice. The end of a document is a class of its own, and stands before its first word too. Class transitions are smoothed by class
+or twice, in equal parts for as many unknown words as those counts let expect (the base has one unknown word). The end of a document is a class of its own, and stands before its first word too. Class transitions are smoothed by class
 frequencies.
 
 The vocabulary is never gathered: documents are read chunk by chunk in each round and in scoring, each chunk joined with the classes of
@@ -439,10 +439,16 @@ def chunk_words(docs: DataFrame) -> DataFrame:
     return docs.mapInArrow(run, "chunk bigint, h bigint").distinct()
 
 
-def encoded(docs: DataFrame, words: DataFrame, kind_of: str, tokens: int, kinds: int, class_total: np.ndarray, unknown: float) -> DataFrame:
+def unseen_types(once: int, twice: int) -> float:
+    """How many words the training documents lack, at least one: Chao's estimate from the words seen once and twice."""
+    return max(1.0, once * (once - 1) / (2 * (twice + 1)))
+
+
+def encoded(docs: DataFrame, words: DataFrame, kind_of: str, tokens: int, kinds: int, class_total: np.ndarray, unknown: float, unseen: float) -> DataFrame:
     """(id, held_out, n_tokens, n_known, base_score, emission, classes): all of a document's score but the transitions.
 
-    docs: (chunk, id, held_out, text); words: (chunk, h, n, class) of each chunk's known words.
+    docs: (chunk, id, held_out, text); words: (chunk, h, n, class) of each chunk's known words. unknown: what the unknown words have of the
+    rare class; each of the `unseen` ones that are estimated has an equal part of it.
     """
     floor = np.log10(1 / (tokens + kinds + 1))
     total = np.maximum(class_total.astype(float), 1)
@@ -454,7 +460,7 @@ def encoded(docs: DataFrame, words: DataFrame, kind_of: str, tokens: int, kinds:
         h, n, kind = h[order], right.column("n").to_numpy()[order], right.column("class").to_numpy()[order]
         base = np.r_[np.log10((n + 1) / (tokens + kinds + 1)), floor]
         own = np.where(kind == RARE_CLASS, (1 - unknown) / max(rare, 1), n / total[kind])
-        emission = np.r_[np.log10(np.maximum(own, 1e-300)), np.log10(unknown)]
+        emission = np.r_[np.log10(np.maximum(own, 1e-300)), np.log10(unknown / unseen)]
         kind = np.r_[kind, RARE_CLASS].astype(np.uint8)
         out = [[] for _ in range(5)]
         for chunk in left.column("text").chunks:
@@ -534,7 +540,7 @@ def score(docs: DataFrame, training: Column, chunk: Column, id_col: str = "doc_i
     # the end belongs to every chunk
     ends = chunked.select("chunk").distinct().crossJoin(F.broadcast(words.where(F.col("h") == int(END)).select("h", "n", "class")))  # one row
     known = own.unionByName(ends.select("chunk", "h", "n", "class"))
-    rows = stored(encoded(chunked, known, kind_of, tokens, kinds, class_total, unknown), "encoded")
+    rows = stored(encoded(chunked, known, kind_of, tokens, kinds, class_total, unknown, unseen_types(once, twice)), "encoded")
     table = smoothed(transitions(rows.where("not held_out").select("classes"))).reshape(-1)
 
     def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -510,6 +510,14 @@ def test_class_probabilities_sum_to_one():
     assert np.allclose(p.sum(1), 1, atol=1e-9)
 
 
+def test_unknown_words_share_their_mass(spark):
+    texts = [" ".join(["the"] * 20 + [f"w{40 * i + k}" for k in range(40)]) for i in range(20)] + [" ".join(f"junk{k}" for k in range(60)), " ".join(["the"] * 60)]
+    df = spark.createDataFrame([*enumerate(texts)], "doc_id bigint, text string")
+    junk, plain = class_lm.score(df, F.col("doc_id") < 20, F.lit(0)).where("held_out").orderBy("doc_id").collect()
+    # 800 words occur once and none twice, so an unknown word is one of hundreds of thousands
+    assert class_lm.unseen_types(800, 0) == 319_600 and junk.n_known == 1 and junk.score / 60 < -5 and junk.score < plain.score - 200
+
+
 def test_class_model_odd_rows(spark, odd, none):
     for training in (F.col("doc_id") != 3, F.lit(False)):
         rows = class_lm.score(odd, training, F.lit(0)).collect()
