@@ -9,7 +9,7 @@ by kind; a logistic model turns them into a score.
 Insults are learned from the labelled rows: words, and word beginnings of 3 to 8 letters, that toxic documents have far
 more often than others (a likelihood ratio well beyond chance, and 8 times the odds). The log of the odds is the weight of the
 lexical transducer's arc, so a doubtful word counts less than a plain one. Near copies in the sample count
-once together: a document weighs one over the size of its largest group of equal minima of shingle hashes. Model weights
+once together: a document weighs one over the size of its largest group that agrees in COPIED of eight minima of shingle hashes. Model weights
 start from priors for kinds that the labels don't show. The fit uses at most TOXIC rows labelled 1 and CLEAN rows
 labelled 0, those with the smallest hashes of their ids; scoring covers every whole text.
 
@@ -24,6 +24,7 @@ import math
 import re
 from collections import defaultdict
 from dataclasses import dataclass, field
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -34,6 +35,8 @@ from . import kernels
 from .common import map_batches, stored, text_of
 
 TOXIC, CLEAN, ODDS = 4_000, 12_000, 8.0
+#: Equal minima of near copies, of eight; a shared passage gives fewer.
+COPIED = 5
 NONE, INSULT, THREAT, TARGET, NEGATION, REPORT, NEGATED_INSULT, NEGATED_THREAT, REPORTED_INSULT, REPORTED_THREAT = range(10)
 
 #: Seed words; what the labels teach comes on top.
@@ -240,10 +243,13 @@ def minima(texts: list[str], n: int = 8) -> np.ndarray:
 
 
 def document_weights(low: np.ndarray) -> np.ndarray:
-    """One over the size of each document's largest group of equal minima."""
+    """One over the size of each document's largest group whose members all agree in the same COPIED minima."""
     sizes = np.ones(len(low))
-    for k in range(low.shape[1]):
-        _, back, n = np.unique(low[:, k], return_inverse=True, return_counts=True)
+    for some in combinations(range(low.shape[1]), COPIED):
+        h = np.zeros(len(low), np.uint64)
+        for k in some:
+            h = kernels.mix(h ^ low[:, k].view(np.uint64)) + np.uint64(k)
+        _, back, n = np.unique(h, return_inverse=True, return_counts=True)
         sizes = np.maximum(sizes, n[back])
     return 1 / sizes
 

@@ -369,6 +369,13 @@ def test_grammar_scores_clauses():
     assert two[0] > one[0] > 0
 
 
+def test_a_shared_passage_makes_no_copies():
+    rng = np.random.default_rng(2)
+    low = rng.integers(0, 1 << 62, (12, 8)).astype(np.int64)
+    low[:6, 3], low[6:9, :2], low[10, 2:7] = 7, 9, low[11, 2:7]
+    assert toxicity.document_weights(low).tolist() == [1.0] * 10 + [0.5] * 2
+
+
 @needs_tables
 def test_toxicity_on_held_out_rows(spark):
     sf = "/root/testdata/sf0.1"
