@@ -33,6 +33,13 @@ def test_query(spark, duck, name):
         assert sorted(rows, key=repr) == sorted(want, key=repr)
 
 
+def test_candidates_meet_all_customers(spark, monkeypatch):
+    seen, plain = [], catalog.imports.resolved
+    monkeypatch.setattr(catalog.imports, "resolved", lambda statements, listing: seen.append(listing) or plain(statements, listing))
+    catalog.QUERIES["candidate_resolution"](spark, ROOT)
+    assert seen[0].count() == spark.read.parquet(f"{ROOT}/customer.parquet").count()
+
+
 def test_entry(spark):
     import __spark_entry__ as entry
 
