@@ -33,6 +33,8 @@ class Encoder:
         # what is used stays, what isn't goes when the younger generation is full
         self.pieces: list[dict[str, bytes]] = [{"": b""}, {}]
         vocabulary = self.tokenizer.get_vocab()
+        #: The special strings, in small letters; the library looks for them in texts as they are, before it lowers them.
+        self.special = [t.content.lower() for t in self.tokenizer.get_added_tokens_decoder().values()]
         #: Bytes that hold any id.
         self.width = 2 if self.tokenizer.get_vocab_size() <= 1 << 16 else 4
         self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
@@ -52,7 +54,8 @@ class Encoder:
         return [blob[a:b] for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
 
     def _split(self, text: str) -> list[str]:
-        """The text's pieces; in small letters, if that is the vocabulary's own lowering: below U+0100, where nothing composes."""
+        """The text's pieces; in small letters, if that is the vocabulary's own lowering (below U+0100, where nothing composes) and makes
+        no special string."""
         low = text.isascii()
         if not low:
             try:
@@ -61,7 +64,9 @@ class Encoder:
             except UnicodeEncodeError:
                 pass
         if low:
-            text = text.lower()
+            small = text.lower()
+            if not any(x in small for x in self.special):
+                text = small
         return text.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ")
 
     def _learn(self, pieces: list[str], old: dict[str, bytes], young: dict[str, bytes]) -> None:

@@ -51,6 +51,29 @@ def test_counts_match_plain_python(texts):
         assert {k: row[text_stats.COUNTS.index(k)] for k in want} == want
 
 
+def thue_morse(n):
+    """A word of n letters and its complement, which collide in every polynomial hash modulo a power of two."""
+    a = "".join("ab"[i.bit_count() % 2] for i in range(n))
+    return a, a.translate(str.maketrans("ab", "ba"))
+
+
+@pytest.mark.parametrize("n", [64, 1024, 2048, 65536])
+def test_counts_of_words_alike(n):
+    a, b = thue_morse(n)
+    text = f"{a}\n{b}\n{a} {b} {a} {a}\n{b} {a} {a} {b}"
+    row = text_stats.counts(pa.array([text], pa.large_string()))[0]
+    want = text_stats.slow_counts(text)
+    assert {k: row[text_stats.COUNTS.index(k)] for k in want} == want and row[text_stats.COUNTS.index("n_kinds")] == 2
+
+
+def test_words_with_other_ends_have_other_hashes():
+    words = sorted({w[:k] for w in ("a" * 90, "ab" * 45, "\0" * 90, "é" * 45) for k in range(1, len(w))})
+    h = [kernels.words(np.frombuffer(w.encode(), np.uint8), np.zeros(1, np.int64), key=kernels.FIXED)[2] for w in words]
+    assert all(len(x) == 1 for x in h) and len({int(x[0]) for x in h}) == len(words)
+    at_end = kernels.words(np.frombuffer(b"zz ab", np.uint8), np.zeros(1, np.int64))[2][1]
+    assert at_end == kernels.words(np.frombuffer(b"ab ababab", np.uint8), np.zeros(1, np.int64))[2][0]
+
+
 def test_counts_of_long_texts(monkeypatch):
     monkeypatch.setattr(kernels, "WINDOW", 1 << 10)
     rng = random.Random(1)
@@ -257,6 +280,15 @@ def test_ids_are_the_library_s(text):
     assert np.frombuffer(tokens.encoder(tokens.default_path()).encode(text), "<u4").tolist() == direct_ids([text])[0]
 
 
+_CASES = st.sampled_from(["<|startoftext|>", "<|endoftext|>"]).flatmap(lambda x: st.lists(st.booleans(), min_size=len(x), max_size=len(x)).map(lambda up: "".join(c.upper() if u else c for c, u in zip(x, up, strict=True))))
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.lists(_CASES | st.sampled_from(["<|endoftext|>", "<|STARTOFTEXT|>"]) | st.text(alphabet="aB É é\u0130\u4e00'1.<|>\n", max_size=8), max_size=6).map("".join))
+def test_ids_of_special_strings_in_any_case(text):
+    assert np.frombuffer(tokens.encoder(tokens.default_path()).encode(text), "<u4").tolist() == direct_ids([text])[0]
+
+
 def test_ids_with_a_small_cache(monkeypatch):
     monkeypatch.setattr(tokens, "CACHE", 10)
     monkeypatch.setattr(tokens, "TOGETHER", 50)
