@@ -45,7 +45,7 @@ def _documents(texts: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray, int]]:
     """(word hashes, document indexes, documents) for runs of documents."""
     data, offsets = K.buffers(texts)
     for i, j in K.units(offsets):
-        _, _, _, _, h, doc = K.unit_words(data, offsets, i, j, fold=True)
+        _, _, _, _, h, doc = K.unit_words(data, offsets, i, j, fold=True, key=K.FIXED)
         yield h, doc, j - i
 
 

@@ -1,20 +1,28 @@
 """Columnar byte kernels over the text buffers of Arrow batches: word hashes, shingles and repeats, without a Python loop over words.
 
-A word is a run of bytes other than 0x20 and 0x09-0x0D. Its hash is a polynomial over the 64-bit integers with random
-byte values, from differences of a running sum, so that all words of a megabyte are hashed by a few numpy calls.
-Distinct words share a hash with a chance of about 2**-64 a pair.
+A word is a run of bytes other than 0x20 and 0x09-0x0D. Its hash is a pair of multilinear sums over its 32-bit pieces, of which the
+upper halves are kept: with secret coefficients, two different words chosen without them share it with a chance of 2**-64
+(Lemire and Kaser, Strongly universal string hashing is fast), whatever the words. Words beyond 64 bytes are hashed by keyed BLAKE2b.
+The key is drawn once a process; hashes that leave it need one key for all workers, which the caller gives.
 """
 
 from __future__ import annotations
 
+import secrets
 from collections.abc import Iterator
+from functools import cache
+from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
 
 #: Bytes that are hashed at once; a longer document is cut at a space.
 WINDOW = 1 << 16
-_P, _GOLD = 0x9E3779B97F4A7C15, 0x9E3779B97F4A7C15
+_GOLD = 0x9E3779B97F4A7C15
+#: The key of hashes that stay in this process; one for results that must not differ between runs.
+LOCAL, FIXED = secrets.randbits(64), 0x243F6A8885A308D3
+#: Eight-byte blocks of the longest word that is hashed by sums.
+_BLOCKS = 8
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -24,22 +32,20 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-_VALUE = mix((np.arange(1, 257, dtype=np.uint64)) * np.uint64(_GOLD))
-_FOLDED = _VALUE.copy()
-_FOLDED[65:91] = _VALUE[97:123]
 SPACE = np.zeros(256, bool)
 SPACE[[32, 9, 10, 11, 12, 13]] = True
-_powers = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
+_LOWER = np.arange(256, dtype=np.uint8)
+_LOWER[65:91] += 32
+#: Masks of the first 0 to 8 bytes of a block.
+_FIRST = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
+_LOW, _HALF = np.uint64(0xFFFFFFFF), np.uint64(32)
 
 
-def _grown(n: int) -> list[np.ndarray]:
-    if len(_powers[0]) < n:
-        size = max(n, WINDOW + 1)
-        for k, base in enumerate((_P, pow(_P, -1, 1 << 64))):
-            x = np.full(size, base, np.uint64)
-            x[0] = 1
-            _powers[k] = np.multiply.accumulate(x)
-    return _powers
+@cache
+def _coefficients(key: int) -> np.ndarray:
+    """(2, 2 * _BLOCKS + 1): what each lane multiplies the halves of blocks and the length by."""
+    n = 2 * (2 * _BLOCKS + 1)
+    return mix(np.uint64(key) + np.arange(1, n + 1, dtype=np.uint64) * np.uint64(_GOLD)).reshape(2, -1)
 
 
 def buffers(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -58,9 +64,8 @@ def units(offsets: np.ndarray) -> Iterator[tuple[int, int]]:
         i = j
 
 
-def _hash_window(data: np.ndarray, edges: np.ndarray, value: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _hash_window(data: np.ndarray, edges: np.ndarray, fold: bool, key: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     n = len(data)
-    pw, inverse = _grown(n)
     space = SPACE[data]
     cut = np.zeros(n + 1, bool)
     cut[edges] = True
@@ -70,16 +75,31 @@ def _hash_window(data: np.ndarray, edges: np.ndarray, value: np.ndarray) -> tupl
     s, e = np.flatnonzero(first), np.flatnonzero(last) + 1
     if not len(s):
         return s, e, np.zeros(0, np.uint64)
-    run = np.zeros(n + 1, np.uint64)
-    np.cumsum(value[data] * pw[:n], out=run[1:])
-    return s, e, mix((run[e] - run[s]) * inverse[s] + (e - s).astype(np.uint64) * np.uint64(_GOLD))
+    text = np.zeros(n + 8, np.uint8)
+    text[:n] = _LOWER[data] if fold else data
+    block_at = np.ndarray((n + 1,), "<u8", text, strides=(1,))
+    length, a = e - s, _coefficients(key)
+    sums = [a[lane, -1] * length.astype(np.uint64) for lane in range(2)]
+    live = slice(None)
+    for k in range(_BLOCKS):
+        if k:
+            live = np.flatnonzero(length > 8 * k)
+            if not len(live):
+                break
+        x = block_at[s[live] + 8 * k] & _FIRST[np.minimum(length[live] - 8 * k, 8)]
+        for lane in range(2):
+            sums[lane][live] += a[lane, 2 * k] * (x & _LOW) + a[lane, 2 * k + 1] * (x >> _HALF)
+    h = sums[0] >> _HALF << _HALF | sums[1] >> _HALF
+    for i in np.flatnonzero(length > 8 * _BLOCKS):
+        h[i] = int.from_bytes(blake2b(text[s[i] : e[i]], digest_size=8, key=key.to_bytes(8, "little")).digest(), "little")
+    return s, e, mix(h)
 
 
-def words(data: np.ndarray, starts: np.ndarray, fold: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def words(data: np.ndarray, starts: np.ndarray, fold: bool = False, key: int = LOCAL) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(start, end, hash) of each word of data; no word crosses a document's first byte in starts. fold: A-Z as a-z."""
-    value, n = _FOLDED if fold else _VALUE, len(data)
+    n = len(data)
     if n <= WINDOW:
-        return _hash_window(data, starts[starts < n], value)
+        return _hash_window(data, starts[starts < n], fold, key)
     parts, p = [], 0
     while p < n:
         q = min(n, p + WINDOW)
@@ -89,17 +109,17 @@ def words(data: np.ndarray, starts: np.ndarray, fold: bool = False) -> tuple[np.
                 break
             q = min(n, q + WINDOW)
         inside = starts[(starts >= p) & (starts < q)] - p
-        s, e, h = _hash_window(data[p:q], inside, value)
+        s, e, h = _hash_window(data[p:q], inside, fold, key)
         parts.append((s + p, e + p, h))
         p = q
     return tuple(np.concatenate(x) for x in zip(*parts, strict=True))
 
 
-def unit_words(data: np.ndarray, offsets: np.ndarray, i: int, j: int, fold: bool = False) -> tuple[np.ndarray, ...]:
+def unit_words(data: np.ndarray, offsets: np.ndarray, i: int, j: int, fold: bool = False, key: int = LOCAL) -> tuple[np.ndarray, ...]:
     """(bytes, document starts, start, end, hash, document index) of documents i to j, positions counted from the first byte."""
     d = data[offsets[i] : offsets[j]]
     starts = (offsets[i:j] - offsets[i]).astype(np.int64)
-    s, e, h = words(d, starts, fold)
+    s, e, h = words(d, starts, fold, key)
     return d, starts, s, e, h, np.searchsorted(starts, s, "right") - 1
 
 
@@ -158,32 +178,17 @@ def repeated_words(h: np.ndarray, doc: np.ndarray, n: int, size: int = 3) -> np.
     return np.bincount(doc[mark], minlength=n).astype(np.int64)
 
 
-def repeated_lines(data: np.ndarray, starts: np.ndarray, word_at: np.ndarray, n: int) -> np.ndarray:
-    """For each of n documents, the lines (split at line feeds) with a word that equal an earlier line of it."""
-    if not len(data):
-        return np.zeros(n, np.int64)
-    if len(data) > WINDOW:  # one long document
-        seen, twice = set(), 0
-        for line in data.tobytes().split(b"\n"):
-            if line.strip(b" \t\n\x0b\x0c\r"):
-                twice += line in seen
-                seen.add(line)
-        return np.array([twice], np.int64)
-    pw, inverse = _grown(len(data) + 1)
-    live = starts[np.r_[starts[1:] > starts[:-1], starts[-1] < len(data)]]  # documents with bytes
-    breaks = np.flatnonzero(data == 10)
-    begin = np.unique(np.r_[live, breaks + 1])
-    begin = begin[begin < len(data)]
-    end = np.r_[begin[1:], len(data)]
-    end = end - (data[end - 1] == 10)
-    run = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum(_VALUE[data] * pw[: len(data)], out=run[1:])
-    full = np.searchsorted(word_at, end) > np.searchsorted(word_at, begin)
-    begin, end = begin[full], end[full]
-    doc = np.searchsorted(starts, begin, "right") - 1
-    h = mix((run[end] - run[begin]) * inverse[begin] + (end - begin).astype(np.uint64) * np.uint64(_GOLD))
-    _, bounds = distinct_sets(h, doc, n)
-    return np.bincount(doc, minlength=n) - np.diff(bounds)
+def repeated_lines(data: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """For each document, the lines (split at line feeds) with a word that equal an earlier line of it; lines are compared whole."""
+    n = len(starts)
+    out, ends = np.zeros(n, np.int64), np.r_[starts[1:], len(data)]
+    breaks = np.searchsorted(np.flatnonzero(data == 10), np.r_[starts, len(data)])
+    for i in np.flatnonzero(np.diff(breaks)):
+        lines = data[starts[i] : ends[i]].tobytes().split(b"\n")
+        if len(lines) > len({*lines}):
+            lines = [x for x in lines if x.strip(b" \t\n\x0b\x0c\r")]
+            out[i] = len(lines) - len({*lines})
+    return out
 
 
 def per_doc(flags: np.ndarray, starts: np.ndarray) -> np.ndarray:

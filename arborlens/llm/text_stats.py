@@ -46,7 +46,7 @@ def counts(texts: pa.Array) -> np.ndarray:
         blank = letters[e] == letters[s]
         out[i:j] = np.stack(
             [
-                np.bincount(doc, minlength=n), K.per_doc(lead & ~space, starts), K.per_doc(_SYMBOL[d], starts), K.repeated_lines(d, starts, s, n),
+                np.bincount(doc, minlength=n), K.per_doc(lead & ~space, starts), K.per_doc(_SYMBOL[d], starts), K.repeated_lines(d, starts),
                 K.repeated_words(h, doc, n), K.per_doc(upper, starts), K.per_doc(lower, starts), K.per_doc((d >= 48) & (d <= 57), starts),
                 K.per_doc(_MARK[d], starts), K.per_doc(wide, starts), K.per_doc(_STOP[d], starts), K.per_doc(d == 10, starts), np.diff(bounds),
                 np.bincount(doc[blank], minlength=n),

@@ -236,7 +236,7 @@ def minima(texts: list[str], n: int = 8) -> np.ndarray:
     low = np.zeros((len(texts), n), np.uint64)
     data, offsets = kernels.buffers(pa.array(texts, pa.large_string()))
     for i in range(len(texts)):
-        h = kernels.words(data[offsets[i] : offsets[i + 1]], np.zeros(1, np.int64), fold=True)[2]
+        h = kernels.words(data[offsets[i] : offsets[i + 1]], np.zeros(1, np.int64), fold=True, key=kernels.FIXED)[2]
         h = kernels.shingles(h, np.zeros(len(h), np.int64), 4)[0]
         low[i] = [kernels.mix(h ^ s).min() if len(h) else 0 for s in salts]
     return low
