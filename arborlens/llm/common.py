@@ -78,26 +78,32 @@ def text_of(column: pa.Array) -> pa.Array:
     return pc.fill_null(column.cast(pa.large_string()), "")
 
 
+#: Edges up to which joins of connected_components broadcast one side, of 16 bytes a row and twice as many rows at most.
+FEW = 200_000
+
+
 def connected_components(edges: DataFrame) -> DataFrame:
     """(id, component): the smallest id that each id of edges (a, b) reaches, by alternating large-star and small-star.
 
     Edges are replaced by edges to the smallest known neighbour until nothing changes; every step is a partial
-    aggregation and an equi-join, so no neighbourhood is ever gathered in one row. Each round is written to the
+    aggregation and an equi-join, so no neighbourhood is ever gathered in one row. Few edges are joined by broadcast; of more, both
+    sides of each join are stored tables, whose partitions Spark splits where a node has very many neighbours. Each round is written to the
     shared folder. Empty edges give an empty result; loops and repeated edges don't matter.
     """
     pairs = edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct()
     pairs, before = stored(pairs, "edges"), None
     while True:
+        now = pairs.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
+        if now == before:
+            break
+        before, many = now, now[0] > FEW
         both = pairs.unionByName(pairs.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+        large = both.join(stored(low, "lowest") if many else F.broadcast(low), "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+        large = stored(large, "edges") if many else large
         least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u").select(F.explode(F.array(F.struct("v", "m"), F.struct(F.col("u").alias("v"), "m"))).alias("e"))
+        small = large.join(stored(least, "lowest") if many else F.broadcast(least), "u").select(F.explode(F.array(F.struct("v", "m"), F.struct(F.col("u").alias("v"), "m"))).alias("e"))
         pairs = stored(small.select(F.col("e.v").alias("u"), F.col("e.m").alias("v")).where("u <> v").distinct(), "edges")
-        now = pairs.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if now == before:
-            break
-        before = now
     out = pairs.groupBy("u").agg(F.min("v").alias("component")).select(F.col("u").alias("id"), "component")
     roots = pairs.select(F.col("v").alias("id")).distinct().select("id", F.col("id").alias("component"))
     return stored(out.unionByName(roots.join(out, "id", "left_anti")), "components")

@@ -11,21 +11,28 @@
    of half the threshold or more.
 4. Candidates are verified on full sets; links give connected components.
 5. Long lists that still hold several components are finished exactly. Lists with the same main component are one group, in which
-   every class outside that component meets every other class, full set against full set, block by block; of a pair of blocks only
-   links between components that it hasn't linked yet come out. A group of thousands of similar documents is mostly one
+   every class outside that component meets every class whose size allows the similarity, full set against full set, block by block; of a pair of
+   blocks only links between components that it hasn't linked yet come out. A group of thousands of similar documents is mostly one
    component by then, so this costs what the strays cost; nothing is dropped or capped.
 
-Cases: a null or wordless text has no set and is linked with nothing; with fewer words than a shingle the whole
-sequence is one; rows with one id are one document; a row without an id is linked with nothing; an empty table gives an empty result.
+All hashes rest on a key that is drawn for each call, after the texts are given, so no texts can be made whose different shingles meet; the
+results don't depend on it.
+
+Cases: a null text has no set, nor has one without words; they are linked with nothing. With fewer words than a shingle the whole
+sequence is one. Texts of any length count whole. Rows with one id are one document and give one row: its set is the union of its
+texts' sets (an id with more shingles than a task can hold is like a text too long for one). A row without an id is a document of its own, linked with nothing
+and kept. Equal texts are linked, whatever their order. Columns besides the two that are named don't matter. An empty table gives an empty result.
 """
 
 from __future__ import annotations
 
+import math
+import secrets
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import kernels as K
@@ -33,30 +40,35 @@ from .common import connected_components, join_counted, map_batches, stored, tex
 
 SIZE, THRESHOLD, RETAINED, SHARE = 5, 0.8, 32, 0.4
 SHORT, PORTION = 16, 512
-#: Values of full sets in a block of step 5.
-BLOCK = 1 << 17
+#: Values of full sets, and sets, in a block of step 5.
+BLOCK, ROWS = 1 << 17, 512
+_OTHER = np.uint64(0xA5A5A5A5A5A5A5A5)
 
 
-def _sets(texts: pa.Array, size: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+def _sets(texts: pa.Array, size: int, key: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     """(first document, values, bounds) for runs of documents."""
     data, offsets = K.buffers(texts)
     for i, j in K.units(offsets):
-        _, _, _, _, h, doc = K.unit_words(data, offsets, i, j, fold=True)
+        _, _, _, _, h, doc = K.unit_words(data, offsets, i, j, fold=True, key=key)
         yield i, *K.distinct_sets(*K.shingles(h, doc, size), j - i)
 
 
-def sketched(docs: DataFrame, id_col: str, text_col: str, size: int, k: int) -> DataFrame:
-    """(id, n, s1, s2, sketch): set size, a 128-bit hash of the set, and its k least values. Nothing is shuffled."""
+def _rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+
+
+def sketched(docs: DataFrame, id_col: str, text_col: str, size: int, k: int, key: int) -> DataFrame:
+    """(id, n, s1, s2, sketch) of each row: set size, a 128-bit hash of the set, and its k least values. Nothing is shuffled."""
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         n, sums, sketches, lengths = [], [], [], []
-        for _, values, bounds in _sets(text_of(batch.column(1)), size):
+        for _, values, bounds in _sets(text_of(batch.column(1)), size, key):
             counts = np.diff(bounds)
             total = np.zeros((len(counts), 2), np.uint64)
             full = np.flatnonzero(counts)
             if len(full):
                 for c in range(2):
-                    total[full, c] = np.add.reduceat(K.mix(values ^ np.uint64((0, 0xA5A5A5A5A5A5A5A5)[c])), bounds[full])
+                    total[full, c] = np.bitwise_xor.reduceat(K.mix(values ^ _OTHER if c else values), bounds[full])
             take = np.minimum(counts, k)
             n.append(counts)
             sums.append(total)
@@ -68,8 +80,39 @@ def sketched(docs: DataFrame, id_col: str, text_col: str, size: int, k: int) ->
         return pa.RecordBatch.from_arrays(columns, ["id", "n", "s1", "s2", "sketch"])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).where("id is not null")
-    return map_batches(rows, run, f"id {kind}, n bigint, s1 bigint, s2 bigint, sketch array<bigint>")
+    return map_batches(_rows(docs, id_col, text_col), run, f"id {kind}, n bigint, s1 bigint, s2 bigint, sketch array<bigint>")
+
+
+def united(sketches: DataFrame, docs: DataFrame, id_col: str, text_col: str, size: int, k: int, key: int) -> tuple[DataFrame, DataFrame | None]:
+    """(sketches with one row an id, values): the stored table of sketched() with the rows of each id united; values holds (id, rows, u), u being a
+    value with its sign bit turned, of the ids whose texts differ, or is None where all ids are different. Rows without an id stay.
+
+    All is counted before it is shuffled by id, so an id with a third of the rows gathers nothing but its k least values.
+    """
+    named = sketches.where("id is not null")
+    if named.count() == named.select("id").distinct().count():
+        return sketches, None
+    one = named.groupBy("id").agg(F.min(F.struct("s1", "s2", "n", "sketch")).alias("m"), F.max(F.struct("s1", "s2", "n")).alias("x"), F.count("*").alias("rows"))
+    one = stored(one.select("id", "rows", "m.*", ((F.col("m.s1") != F.col("x.s1")) | (F.col("m.s2") != F.col("x.s2")) | (F.col("m.n") != F.col("x.n"))).alias("mixed")), "united")
+
+    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+        found, owner = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
+        for i, values, bounds in _sets(text_of(batch.column(1)), size, key):
+            found.append(values)
+            owner.append(np.repeat(np.arange(i, i + len(bounds) - 1), np.diff(bounds)))
+        v, at = np.concatenate(found), pa.array(np.concatenate(owner))
+        columns = [pa.array(x.view(np.int64)) for x in (v ^ np.uint64(1 << 63), K.mix(v), K.mix(v ^ _OTHER))]
+        return pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(2).take(at), *columns], ["id", "rows", "u", "m1", "m2"])
+
+    kind = docs.schema[id_col].dataType.simpleString()
+    mixed = join_counted(_rows(docs, id_col, text_col).where("id is not null"), one.where("mixed").select("id", "rows"), ["id"], "rows")
+    values = stored(map_batches(mixed, run, f"id {kind}, rows bigint, u bigint, m1 bigint, m2 bigint").distinct(), "values")
+    sums = values.groupBy("id").agg(F.count("*").alias("n"), F.bit_xor("m1").alias("s1"), F.bit_xor("m2").alias("s2"))
+    least = values.withColumn("r", F.row_number().over(Window.partitionBy("id").orderBy("u"))).where(F.col("r") <= k).groupBy("id").agg(F.sort_array(F.collect_list("u")).alias("us"))
+    back = F.transform("us", lambda u: u.bitwiseXOR(F.lit(-(1 << 63)).cast("bigint")))
+    names = ["id", "n", "s1", "s2", "sketch"]
+    out = one.where("not mixed").select(*names).unionByName(sums.join(least, "id").select("id", "n", "s1", "s2", back.alias("sketch")))
+    return stored(out.unionByName(sketches.where("id is null").select(*names)), "sketches"), values.select("id", "u")
 
 
 def estimate(a: np.ndarray, b: np.ndarray, k: int) -> float:
@@ -166,27 +209,36 @@ def verified(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
     return map_batches(pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y"), run, f"a {kind}, b {kind}")
 
 
-def full_sets(docs: DataFrame, ids: DataFrame, id_col: str, text_col: str, size: int) -> DataFrame:
-    """(id, members) of the documents in ids, from whole texts."""
+def full_sets(docs: DataFrame, ids: DataFrame, id_col: str, text_col: str, size: int, key: int, values: DataFrame | None = None) -> DataFrame:
+    """(id, members) of the documents in ids, from whole texts. values: those of united()."""
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         members = []
-        for _, values, bounds in _sets(text_of(batch.column(1)), size):
-            members += [values[a:b].tobytes() for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
+        for _, found, bounds in _sets(text_of(batch.column(1)), size, key):
+            members += [found[a:b].tobytes() for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
+        return pa.RecordBatch.from_arrays([batch.column(0), pa.array(members, pa.binary())], ["id", "members"])
+
+    def packed(batch: pa.RecordBatch) -> pa.RecordBatch:
+        members = [(np.array(us.as_py(), np.int64).view(np.uint64) ^ np.uint64(1 << 63)).tobytes() for us in batch.column(1)]
         return pa.RecordBatch.from_arrays([batch.column(0), pa.array(members, pa.binary())], ["id", "members"])
 
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(ids, "id", "left_semi")
-    return map_batches(rows, run, f"id {docs.schema[id_col].dataType.simpleString()}, members binary")
+    schema = f"id {docs.schema[id_col].dataType.simpleString()}, members binary"
+    if values is None:
+        return map_batches(_rows(docs, id_col, text_col).join(ids, "id", "left_semi"), run, schema)
+    more = values.join(ids, "id", "left_semi").groupBy("id").agg(F.sort_array(F.collect_list("u")).alias("us"))
+    plain = ids.join(values.select("id").distinct(), "id", "left_anti")
+    same = map_batches(_rows(docs, id_col, text_col).join(plain, "id", "left_semi"), run, schema).groupBy("id").agg(F.min("members").alias("members"))
+    return same.unionByName(map_batches(more, packed, schema))
 
 
 def near_duplicates(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, size: int = SIZE, threshold: float = THRESHOLD, k: int = RETAINED
 ) -> DataFrame:
     """One row a document: id, n_shingles, component_id (the smallest id that links reach, its own included) and kept."""
-    least = SHARE * threshold / 0.8
-    table = stored(sketched(docs, id_col, text_col, size, k), "sketches")
+    least, key = SHARE * threshold / 0.8, secrets.randbits(64)
+    table, values = united(stored(sketched(docs, id_col, text_col, size, k, key), "sketches"), docs, id_col, text_col, size, k, key)
     kind = table.schema["id"].dataType.simpleString()
-    classes = table.where("n > 0").groupBy("s1", "s2", "n").agg(F.min(F.struct("id", "sketch")).alias("m"), F.count("*").alias("copies"))
+    classes = table.where("n > 0 and id is not null").groupBy("s1", "s2", "n").agg(F.min(F.struct("id", "sketch")).alias("m"), F.count("*").alias("copies"))
     classes = stored(classes.select("s1", "s2", "n", "copies", F.col("m.id").alias("id"), F.col("m.sketch").alias("sketch")), "classes")
 
     # 2: the rarest values of each class, without those of one sketch only
@@ -212,7 +264,7 @@ def near_duplicates(
     # 4
     touched = listed.where(F.col("size") > SHORT).select("id")
     wanted = pairs.select(F.explode(F.array("a", "b")).alias("id")).union(touched).distinct()
-    sets = stored(full_sets(docs, wanted, id_col, text_col, size), "sets")
+    sets = stored(full_sets(docs, wanted, id_col, text_col, size, key, values), "sets")
     links = stored(verified(pairs, sets, threshold), "links")
     parts = connected_components(links)
 
@@ -223,32 +275,41 @@ def near_duplicates(
     main = shares.groupBy("v").agg(F.max(F.struct("n", "comp"))["comp"].alias("main"), F.count("*").alias("kinds"), F.sum("n").alias("size")).where("kinds > 1")
     group = stored(join_counted(long, stored(main, "main"), ["v"], "size").select("main", "id", "comp").distinct(), "unfinished")
     if not group.isEmpty():
-        group = stored(group.join(classes.select("id", "n"), "id").withColumn("stray", F.col("comp") != F.col("main")), "group")
-        blocks = group.groupBy("main").agg(
-            F.ceil(F.sum(F.when(F.col("stray"), F.col("n")).otherwise(0)) / BLOCK).alias("ps"), F.ceil(F.sum("n") / BLOCK).alias("qs"), F.count("*").alias("size")
-        ).where("ps > 0")
-        h = F.xxhash64("id")
-        placed = join_counted(group, stored(blocks, "blocks"), ["main"], "size").join(sets, "id")
-        ours = placed.where("stray").select("main", F.pmod(h, "ps").alias("p"), F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("qs") - 1)).alias("q"), "id", "comp", "stray", "members")
-        theirs = placed.select("main", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("ps") - 1)).alias("p"), F.pmod(h, "qs").alias("q"), "id", "comp", F.lit(False).alias("stray"), "members")
-        more = stored(ours.unionByName(theirs).groupBy("main", "p", "q").applyInArrow(_block_links(threshold), f"a {kind}, b {kind}"), "links")
+        # sets as similar as that lie in one band of sizes, or in two beside each other; a shade wider, for the rounding
+        band = F.floor(F.log(F.col("n").cast("double")) / (1.001 * math.log(1 / threshold))).cast("int") if threshold < 1 else F.col("n").cast("int")
+        group = group.join(classes.select("id", "n"), "id").select("*", (F.col("comp") != F.col("main")).alias("stray"), band.alias("own"))
+        near = stored(group.select("*", F.explode(F.array(F.col("own") - 1, F.col("own"), F.col("own") + 1)).alias("band")), "group")
+        x = F.col("stray") & (F.col("own") == F.col("band"))
+
+        def parts_of(n, rows):
+            return F.greatest(F.ceil(F.sum(n) / BLOCK), F.ceil(F.sum(rows) / ROWS))
+
+        blocks = near.groupBy("main", "band").agg(parts_of(F.when(x, F.col("n")).otherwise(0), x.cast("int")).alias("ps"), parts_of(F.col("n"), F.lit(1)).alias("qs"), F.count("*").alias("size"))
+        h, places = F.xxhash64("id"), ["main", "band", "p", "q"]
+        placed = join_counted(near, stored(blocks.where("ps > 0"), "blocks"), ["main", "band"], "size").join(sets, "id")
+        ours = placed.where(x).select("main", "band", F.pmod(h, "ps").alias("p"), F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("qs") - 1)).alias("q"), "id", "comp", "stray", "members")
+        theirs = placed.select("main", "band", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("ps") - 1)).alias("p"), F.pmod(h, "qs").alias("q"), "id", "comp", F.lit(False).alias("stray"), "members")
+        more = stored(ours.unionByName(theirs).groupBy(*places).applyInArrow(_block_links(threshold), f"a {kind}, b {kind}"), "links")
         if not more.isEmpty():
             parts = connected_components(links.unionByName(more))
 
     found = classes.select("s1", "s2", "n", "copies", "id").join(parts, "id", "left")
     found = stored(found.select("s1", "s2", "n", "copies", F.coalesce("component", "id").alias("component")), "found")
     rows = table.drop("sketch")
-    out = join_counted(rows.where("n > 0"), found, ["s1", "s2", "n"], "copies").select("id", "n", "component")
-    out = out.unionByName(rows.where("n = 0").select("id", "n", F.col("id").alias("component")))
-    return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.col("component").alias("component_id"), (F.col("id") == F.col("component")).alias("kept"))
+    out = join_counted(rows.where("n > 0 and id is not null"), found, ["s1", "s2", "n"], "copies").select("id", "n", "component")
+    out = out.unionByName(rows.where("n = 0 or id is null").select("id", "n", F.col("id").alias("component")))
+    return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.col("component").alias("component_id"), F.col("id").eqNullSafe(F.col("component")).alias("kept"))
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """The rows of docs without those that a document with a smaller id stands for; columns as they were."""
+    """The rows of docs without those that a document with a smaller id stands for; columns as they were. Of rows with one id the one
+    whose text has the smallest hash stays; rows without an id all stay."""
     kept = near_duplicates(docs, id_col, text_col, **options).where("kept").select(F.col(id_col).alias("__kept_id"))
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("__row"))
-    one = rows.join(kept, F.col(f"__row.`{id_col}`") == F.col("__kept_id"), "left_semi").withColumn("__id", F.col(f"__row.`{id_col}`")).dropDuplicates(["__id"])
-    out = one.select("__row").unionByName(rows.where(F.col(f"__row.`{id_col}`").isNull()))
+    own = F.col(f"__row.`{id_col}`")
+    found = rows.join(kept, own == F.col("__kept_id"), "left_semi").withColumn("__id", own)
+    one = found.groupBy("__id").agg(F.min_by("__row", F.xxhash64(F.col(f"__row.`{text_col}`"))).alias("__row"))
+    out = one.select("__row").unionByName(rows.where(own.isNull()))
     return out.select(*[F.col(f"__row.`{c}`").alias(c) for c in docs.columns])
 
 
@@ -260,7 +321,8 @@ def slow_components(docs: list[tuple[int, str | None]], size: int, threshold: fl
     for i, text in docs:
         low = "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text or "")
         w = re.findall(r"[^\x20\x09-\x0D]+", low)
-        sets[i] = {tuple(w[a : a + size]) for a in range(len(w) - size + 1)} if len(w) >= size else {tuple(w)} - {()}
+        own = {tuple(w[a : a + size]) for a in range(len(w) - size + 1)} if len(w) >= size else {tuple(w)} - {()}
+        sets[i] = sets.get(i, set()) | own
     root = {i: i for i in sets}
 
     def find(x: int) -> int:

@@ -216,6 +216,44 @@ def test_near_duplicates_against_brute_force(spark, size):
     assert {r.doc_id: (r.n_shingles, r.component_id) for r in found} == want and all(r.kept == (r.doc_id == r.component_id) for r in found)
 
 
+def test_near_duplicates_of_repeated_and_missing_ids(spark):
+    texts = near_texts()
+    rng = random.Random(8)
+    docs = [(i, t) for i, t in enumerate(texts)]
+    docs += [(i, texts[i]) for i in range(0, 60, 7)] + [(i, rng.choice(texts)) for i in range(0, len(texts), 5)] + [(3, t) for t in texts[90:140]] + [(2, None)]
+    docs += [(7, "one two three"), (4, "one two three"), (4, "four five six"), (9, "four five six")]
+    a, b = thue_morse(2048)
+    docs += [(5000, f"{a} x {b}"), (5001, f"{b} x {a}"), (5002, f"{a} x {b}")]
+    rows = spark.createDataFrame([*docs, (None, texts[0]), (None, texts[0]), (None, None)], "doc_id bigint, text string")
+    found = near_dups.near_duplicates(rows, size=2).collect()
+    named = [r for r in found if r.doc_id is not None]
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in named} == near_dups.slow_components(docs, 2) and len(named) == len({i for i, _ in docs})
+    rest = [r for r in found if r.doc_id is None]
+    assert len(rest) == 3 and all(r.kept and r.component_id is None for r in rest) and sorted(r.n_shingles for r in rest)[0] == 0
+
+
+def test_near_duplicates_of_long_lists(spark, monkeypatch):
+    """Many texts that share a passage and are linked only here and there: lists beyond SHORT, strays of several sizes, several blocks."""
+    monkeypatch.setattr(near_dups, "ROWS", 20)
+    monkeypatch.setattr(near_dups, "BLOCK", 2000)
+    rng = random.Random(5)
+    common, voc, docs = [f"c{i}" for i in range(40)], [f"v{i}" for i in range(3000)], []
+    for k in range(60):
+        own = common + [rng.choice(voc) for _ in range(rng.choice([4, 9, 14, 25, 60]))]
+        for _ in range(rng.randint(1, 4)):
+            w = own[:]
+            for _ in range(rng.randint(0, 2)):
+                w[rng.randrange(len(w))] = rng.choice(voc)
+            docs.append((len(docs), " ".join(w)))
+    found = near_dups.near_duplicates(spark.createDataFrame(docs, "doc_id bigint, text string"), size=2).collect()
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in found} == near_dups.slow_components(docs, 2)
+
+
+def test_components_of_many_edges(spark, monkeypatch):
+    monkeypatch.setattr(common, "FEW", 0)
+    test_components(spark)
+
+
 def test_near_duplicates_odd_rows(spark, odd, none):
     found = {r.doc_id: r.component_id for r in near_dups.near_duplicates(odd, size=2).collect()}
     assert found[5] == 4 and found[11] == 10 and found[0] == 0 and found[1] == 1 and found[2] == 2
