@@ -13,7 +13,7 @@ their cumulative offsets and the scatter indices come from numpy; headers, texts
 which is the result's Arrow buffer.
 
 Turns are dealt by conversation and sorted within partitions, then streamed: a conversation is one row, or several
-consecutive parts if it is longer than PART bytes, so that one of any length takes bounded memory. The loss mask is the byte ranges of
+numbered parts if it is longer than PART bytes, so that one of any length takes bounded memory, formatted or read back. The loss mask is the byte ranges of
 the assistant's texts.
 
 Cases: a null text is an empty one, and so is a null role; turns with one number are ordered by role and text; repeated
@@ -96,8 +96,8 @@ def assemble(roles: list[str], texts: pa.Array) -> tuple[np.ndarray, np.ndarray,
 
 
 def format_conversations(turns: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text") -> DataFrame:
-    """(conv, part, n_turns, formatted, mask): mask holds start and length of each range of bytes under the loss, flat. Parts of a conversation
-    are consecutive rows of one partition, in order."""
+    """(conv, part, n_turns, formatted, mask): mask holds start and length of each range of bytes under the loss, flat. The parts of a conversation
+    are numbered from 0; their formatted bytes in that order are the conversation's."""
     kind_of = turns.schema[conv_col].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -179,7 +179,8 @@ def parsed(data: bytes) -> list[tuple[bytes, bytes]]:
 
 
 def read_back(formatted: DataFrame, conv_col: str = "conv_id") -> DataFrame:
-    """A row a conversation, from the formatted bytes and their mask alone; streams the parts in the order that they have."""
+    """A row a conversation, from the formatted bytes and their mask alone, in whatever order the rows come; streams the parts of each in the order of
+    their numbers."""
     names = [conv_col, "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars"]
     kind_of = formatted.schema["conv"].dataType.simpleString()
 
@@ -199,7 +200,7 @@ def read_back(formatted: DataFrame, conv_col: str = "conv_id") -> DataFrame:
         for batch in batches:
             kind = batch.schema.field(0).type
             for row in range(batch.num_rows):
-                conv, part, data, mask = (batch.column(c)[row].as_py() for c in (0, 1, 3, 4))
+                conv, part, data, mask = (batch.column(c)[row].as_py() for c in range(4))
                 if part == 0:
                     if state:
                         close()
@@ -220,7 +221,8 @@ def read_back(formatted: DataFrame, conv_col: str = "conv_id") -> DataFrame:
         if out:
             yield batch_of()
 
-    return formatted.mapInArrow(run, f"`{conv_col}` {kind_of}, n_turns bigint, turns_sha256 string, loss_chars bigint, loss_sha256 string, formatted_chars bigint")
+    parts = formatted.select("conv", "part", "formatted", "mask").repartition("conv").sortWithinPartitions("conv", "part")
+    return parts.mapInArrow(run, f"`{conv_col}` {kind_of}, n_turns bigint, turns_sha256 string, loss_chars bigint, loss_sha256 string, formatted_chars bigint")
 
 
 def _text_bytes(batch: pa.RecordBatch, at: int, n: int) -> int:

@@ -642,6 +642,16 @@ def test_conversations(spark, monkeypatch, part):
     assert chat.read_back(chat.format_conversations(df.limit(0))).count() == 0
 
 
+def test_conversations_in_parts_after_storage(spark, monkeypatch):
+    monkeypatch.setattr(chat, "PART", 3000)
+    rows = [(c, t, ("user", "assistant")[t % 2], f"{c} </s> {t} " + "é\\" * (t % 90)) for c in [None, *range(5)] for t in range(150)]
+    formatted = common.stored(chat.format_conversations(spark.createDataFrame(rows, "conv_id bigint, turn bigint, role string, text string")), "formatted")
+    assert formatted.where("part > 2").count() > 6
+    for df in (formatted, formatted.repartition(4), formatted.orderBy(F.desc("part")).coalesce(1)):
+        found = {r.conv_id: tuple(r)[1:5] for r in chat.read_back(df).collect()}
+        assert found == {c: expected([(r, x) for k, _, r, x in rows if k == c]) for c in [None, *range(5)]}
+
+
 @needs_tables
 def test_planted_conversation(spark):
     row = queries.op10_chat_format(spark, ROOT).where("conv_id = -7").first()
