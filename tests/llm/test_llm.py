@@ -431,14 +431,57 @@ def test_jpeg_columns(spark, odd, none):
 # -- 7 ---------------------------------------------------------------------------------------------------------------
 
 
-def test_grammar_scores_clauses():
+SENTENCES = {
+    "you are an idiot.": "targeted_insult", "He was not an idiot, friend": "negated", "she said idiot": "reported", "a moron\nyou": "insult", "I will kill you": "targeted_threat",
+    "nothing here": None, "You idiot, I kill you!": "insult_and_threat", "": None,
+    "he said: you are an idiot": "reported", 'he said, "you are an idiot"': "reported", "You are an idiot, he said": "reported", '"you idiot," she wrote.': "reported",
+    "you are not, I think, an idiot": "negated", "not now, you idiot": "targeted_insult", "he said you are an idiot": "reported", "I said you are an idiot": "targeted_insult",
+    "he said nice things, you idiot": "targeted_insult", "no: you idiot": "targeted_insult", "kill the process": "threat", '"You idiot!" he shouted.': "reported",
+    "not today, you idiot, you moron": "targeted_insult", "You are an idiot, and everybody in the whole town said so": "targeted_insult",
+}
+
+
+@pytest.mark.parametrize("text", SENTENCES)
+def test_grammar_kinds(text):
+    assert [k for k, _ in toxicity.Grammar(toxicity.seed_lexicon()).clauses(text)] == [SENTENCES[text]] * (SENTENCES[text] is not None)
+
+
+def test_grammar_over_sentences():
     g = toxicity.Grammar(toxicity.seed_lexicon())
-    kinds = {t: [k for k, _ in g.clauses(t)] for t in ("you are an idiot.", "He was not an idiot, friend", "she said idiot", "a moron\nyou", "I will kill you", "nothing here", "You idiot, I kill you!", "")}
-    assert [*kinds.values()] == [["targeted_insult"], ["negated"], ["reported"], ["insult"], ["targeted_threat"], [], ["targeted_insult", "targeted_threat"], []]
+    assert [k for k, _ in g.clauses('She wrote: "you idiot. You moron." That day ended. You scum.')] == ["reported", "reported", "targeted_insult"]
+    assert [k for k, _ in g.clauses("You idiot! You did not say so; a moron.\nshe said\nidiot")] == ["targeted_insult", "insult", "insult"]
     one, two = g.features(["you idiot"])[0], g.features(["you idiot moron"])[0]
     assert two[0] > one[0] > 0
 
 
+@settings(max_examples=150, deadline=None)
+@given(st.lists(st.sampled_from(["you", "idiot", "Idiot,", "not", "not,", "said", "said,", "said:", '"you', 'moron"', 'kill,"', "I", "kill", "x", "y,", "end.", "sturdy", "„ein", "scum”"]), max_size=14))
+def test_composed_machine_is_the_three_in_turn(words):
+    lexicon = toxicity.Lexicon({**toxicity.seed_lexicon().whole, "moro": (toxicity.INSULT, 0.3)}, {"stu": 0.4})
+    scope, clause = toxicity.scope_grammar(), toxicity.clause_grammar()
+    a = b = 0
+    total, want = 0.0, []
+    for x, own in [*(p for w in words for p in lexicon.write(w)), (toxicity.END, 0.0)]:
+        if x == toxicity.END:
+            kind = clause.finals.get(b, (None,))[0]
+            want += [(kind, total)] if kind else []
+            total = 0.0
+        a, x, weight = scope.arcs[a][x]
+        b, _, more = clause.arcs[b][x]
+        total += own + weight + more
+    found = toxicity.Grammar(lexicon).clauses(" ".join(words))
+    # a line without an insult or a threat is not read
+    assert found == want
+
+
+def test_lexicon_reads_longest_weight():
+    lexicon = toxicity.Lexicon({"stupid": (toxicity.INSULT, 0.2), "the": (toxicity.TARGET, 0.0)}, {"stu": 0.4, "stupe": 0.9})
+    assert [lexicon.symbol(w) for w in ("stupid", "stupendous", "st", "the", "then", "stu")] == [(toxicity.INSULT, 0.4), (toxicity.INSULT, 0.9), (0, 0.0), (toxicity.TARGET, 0.0), (0, 0.0), (toxicity.INSULT, 0.4)]
+    sums = {"kill": [40.0, 0.0], "idiot": [0.0, 30.0]}
+    seeds = toxicity.seed_weights(sums, [100.0, 50.0])
+    assert seeds["kill"][1] < 0.1 < 0.9 < seeds["idiot"][1] and seeds["murder"] == (toxicity.THREAT, 1.0)
+
+
 def test_a_shared_passage_makes_no_copies():
     rng = np.random.default_rng(2)
     low = rng.integers(0, 1 << 62, (12, 8)).astype(np.int64)
