@@ -8,21 +8,26 @@ A shard holds blocks, then a sparse index, a Bloom filter and a footer:
     bloom   u32 hashes, u64 bits, the bits
     footer  u64 index offset, u64 bloom offset, u32 blocks, u64 entries, u64 ids, u8 bytes an id, magic (8 bytes)
 
-A key is the document id, 8 bytes big-endian with the sign bit flipped (so byte order is numeric order), and 4 bytes that
-number repeated ids. Shards cover ranges of ids and are written to a temporary name and then renamed, so a repeated task replaces its
-shard by an equal one. Only one block is held at a time on writing and reading.
-
-Cases: a null text is an empty one; an empty document still has its end id; repeated ids are kept side by side, in the
-order of their texts; a null id is not allowed (it has no place in the order) and raises; an empty table gives no shard.
+A key is a byte (0 without an id, else 1), the id, 8 bytes big-endian with the sign bit flipped (so byte order is numeric order), the hash of the text
+in the same form, and 4 bytes that number equal texts. Shards cover ranges of ids; where one id fills several, ranges of its texts' hashes. Their number follows from the
+input's bytes. Each attempt of a task writes files of its own name, in one go and without renaming, so any store will do; the manifest names
+those of the attempt that succeeded, others are never read. Only one block is held at a time on writing and reading.
+
+Cases: a null text is an empty one; an empty document still has its end id; texts of any length are one entry; repeated ids are kept side by side, in the
+order of their texts' hashes, and equal rows by number; rows without an id come before all others, in the same order; columns besides the two that
+are named don't matter; an empty table gives no shard.
 """
 
 from __future__ import annotations
 
+import bisect
 import struct
+import uuid
 import zlib
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pyarrow.fs as pafs
 import zstandard
@@ -32,12 +37,20 @@ from pyspark.sql import functions as F
 from . import tokens
 from .common import new_path, text_of
 
-MAGIC, BLOCK, RESTART, BITS = b"ARBSST01", 1 << 18, 16, 10
+MAGIC, BLOCK, RESTART, BITS = b"ARBSST02", 1 << 18, 16, 10
+#: Bytes of input for each shard beyond the session's number of shuffle partitions.
+SHARD = 1 << 30
 _FOOTER = struct.Struct("<QQIQQB8s")
+_KEY = struct.Struct(">BQQI")
+
+
+def key_of(doc_id: int | None, text_hash: int = 0, copy: int = 0) -> bytes:
+    return _KEY.pack(doc_id is not None, (doc_id or 0) + (1 << 63), text_hash + (1 << 63), copy)
 
 
-def key_of(doc_id: int, copy: int = 0) -> bytes:
-    return struct.pack(">QI", doc_id + (1 << 63), copy)
+def id_of(key: bytes) -> int | None:
+    known, doc_id, _, _ = _KEY.unpack(key)
+    return doc_id - (1 << 63) if known else None
 
 
 def _varint(n: int) -> bytes:
@@ -158,8 +171,6 @@ class Reader:
 
     def get(self, key: bytes) -> np.ndarray | None:
         """The ids of a key: Bloom filter, then a binary search of the index, then one block."""
-        import bisect
-
         if not self.bloom[_bloom_at([key], self.bits, self.hashes)].all():
             return None
         k = bisect.bisect_right(self.index, key, key=lambda x: x[0]) - 1
@@ -170,53 +181,64 @@ def _place(uri: str) -> tuple[pafs.FileSystem, str]:
     return pafs.FileSystem.from_uri(uri if "://" in uri else uri.replace("file:/", "file:///", 1) if uri.startswith("file:/") else f"file://{uri}")
 
 
+def _input_bytes(docs: DataFrame, text_col: str) -> int:
+    """Bytes of the input's files; of the texts, where Spark doesn't know the files."""
+    size = int(str(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return size if size < 1 << 60 else docs.agg(F.sum(F.octet_length(text_col))).first()[0] or 0
+
+
+def _places(cuts: np.ndarray):
+    """The number of each row's shard, from ids and hashes; a cut that occurs n times parts its id's rows in n + 1 by hash."""
+
+    def place(ids: pd.Series, hashes: pd.Series) -> pd.Series:
+        known = ids.notna().to_numpy()
+        i, h = ids.fillna(0).to_numpy().astype(np.int64), hashes.to_numpy().view(np.uint64) ^ np.uint64(1 << 63)
+        low, high = np.searchsorted(cuts, i, "left"), np.searchsorted(cuts, i, "right")
+        n = (high - low).astype(np.uint64)
+        # one occurrence is where the id's shard begins; more are whole shards of the id
+        inside = (h >> np.uint64(32)) * np.maximum(n, np.uint64(1)) >> np.uint64(32)
+        return pd.Series(np.where(known, np.where(n > 1, low + 1 + inside.astype(np.int64), high), 0).astype(np.int32))
+
+    return F.pandas_udf(place, "int")
+
+
 def write_shards(docs: DataFrame, folder: str, id_col: str = "doc_id", text_col: str = "text", *, path: str | None = None, end_id: int = 1, shards: int | None = None) -> DataFrame:
     """Write the shards; a row each: shard, uri, n_docs, n_tokens. The result must be stored by the caller: computing it writes.
 
-    Ranges come from quantiles of the id column alone, so texts are read and shuffled once; rows with one id meet in one shard.
+    Ranges come from quantiles of the id column alone, so texts are read and shuffled once.
     """
     spark, path = docs.sparkSession, path or tokens.default_path()
-    ids = docs.select(F.col(id_col).cast("bigint").alias("id"))
-    shards = shards or max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    cuts = sorted({int(x) for x in ids.approxQuantile("id", [k / shards for k in range(1, shards)], 0.2 / shards)}) if shards > 1 else []
-    part = F.lit(0)
-    if cuts:
-        bounds = F.array(*[F.lit(c).cast("bigint") for c in cuts])
-        part = F.size(F.filter(bounds, lambda c: c <= F.col("id")))
-    rows = docs.select(F.col(id_col).cast("bigint").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).withColumn("part", part.cast("int"))
-    placed = rows.repartitionById(len(cuts) + 1, F.col("part")).sortWithinPartitions("part", "id", "text")
+    rows = docs.select(F.col(id_col).cast("bigint").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    shards = shards or max(1, int(spark.conf.get("spark.sql.shuffle.partitions")), -(-_input_bytes(docs, text_col) // SHARD))
+    cuts = np.sort(np.array(rows.approxQuantile("id", [k / shards for k in range(1, shards)], 0.2 / shards) if shards > 1 else [])).astype(np.int64)
+    rows = rows.withColumn("h", F.xxhash64("text"))
+    part = _places(cuts)("id", "h") if len(cuts) else F.lit(0)
+    placed = rows.withColumn("part", part).repartitionById(len(cuts) + 1, F.col("part")).sortWithinPartitions("part", "id", "h", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import uuid
-
-        encode_all, tail = tokens.encoder(path).encode_all, np.array([end_id], "<u4").tobytes()
+        encoder, tail = tokens.encoder(path), np.array([end_id], "<u4").tobytes()
         fs, root = _place(folder)
         fs.create_dir(root, recursive=True)
-        writer = stream = shard = None
+        writer = stream = shard = name = None
         last, copy, out = None, 0, []
 
         def close() -> None:
             writer.close()
             stream.close()
-            name = f"{root}/shard-{shard:06d}.sst"
-            fs.move(temporary, name)
-            out.append((shard, f"{folder}/shard-{shard:06d}.sst", writer.entries, writer.ids))
+            out.append((shard, f"{folder}/{name}", writer.entries, writer.ids))
 
-        temporary = None
         for batch in batches:
             texts = text_of(batch.column(1))
-            for doc, here, ids in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), encode_all(t.as_py() for t in texts), strict=True):
-                if doc is None:
-                    raise ValueError("a document without an id has no place in the order")
+            for doc, h, here, ids in zip(*(batch.column(c).to_pylist() for c in (0, 2, 3)), encoder.encode_all(t.as_py() for t in texts), strict=True):
                 if here != shard:
                     if writer:
                         close()
-                    shard, temporary = here, f"{root}/.{here:06d}-{uuid.uuid4().hex}"
-                    stream = fs.open_output_stream(temporary)
-                    writer = Writer(stream, tokens.encoder(path).width)
-                copy = copy + 1 if doc == last else 0
-                last = doc
-                writer.add(key_of(doc, copy), np.frombuffer(ids + tail, "<u4"))
+                    shard, name = here, f"shard-{here:06d}-{uuid.uuid4().hex}.sst"
+                    stream = fs.open_output_stream(f"{root}/{name}")
+                    writer = Writer(stream, encoder.width)
+                copy = copy + 1 if (doc, h) == last else 0
+                last = doc, h
+                writer.add(key_of(doc, h, copy), np.frombuffer(ids + tail, "<u4"))
         if writer:
             close()
         if out:
@@ -243,7 +265,7 @@ def read_shards(manifest: DataFrame, id_col: str = "doc_id") -> DataFrame:
                 with fs.open_input_file(place) as stream:
                     reader = Reader(stream, stream.size())
                     for k in range(len(reader.index)):
-                        out = [(struct.unpack_from(">Q", key)[0] - (1 << 63), start + at, len(ids), zlib.crc32(ids.astype("<u4").tobytes())) for key, at, ids in reader.block(k)]
+                        out = [(id_of(key), start + at, len(ids), zlib.crc32(ids.astype("<u4").tobytes())) for key, at, ids in reader.block(k)]
                         yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*out, strict=True)], [id_col, "start", "n_tokens", "ids_crc32"])
 
     listed = spark.createDataFrame(rows, "uri string, start bigint")

@@ -534,19 +534,36 @@ def test_shards_round_trip_and_lookup(tmp_path, monkeypatch):
         assert sum(bool(r.bloom[sstable._bloom_at([k], r.bits, r.hashes)].all()) for k in absent) < 0.05 * len(absent)
 
 
-def test_shards_of_a_table(spark, odd, none):
-    manifest = spark.createDataFrame(sstable.write_shards(odd, sstable.new_folder(odd), shards=3).collect())
-    rows = sorted(tuple(r) for r in sstable.read_shards(manifest).collect())
-    ids = direct_ids(ODD)
-    want, at = [], 0
-    for doc in sorted([*range(len(ODD)), 4]):
-        own = np.array(ids[doc] + [1], "<u4")
-        want.append((doc, at, len(own), zlib.crc32(own.tobytes())))
-        at += len(own)
-    assert rows == want
+@pytest.mark.parametrize("shards", [1, 3, 40])
+def test_shards_of_a_table(spark, odd, none, shards):
+    rows = odd.select("doc_id", "text").unionByName(odd.where("doc_id < 9").select(F.lit(3).cast("bigint").alias("doc_id"), "text"))
+    rows = rows.unionByName(odd.where("doc_id > 8").select(F.lit(None).cast("bigint").alias("doc_id"), "text"))
+    folder = sstable.new_folder(rows)
+    first = spark.createDataFrame(sstable.write_shards(rows, folder, shards=shards).collect())
+    again = spark.createDataFrame(sstable.write_shards(rows, folder, shards=shards).collect())  # as a repeated task would
+    found = sorted(sstable.read_shards(first).collect(), key=lambda r: r.start)
+    assert sorted(map(tuple, sstable.read_shards(again).collect()), key=lambda r: r[1]) == [tuple(r) for r in found]
+    assert first.select("uri").intersect(again.select("uri")).count() == 0
+    ids, at, own = [r.doc_id for r in found], 0, []
+    assert ids == sorted(ids, key=lambda i: (i is not None, i)) and len(ids) == rows.count()
+    for r in found:
+        assert r.start == at
+        at += r.n_tokens
+        own.append((r.doc_id, r.n_tokens, r.ids_crc32))
+    texts = [r for r in rows.collect()]
+    want = [(r.doc_id, np.array(x + [1], "<u4")) for r, x in zip(texts, direct_ids([r.text for r in texts]), strict=True)]
+    assert sorted(own, key=repr) == sorted([(i, len(x), zlib.crc32(x.tobytes())) for i, x in want], key=repr)
     assert sstable.write_shards(none, sstable.new_folder(none)).count() == 0
 
 
+def test_one_id_fills_several_shards(spark):
+    rows = spark.createDataFrame([(7 if i % 3 else i, f"text {i}") for i in range(900)], "doc_id bigint, text string")
+    manifest = spark.createDataFrame(sstable.write_shards(rows, sstable.new_folder(rows), shards=9).collect())
+    assert max(r.n_docs for r in manifest.collect()) < 250
+    found = sorted(sstable.read_shards(manifest).collect(), key=lambda r: r.start)
+    assert [r.doc_id for r in found] == sorted(r.doc_id for r in found) and len(found) == 900
+
+
 # -- 9 ---------------------------------------------------------------------------------------------------------------
 
 
