@@ -6,39 +6,67 @@ import atexit
 import shutil
 import tempfile
 import uuid
+from collections import defaultdict
 
 from pyspark.sql import DataFrame, SparkSession
 
 
+def qualified(spark: SparkSession, folder: str) -> str:
+    """folder with the scheme and authority that Spark gives it: those of its default file system, if it has none."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    return place.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(place).toString()
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The shared folder that the cluster names in spark.checkpoint.dir; one of our own only where that is unset."""
+    """The shared folder that the cluster names in spark.checkpoint.dir. Only where that is unset, one of our own: in the warehouse, or, if all
+    runs on this machine, a temporary one."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
-        folder = f"file://{tempfile.mkdtemp(prefix='arborlens-')}"
+        if spark.sparkContext.master.startswith("local"):
+            folder = f"file://{tempfile.mkdtemp(prefix='arborlens-')}"
+            atexit.register(shutil.rmtree, folder.removeprefix("file://"), ignore_errors=True)
+        else:
+            folder = f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_checkpoints"
         spark.conf.set("spark.checkpoint.dir", folder)
-        atexit.register(shutil.rmtree, folder.removeprefix("file://"), ignore_errors=True)
-    return folder if "://" in folder or folder.startswith("file:") else f"file://{folder}"
+    return qualified(spark, folder)
+
+
+_written: dict[str, list[str]] = defaultdict(list)
 
 
-_written: list[str] = []
+def _session(spark: SparkSession) -> str:
+    return spark._jsparkSession.sessionUUID()
 
 
 def new_path(spark: SparkSession, what: str) -> str:
     """A path that no other run uses; release() removes what is there."""
-    _written.append(f"{shared_dir(spark)}/arborlens/{what}-{uuid.uuid4().hex[:12]}")
-    return _written[-1]
+    path = f"{shared_dir(spark)}/arborlens/{what}-{uuid.uuid4().hex[:12]}"
+    _written[_session(spark)].append(path)
+    return path
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
 
 
 def release(spark: SparkSession) -> None:
     """Remove the intermediate tables and files of this session; call it when the results that rest on them are written."""
-    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
-    while _written:
-        place = jvm.org.apache.hadoop.fs.Path(_written.pop())
-        place.getFileSystem(conf).delete(place, True)
+    for path in _written.pop(_session(spark), []):
+        remove(spark, path)
 
 
 def stored(df: DataFrame, what: str) -> DataFrame:
     """Write df to the shared folder and read it back: the lineage ends there and a lost executor costs no recomputation."""
     spark, path = df.sparkSession, new_path(df.sparkSession, what)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._stored_at = path
+    return out
+
+
+def drop(df: DataFrame) -> None:
+    """Remove what stored() wrote for df: nothing that is still to be computed may read it."""
+    spark, path = df.sparkSession, df._stored_at
+    _written[_session(spark)].remove(path)
+    remove(spark, path)
