@@ -41,7 +41,7 @@ from .common import connected_components, join_counted, map_batches, stored, tex
 SIZE, THRESHOLD, RETAINED, SHARE = 5, 0.8, 32, 0.4
 SHORT, PORTION = 16, 512
 #: Values of full sets, and sets, in a block of step 5.
-BLOCK, ROWS = 1 << 17, 512
+BLOCK, ROWS = 1 << 17, 160
 _OTHER = np.uint64(0xA5A5A5A5A5A5A5A5)
 
 
