@@ -11,15 +11,20 @@ neighbours no count tells; the two share a class, in which the unknown ones have
 or twice, in equal parts for as many unknown words as those counts let expect (the base has one unknown word). The end of a document is a class of its own, and stands before its first word too. Class transitions are smoothed by class
 frequencies.
 
-The vocabulary is never gathered: documents are read chunk by chunk in each round and in scoring, each chunk joined with the classes of
-its own distinct words. Only tables of bounded size (head words, classes, transitions) are held by the driver or by closures.
-
-Cases: a null text is an empty one and has its end only; repeated rows are scored one by one, and count as often as they come; without
-training documents every word is unknown and the score is the base's; an empty table gives an empty result.
+The vocabulary is never gathered, and texts are never shuffled: each pass reads them in place, chunk by chunk, with the classes of the chunk's own
+distinct words, which executors write to files in the shared folder and read there (ChunkFiles). Only tables of bounded size (head words, classes, transitions, a file
+name a gigabyte of such words) are held by the driver or by closures.
+
+Cases: a null text is an empty one and has its end only; texts of any length are read whole, a long one in a chunk of its own; repeated rows are scored
+one by one, and count as often as they come, whatever their ids, null ones too; words with equal counts are ordered by hash, under a fixed key, so that scores don't differ
+between runs; columns besides the id and the text don't matter; without training documents every word is unknown and the score is the base's; an
+empty table gives an empty result.
 """
 
 from __future__ import annotations
 
+import struct
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -28,7 +33,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import kernels as K
-from .common import map_batches, stored, text_of
+from .common import drop, map_batches, new_path, place_of, remove, return_memory, stored, text_of
 
 HEAD, CLASSES, GROUPS, SWEEPS, SMOOTH = 1023, 48, 8, 6, 2.0
 #: The end of a document in place of a word's hash.
@@ -39,6 +44,8 @@ ROUNDS = 2
 #: In place of the hash of a word that occurs once. Codes of a word's neighbours: the class before it, _AFTER and the class after it, _SELF.
 RARE, _AFTER, _SELF = np.uint64(2), 64, 127
 _HELD = 1 << 21
+#: Words of chunks in a file beyond the session's number of shuffle partitions.
+_IN_FILE = 1 << 26
 
 
 def _documents(texts: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray, int]]:
@@ -93,24 +100,6 @@ def _batches(key: np.ndarray, n: np.ndarray, names: list[str]) -> Iterator[pa.Re
         yield pa.RecordBatch.from_arrays([pa.array(key[a : a + (1 << 18)].view(np.int64)), pa.array(n[a : a + (1 << 18)])], names)
 
 
-def word_counts(texts: DataFrame) -> DataFrame:
-    """(h, n) of all words and ends of a one-column table of texts; counted within partitions first."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tally, ends = _Tally(), 0
-        for batch in batches:
-            ends += batch.num_rows
-            for h, _, _ in _documents(text_of(batch.column(0))):
-                for found in tally.add(h):
-                    yield from _batches(*found, ["h", "n"])
-        for found in tally.drain():
-            yield from _batches(*found, ["h", "n"])
-        if ends:
-            yield from _batches(np.array([END], np.uint64), np.array([ends], np.int64), ["h", "n"])
-
-    return texts.mapInArrow(run, "h bigint, n bigint").groupBy("h").agg(F.sum("n").alias("n"))
-
-
 def _symbols(tokens: np.ndarray, head: np.ndarray) -> np.ndarray:
     """Place in the sorted head, len(head) for other words, len(head) + 1 for the end."""
     if not len(head):
@@ -234,10 +223,162 @@ def tail_votes(texts: DataFrame, head: np.ndarray, group: np.ndarray) -> DataFra
     return texts.mapInArrow(run, "h bigint, g int, n bigint").groupBy("h", "g").agg(F.sum("n").alias("n"))
 
 
+# -- words of chunks -------------------------------------------------------------------------------------------------
+
+
+def chunk_of(place: list[Column], row: Column, text: Column) -> Column:
+    """A chunk's number from what tells a file (or another lasting group of rows) and a row's number in it: 2048 rows below 64 kB, 64 below 1 MB, else one."""
+    size = F.coalesce(F.octet_length(text), F.lit(0))
+    rows = F.when(size < 1 << 16, 2048).when(size < 1 << 20, 64).otherwise(1)
+    return F.xxhash64(*place, rows, F.floor(row / rows))
+
+
+def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, pa.RecordBatch]]:
+    """(chunk, rows): runs of rows of one chunk, which the first column tells."""
+    for batch in batches:
+        if batch.num_rows:
+            chunks = batch.column(0).to_numpy()
+            heads = np.flatnonzero(np.r_[True, chunks[1:] != chunks[:-1]])
+            for a, b in zip(heads, np.r_[heads[1:], len(chunks)], strict=True):
+                yield int(chunks[a]), batch.slice(a, b - a)
+
+
+def chunk_words(docs: DataFrame) -> DataFrame:
+    """(chunk, h, n) from (chunk, text, held_out): each chunk's words and its end, and how often they stand in documents that aren't held out; a
+    chunk that several partitions or batches share can have a word several times."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[int, list[tuple[np.ndarray, np.ndarray]]] = {}
+        size = 0
+
+        def flush() -> Iterator[pa.RecordBatch]:
+            for chunk, parts in held.items():
+                k, back = np.unique(np.concatenate([p[0] for p in parts]), return_inverse=True)
+                n = np.bincount(back, np.concatenate([p[1] for p in parts])).astype(np.int64)
+                for b in _batches(k, n, ["h", "n"]):
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(b.num_rows, chunk, np.int64)), *b.columns], ["chunk", "h", "n"])
+
+        for chunk, rows in _runs(batches):
+            use, at, parts = ~rows.column(2).to_numpy(zero_copy_only=False), 0, held.setdefault(chunk, [])
+            for h, doc, m in _documents(text_of(rows.column(1))):
+                k, back = np.unique(h, return_inverse=True)
+                parts.append((k, np.bincount(back, use[at + doc], minlength=len(k))))
+                at, size = at + m, size + len(k)
+            parts.append((np.array([END], np.uint64), np.array([use.sum()])))
+            if size > _HELD:
+                yield from flush()
+                held.clear()
+                size = 0
+        yield from flush()
+        return_memory()
+
+    return docs.mapInArrow(run, "chunk bigint, h bigint, n bigint")
+
+
+class ChunkFiles:
+    """Words of chunks with their classes, and their counts if asked for, in files that each hold the chunks of one remainder.
+
+    A file holds, a chunk after another, the hashes in ascending order, the counts and the classes; then chunks, offsets and lengths as an index, and
+    the number of chunks. Executors write files under names of their own, so those of a repeated task are in nobody's way.
+    """
+
+    def __init__(self, known: DataFrame, rows: int, counts: bool = False):
+        """known: (chunk, h, class, n), of about as many rows; several of a word in a chunk are one."""
+        spark = known.sparkSession
+        self.folder, self.counts = new_path(spark, "chunks"), counts
+        self.n_files = n_files = max(int(spark.conf.get("spark.sql.shuffle.partitions")), rows // _IN_FILE)
+        file = F.pmod(F.col("chunk"), F.lit(n_files)).cast("int")
+        placed = known.select(file.alias("file"), "chunk", "h", "class", "n").repartitionById(n_files, F.col("file")).sortWithinPartitions("file", "chunk", "h")
+        folder = self.folder
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            fs, root = place_of(folder)
+            fs.create_dir(root, recursive=True)
+            stream = number = name = chunk = None
+            index, parts, at, out = [], [], 0, []
+
+            def end_chunk() -> None:
+                nonlocal at
+                h, kind, n = (np.concatenate([p[c] for p in parts]) for c in range(3))
+                h, first = np.unique(h.view(np.uint64), return_index=True)
+                stream.write(h.tobytes() + (n[first].astype(np.int64).tobytes() if counts else b"") + kind[first].astype(np.uint8).tobytes())
+                index.append((chunk, at, len(h)))
+                at += len(h) * (17 if counts else 9)
+
+            def close() -> None:
+                stream.write(np.array(index, np.int64).T.tobytes() + struct.pack("<Q", len(index)))
+                stream.close()
+                out.append((number, name))
+
+            for batch in batches:
+                if not batch.num_rows:
+                    continue
+                files, chunks, h, kind, n = (batch.column(c).to_numpy() for c in range(5))
+                heads = np.flatnonzero(np.r_[True, (chunks[1:] != chunks[:-1]) | (files[1:] != files[:-1])])
+                for a, b in zip(heads, np.r_[heads[1:], len(chunks)], strict=True):
+                    if parts and (files[a], chunks[a]) != (number, chunk):
+                        end_chunk()
+                        parts = []
+                    if files[a] != number:
+                        if stream:
+                            close()
+                        number, name, index, at = int(files[a]), f"{int(files[a]):06d}-{uuid.uuid4().hex}", [], 0
+                        stream = fs.open_output_stream(f"{root}/{name}")
+                    chunk = int(chunks[a])
+                    parts.append((h[a:b], kind[a:b], n[a:b]))
+            if stream:
+                end_chunk()
+                close()
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in zip(*out, strict=True)], ["file", "name"])
+            return_memory()
+
+        self.names = {r["file"]: r["name"] for r in stored(placed.mapInArrow(run, "file bigint, name string"), "names").collect()}  # a row a file
+        self.indexes, self.held = {}, {}
+
+    def __getstate__(self):
+        return {**self.__dict__, "indexes": {}, "held": {}}
+
+    def drop(self, spark) -> None:
+        remove(spark, self.folder)
+
+    def get(self, chunk: int) -> tuple[np.ndarray, np.ndarray, np.ndarray | None]:
+        """(hashes, classes, counts) of a chunk; the last few are kept."""
+        if chunk not in self.held:
+            if len(self.held) > 3:
+                self.held.pop(next(iter(self.held)))
+            self.held[chunk] = self._read(chunk)
+        return self.held[chunk]
+
+    def _read(self, chunk: int) -> tuple[np.ndarray, np.ndarray, np.ndarray | None]:
+        name = self.names.get(chunk % self.n_files)
+        none = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64) if self.counts else None
+        if name is None:
+            return none
+        fs, root = place_of(self.folder)
+        with fs.open_input_file(f"{root}/{name}") as stream:
+            if name not in self.indexes:
+                if len(self.indexes) > 63:
+                    self.indexes.clear()
+                size = stream.size()
+                n = struct.unpack("<Q", stream.read_at(8, size - 8))[0]
+                self.indexes[name] = np.frombuffer(stream.read_at(24 * n, size - 8 - 24 * n), np.int64).reshape(3, n)
+            chunks, at, sizes = self.indexes[name]
+            i = int(np.searchsorted(chunks, chunk))
+            if i == len(chunks) or chunks[i] != chunk:
+                return none
+            m = int(sizes[i])
+            data = stream.read_at(m * (17 if self.counts else 9), int(at[i]))
+        kind = np.frombuffer(data, np.uint8, m, len(data) - m).astype(np.int64)
+        return np.frombuffer(data, np.uint64, m), kind, np.frombuffer(data, np.int64, m, 8 * m) if self.counts else None
+
+
+# -- exchange over the whole vocabulary ------------------------------------------------------------------------------
+
+
 def vocabulary(docs: DataFrame, own: DataFrame, *, head_size: int = HEAD, rounds: int = ROUNDS) -> DataFrame:
-    """(h, n, class) of all words of the training documents (chunk, text), stored. own: (chunk, h) of each chunk's words at least."""
+    """(h, n, class) of all words of the training documents (chunk, text), stored. own: the stored table of chunk_words()."""
     texts = docs.select("text")
-    counts = stored(word_counts(texts), "counts")
+    counts = stored(own.groupBy("h").agg(F.sum("n").alias("n")).where("n > 0"), "counts")
     top = counts.where((F.col("h") != int(END)) & (F.col("n") > 1)).orderBy(F.desc("n"), "h").limit(head_size).select("h").collect()
     head = np.sort(np.array([r[0] for r in top], np.int64).view(np.uint64))
     bigrams = head_bigrams(texts, head)
@@ -252,29 +393,38 @@ def vocabulary(docs: DataFrame, own: DataFrame, *, head_size: int = HEAD, rounds
     out = counts.join(F.broadcast(heads), "h", "left").join(chosen, "h", "left")  # head_size rows at most
     kind = F.when(F.col("h") == int(END), END_CLASS).when(F.col("n") == 1, RARE_CLASS).otherwise(F.coalesce("head_class", "class", F.lit(CLASSES)))
     words, before, most = stored(out.select("h", "n", kind.cast("int").alias("class")), "vocabulary"), None, -np.inf
+    drop(counts)
     for _ in range(rounds):
         found = neighbours(docs, own, words)
         pairs = class_bigrams(found)
         if (now := likelihood(pairs)) < most:
+            drop(found)
+            drop(words)
             return before
+        if before is not None:
+            drop(before)
         before, most = words, now
         moved = words.join(exchanged(found, pairs, head), "h", "left").select("h", "n", F.coalesce("moved", "class").alias("class"))
         words = stored(moved, "vocabulary")
+        drop(found)
     return words
 
 
 def neighbours(docs: DataFrame, own: DataFrame, words: DataFrame) -> DataFrame:
     """(h, class, codes): how often the words seen twice, the end and all rare words together stand beside each class, as count * 128 + code; stored.
 
-    docs: (chunk, text) of the training documents; own: (chunk, h) of each chunk's words; words: (h, n, class).
+    docs: (chunk, text) of the training documents; own: the stored table of chunk_words(); words: (h, n, class).
     """
-
-    def count(left: pa.Table, right: pa.Table) -> pa.Table:
-        order = np.argsort(h := right.column("h").to_numpy().view(np.uint64))
-        h, kind = np.r_[h[order], END, RARE], np.r_[right.column("class").to_numpy()[order], END_CLASS, RARE_CLASS].astype(np.int64)
-        k, tally = len(h) - 2, _Tally()
-        for chunk in left.column("text").chunks:
-            for g, doc, m in _documents(text_of(chunk)):
+    some = words.where((F.col("n") > 1) & (F.col("h") != int(END))).select("h", "n", "class")
+    files = ChunkFiles(own.where("n > 0").select("chunk", "h").join(some, "h"), own.count())
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
+        for chunk, rows in _runs(batches):
+            h, kind, _ = files.get(chunk)
+            k, tally = len(h), _Tally()
+            h, kind = np.r_[h, END, RARE], np.r_[kind, END_CLASS, RARE_CLASS]
+            for g, doc, m in _documents(text_of(rows.column(1))):
                 t, _ = with_ends(g, doc, m)
                 at = np.minimum(np.searchsorted(h[:k], t), max(k - 1, 0))
                 at = np.where(t == END, k, np.where(h[at] == t, at, k + 1)) if k else np.where(t == END, k, k + 1)
@@ -287,9 +437,15 @@ def neighbours(docs: DataFrame, own: DataFrame, words: DataFrame) -> DataFrame:
                 tally.size += len(k_)
                 if tally.size > _HELD:
                     tally.merge()
-        if not tally.keys:
-            return pa.table([pa.array([], pa.int64()), pa.array([], pa.int32()), pa.array([], pa.binary())], ["h", "class", "codes"])
-        return _packed(h, kind, *next(tally.drain()))
+            for key, n in tally.drain():
+                held.append(_packed(h, kind, key, n))
+                size += len(key)
+            if size > 2 * _HELD:
+                yield from _summed(_by_word(held)).to_batches()
+                held, size = [], 0
+        if held:
+            yield from _summed(_by_word(held)).to_batches()
+        return_memory()
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = None
@@ -302,13 +458,21 @@ def neighbours(docs: DataFrame, own: DataFrame, words: DataFrame) -> DataFrame:
                 cut = int(np.searchsorted(h, h[-1]))
                 yield from _summed(held.slice(0, cut)).to_batches()
                 held = held.slice(cut)
+            elif held.num_rows > 4096:
+                held = _summed(held)
         if held is not None:
             yield from _summed(held).to_batches()
+        return_memory()
 
-    known = own.join(words.where((F.col("n") > 1) & (F.col("h") != int(END))), "h").select("chunk", "h", "class")
     schema = "h bigint, class int, codes binary"
-    parts = docs.groupBy("chunk").cogroup(known.groupBy("chunk")).applyInArrow(count, schema)
-    return stored(parts.repartition("h").sortWithinPartitions("h").mapInArrow(merge, schema), "neighbours")
+    out = stored(docs.select("chunk", "text").mapInArrow(count, schema).repartition("h").sortWithinPartitions("h").mapInArrow(merge, schema), "neighbours")
+    files.drop(docs.sparkSession)
+    return out
+
+
+def _by_word(tables: list[pa.Table]) -> pa.Table:
+    rows = pa.concat_tables(tables)
+    return rows.take(pa.array(np.argsort(rows.column("h").to_numpy(), kind="stable")))
 
 
 def _packed(h: np.ndarray, kind: np.ndarray, key: np.ndarray, n: np.ndarray) -> pa.Table:
@@ -409,62 +573,31 @@ def exchanged(found: DataFrame, pairs: np.ndarray, head: np.ndarray) -> DataFram
     return map_batches(found, run, "h bigint, moved int")
 
 
-def chunk_words(docs: DataFrame) -> DataFrame:
-    """(chunk, h): the distinct words of each chunk, from (chunk, text); repeated over partitions at most."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[int, list[np.ndarray]] = {}
-        size = 0
-
-        def flush() -> Iterator[pa.RecordBatch]:
-            for chunk, parts in held.items():
-                k = np.unique(np.concatenate(parts))
-                for a in range(0, len(k), 1 << 18):
-                    part = k[a : a + (1 << 18)]
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(part), chunk, np.int64)), pa.array(part.view(np.int64))], ["chunk", "h"])
-
-        for batch in batches:
-            chunks = batch.column(0).to_numpy()
-            heads = np.flatnonzero(np.r_[True, chunks[1:] != chunks[:-1]])
-            for a, b in zip(heads, np.r_[heads[1:], len(chunks)], strict=True):
-                for h, _, _ in _documents(text_of(batch.column(1).slice(a, b - a))):
-                    k = np.unique(h)
-                    held.setdefault(int(chunks[a]), []).append(k)
-                    size += len(k)
-            if size > _HELD:
-                yield from flush()
-                held, size = {}, 0
-        yield from flush()
-
-    return docs.mapInArrow(run, "chunk bigint, h bigint").distinct()
-
-
 def unseen_types(once: int, twice: int) -> float:
     """How many words the training documents lack, at least one: Chao's estimate from the words seen once and twice."""
     return max(1.0, once * (once - 1) / (2 * (twice + 1)))
 
 
-def encoded(docs: DataFrame, words: DataFrame, kind_of: str, tokens: int, kinds: int, class_total: np.ndarray, unknown: float, unseen: float) -> DataFrame:
+def encoded(docs: DataFrame, files: ChunkFiles, kind_of: str, tokens: int, kinds: int, class_total: np.ndarray, unknown: float, unseen: float) -> DataFrame:
     """(id, held_out, n_tokens, n_known, base_score, emission, classes): all of a document's score but the transitions.
 
-    docs: (chunk, id, held_out, text); words: (chunk, h, n, class) of each chunk's known words. unknown: what the unknown words have of the
+    docs: (chunk, text, held_out, id); files: each chunk's known words with classes and counts. unknown: what the unknown words have of the
     rare class; each of the `unseen` ones that are estimated has an equal part of it.
     """
     floor = np.log10(1 / (tokens + kinds + 1))
     total = np.maximum(class_total.astype(float), 1)
     rare = class_total[RARE_CLASS]
+    names = ["id", "held_out", "n_tokens", "n_known", "base_score", "emission", "classes"]
 
-    def run(left: pa.Table, right: pa.Table) -> pa.Table:
-        names = ["id", "held_out", "n_tokens", "n_known", "base_score", "emission", "classes"]
-        order = np.argsort(h := right.column("h").to_numpy().view(np.uint64))
-        h, n, kind = h[order], right.column("n").to_numpy()[order], right.column("class").to_numpy()[order]
-        base = np.r_[np.log10((n + 1) / (tokens + kinds + 1)), floor]
-        own = np.where(kind == RARE_CLASS, (1 - unknown) / max(rare, 1), n / total[kind])
-        emission = np.r_[np.log10(np.maximum(own, 1e-300)), np.log10(unknown / unseen)]
-        kind = np.r_[kind, RARE_CLASS].astype(np.uint8)
-        out = [[] for _ in range(5)]
-        for chunk in left.column("text").chunks:
-            for g, doc, m in _documents(text_of(chunk)):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for chunk, rows in _runs(batches):
+            h, kind, n = files.get(chunk)
+            base = np.r_[np.log10((n + 1) / (tokens + kinds + 1)), floor]
+            own = np.where(kind == RARE_CLASS, (1 - unknown) / max(rare, 1), n / total[kind])
+            emission = np.r_[np.log10(np.maximum(own, 1e-300)), np.log10(unknown / unseen)]
+            kind = np.r_[kind, RARE_CLASS].astype(np.uint8)
+            out = [[] for _ in range(5)]
+            for g, doc, m in _documents(text_of(rows.column(1))):
                 t, bounds = with_ends(g, doc, m)
                 at = np.minimum(np.searchsorted(h, t), max(len(h) - 1, 0))
                 at = np.where(h[at] == t, at, len(h)) if len(h) else np.full(len(t), 0)
@@ -475,11 +608,11 @@ def encoded(docs: DataFrame, words: DataFrame, kind_of: str, tokens: int, kinds:
                 out[3].append(np.add.reduceat(emission[at], starts))
                 k = kind[at].tobytes()
                 out[4] += [k[a:b] for a, b in zip(starts, bounds[1:], strict=True)]
-        parts = [pa.array(np.concatenate(x)) if x else pa.array([], t) for x, t in zip(out[:4], (pa.int64(), pa.int64(), pa.float64(), pa.float64()), strict=True)]
-        return pa.table([left.column("id"), left.column("held_out"), *parts, pa.array(out[4], pa.binary())], names)
+            parts = [pa.array(np.concatenate(x)) for x in out[:4]]
+            yield pa.RecordBatch.from_arrays([rows.column(3), rows.column(2), *parts, pa.array(out[4], pa.binary())], names)
+        return_memory()
 
-    schema = f"id {kind_of}, held_out boolean, n_tokens bigint, n_known bigint, base_score double, emission double, classes binary"
-    return docs.groupBy("chunk").cogroup(words.groupBy("chunk")).applyInArrow(run, schema)
+    return docs.mapInArrow(run, f"id {kind_of}, held_out boolean, n_tokens bigint, n_known bigint, base_score double, emission double, classes binary")
 
 
 def _steps(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -522,12 +655,13 @@ def score(docs: DataFrame, training: Column, chunk: Column, id_col: str = "doc_i
     """One row a document: id, held_out (not in training), n_tokens, n_known, train_tokens, base_score, score.
 
     training: a condition on docs' columns. chunk: an expression that gives each row the number of its chunk, always the
-    same one, a few thousand rows to a chunk.
+    same one; rows of a chunk should stand together (see chunk_of).
     """
     kind_of = docs.schema[id_col].dataType.simpleString()
     training = F.coalesce(training, F.lit(False))
-    chunked = docs.select(chunk.cast("bigint").alias("chunk"), F.col(id_col).alias("id"), (~training).alias("held_out"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    own = stored(chunk_words(chunked.select("chunk", "text")), "words")
+    chunk = F.coalesce(chunk.cast("bigint"), F.lit(0).cast("bigint"))
+    chunked = docs.select(chunk.alias("chunk"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), (~training).alias("held_out"), F.col(id_col).alias("id"))
+    own = stored(chunk_words(chunked.select("chunk", "text", "held_out")), "words")
     words = vocabulary(chunked.where("not held_out").select("chunk", "text"), own)
     totals = {r["class"]: (r["t"], r["v"]) for r in words.groupBy("class").agg(F.sum("n").alias("t"), F.count("*").alias("v")).collect()}
     tokens, kinds = sum(t for t, _ in totals.values()), sum(v for _, v in totals.values())
@@ -536,11 +670,11 @@ def score(docs: DataFrame, training: Column, chunk: Column, id_col: str = "doc_i
     once = int(class_total[RARE_CLASS])
     unknown = min(0.9, max(0.1, once / (once + 2 * twice))) if once else 0.9
 
-    own = own.join(words, "h").select("chunk", "h", "n", "class")
-    # the end belongs to every chunk
-    ends = chunked.select("chunk").distinct().crossJoin(F.broadcast(words.where(F.col("h") == int(END)).select("h", "n", "class")))  # one row
-    known = own.unionByName(ends.select("chunk", "h", "n", "class"))
-    rows = stored(encoded(chunked, known, kind_of, tokens, kinds, class_total, unknown, unseen_types(once, twice)), "encoded")
+    files = ChunkFiles(own.select("chunk", "h").join(words, "h"), own.count(), counts=True)
+    rows = stored(encoded(chunked, files, kind_of, tokens, kinds, class_total, unknown, unseen_types(once, twice)), "encoded")
+    files.drop(docs.sparkSession)
+    drop(own)
+    drop(words)
     table = smoothed(transitions(rows.where("not held_out").select("classes"))).reshape(-1)
 
     def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

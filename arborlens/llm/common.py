@@ -7,12 +7,15 @@ from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 import pyarrow.compute as pc
+import pyarrow.fs as pafs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..durable import new_path, shared_dir, stored
+from ..durable import drop, new_path, remove, shared_dir, stored
 
-__all__ = ["connected_components", "free_name", "join_counted", "map_batches", "new_path", "remainder", "return_memory", "shared_dir", "stored", "table", "text_of"]
+__all__ = [
+    "connected_components", "drop", "free_name", "join_counted", "map_batches", "new_path", "place_of", "remainder", "remove", "return_memory", "shared_dir", "stored", "table", "text_of",
+]
 
 #: The characters that separate words: space, and the control characters from tab to carriage return.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -35,6 +38,11 @@ def free_name(wanted: str, taken: list[str]) -> str:
     return wanted
 
 
+def place_of(uri: str) -> tuple[pafs.FileSystem, str]:
+    """The file system and the path of a file that executors write or read themselves."""
+    return pafs.FileSystem.from_uri(uri if "://" in uri else uri.replace("file:/", "file:///", 1) if uri.startswith("file:/") else f"file://{uri}")
+
+
 def return_memory() -> None:
     """Give what a finished task has freed back to the system: Python workers are kept for later tasks, and so is what they hold."""
     pa.default_memory_pool().release_unused()

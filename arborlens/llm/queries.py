@@ -55,7 +55,7 @@ def op8_sorted_string_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9_class_ngram_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     # a row's place in its file doesn't depend on how files are split
-    chunk = F.xxhash64("_metadata.file_path", F.expr("_metadata.row_index div 2048"))
+    chunk = class_lm.chunk_of([F.col("_metadata.file_path")], F.col("_metadata.row_index"), F.col("text"))
     return class_lm.score(docs, remainder("doc_id", 7) != 2, chunk)
 
 

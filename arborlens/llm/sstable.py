@@ -29,13 +29,12 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-import pyarrow.fs as pafs
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import tokens
-from .common import new_path, text_of
+from .common import new_path, place_of, text_of
 
 MAGIC, BLOCK, RESTART, BITS = b"ARBSST02", 1 << 18, 16, 10
 #: Bytes of input for each shard beyond the session's number of shuffle partitions.
@@ -177,10 +176,6 @@ class Reader:
         return next((ids for found, _, ids in self.block(k) if found == key), None) if k >= 0 else None
 
 
-def _place(uri: str) -> tuple[pafs.FileSystem, str]:
-    return pafs.FileSystem.from_uri(uri if "://" in uri else uri.replace("file:/", "file:///", 1) if uri.startswith("file:/") else f"file://{uri}")
-
-
 def _input_bytes(docs: DataFrame, text_col: str) -> int:
     """Bytes of the input's files; of the texts, where Spark doesn't know the files."""
     size = int(str(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
@@ -217,7 +212,7 @@ def write_shards(docs: DataFrame, folder: str, id_col: str = "doc_id", text_col:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, tail = tokens.encoder(path), np.array([end_id], "<u4").tobytes()
-        fs, root = _place(folder)
+        fs, root = place_of(folder)
         fs.create_dir(root, recursive=True)
         writer = stream = shard = name = None
         last, copy, out = None, 0, []
@@ -261,7 +256,7 @@ def read_shards(manifest: DataFrame, id_col: str = "doc_id") -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for uri, start in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                fs, place = _place(uri)
+                fs, place = place_of(uri)
                 with fs.open_input_file(place) as stream:
                     reader = Reader(stream, stream.size())
                     for k in range(len(reader.index)):

@@ -607,8 +607,8 @@ def test_words_outside_the_head_are_exchanged(spark):
     sides = [[f"{p}{i}" for i in range(60)] for p in "ab"]
     # what comes before a word tells nothing of it; what comes after does, as it does of the common words u0 and u1
     texts = [" ".join(w for _ in range(25) for k in [rng.randrange(2)] for w in (f"x{rng.randrange(4)}", f"u{k}" if rng.random() < 0.4 else rng.choice(sides[k]), f"y{k}")) for _ in range(150)]
-    docs = spark.createDataFrame([(i % 3, t) for i, t in enumerate(texts)], "chunk bigint, text string")
-    own = class_lm.chunk_words(docs)
+    docs = spark.createDataFrame([(i % 3, t, False) for i, t in enumerate(texts)], "chunk bigint, text string, held_out boolean")
+    own = common.stored(class_lm.chunk_words(docs), "words")
     plain, found = (class_lm.vocabulary(docs, own, head_size=8, rounds=r) for r in (0, 2))
     pairs = [class_lm.class_bigrams(class_lm.neighbours(docs, own, words)) for words in (plain, found)]
     assert all(p.sum() == sum(len(t.split()) + 1 for t in texts) for p in pairs)
@@ -623,6 +623,56 @@ def test_words_outside_the_head_are_exchanged(spark):
     assert right(plain) < 0.8 and right(found) > 0.95
 
 
+def slow_scores(texts, train, words):
+    """The model's scores by plain Python, from the classes of the words' hashes."""
+    import re
+
+    def h(w):
+        return next(class_lm._documents(pa.array([w], pa.large_string())))[0].view(np.int64)[0]
+
+    split = [[*map(h, re.findall(r"[^\x20\x09-\x0D]+", t)), int(class_lm.END)] for t in texts]
+    n, kind = {r.h: r.n for r in words}, {r.h: r["class"] for r in words}
+    total = {}
+    for w, k in kind.items():
+        total[k] = total.get(k, 0) + n[w]
+    once, twice = sum(v == 1 for v in n.values()), sum(v == 2 for v in n.values())
+    unknown = min(0.9, max(0.1, once / (once + 2 * twice))) if once else 0.9
+    unseen = max(1, once * (once - 1) / (2 * (twice + 1)))
+
+    def emission(w):
+        if w not in n:
+            return unknown / unseen
+        return (1 - unknown) / total[kind[w]] if kind[w] == class_lm.RARE_CLASS else n[w] / total[kind[w]]
+
+    steps = [[(a, b) for a, b in zip([class_lm.END_CLASS, *ks], ks)] for s in split for ks in [[kind.get(w, class_lm.RARE_CLASS) for w in s]]]
+    counts = np.zeros((class_lm.ALL_CLASSES, class_lm.ALL_CLASSES))
+    for own, use in zip(steps, train, strict=True):
+        for a, b in own if use else ():
+            counts[a, b] += 1
+    share = (counts.sum(0) + 0.5) / (counts.sum(0) + 0.5).sum()
+    moved = np.log10((counts + 2.0 * share) / (counts.sum(1, keepdims=True) + 2.0))
+    # all that the model can say after a class is 1: the words of each class, with the unknown ones
+    mass = {k: sum(emission(w) for w in n if kind[w] == k) for k in total}
+    mass[class_lm.RARE_CLASS] = mass.get(class_lm.RARE_CLASS, 0) + unknown
+    assert all(abs(m - 1) < 1e-9 or k == class_lm.RARE_CLASS and not once for k, m in mass.items()) and np.allclose((10**moved).sum(1), 1)
+    return [sum(moved[a, b] for a, b in own) + sum(np.log10(emission(w)) for w in s) for own, s in zip(steps, split, strict=True)]
+
+
+def test_class_scores_against_plain_python(spark):
+    rng = random.Random(12)
+    texts = [" ".join(rng.choice("abcdefgh") * rng.randint(1, 3) if rng.random() < 0.8 else f"z{rng.randrange(400)}" for _ in range(rng.randint(0, 60))) for _ in range(80)]
+    texts += [" ".join(thue_morse(2048)), "a " * 70_000]
+    train = [i % 5 != 1 for i in range(len(texts))]
+    df = spark.createDataFrame([*enumerate(texts)], "doc_id bigint, text string")
+    use, chunk = F.col("doc_id") % 5 != 1, class_lm.chunk_of([F.lit("x")], F.col("doc_id"), F.col("text"))
+    found = [r.score for r in class_lm.score(df, use, chunk).orderBy("doc_id").collect()]
+    docs = df.select(chunk.alias("chunk"), "text", (~use).alias("held_out"))
+    assert docs.select("chunk").distinct().count() == 2
+    own = common.stored(class_lm.chunk_words(docs), "words")
+    words = class_lm.vocabulary(docs.where("not held_out").select("chunk", "text"), own).collect()
+    assert np.allclose(found, slow_scores(texts, train, words), atol=1e-6)
+
+
 def test_best_classes_against_whole_likelihoods():
     rng = np.random.default_rng(1)
     pairs = rng.integers(500, 3000, (class_lm.ALL_CLASSES, class_lm.ALL_CLASSES))
