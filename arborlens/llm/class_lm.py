@@ -288,7 +288,7 @@ class ChunkFiles:
         self.folder, self.counts = new_path(spark, "chunks"), counts
         self.n_files = n_files = max(int(spark.conf.get("spark.sql.shuffle.partitions")), rows // _IN_FILE)
         file = F.pmod(F.col("chunk"), F.lit(n_files)).cast("int")
-        placed = known.select(file.alias("file"), "chunk", "h", "class", "n").repartitionById(n_files, F.col("file")).sortWithinPartitions("file", "chunk", "h")
+        placed = known.select(file.alias("file"), "chunk", "h", "class", "n").repartitionById(n_files, F.col("file")).sortWithinPartitions("file", "chunk")
         folder = self.folder
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -416,7 +416,7 @@ def neighbours(docs: DataFrame, own: DataFrame, words: DataFrame) -> DataFrame:
     docs: (chunk, text) of the training documents; own: the stored table of chunk_words(); words: (h, n, class).
     """
     some = words.where((F.col("n") > 1) & (F.col("h") != int(END))).select("h", "n", "class")
-    files = ChunkFiles(own.where("n > 0").select("chunk", "h").join(some, "h"), own.count())
+    files = ChunkFiles(own.where("n > 0").select("chunk", "h").join(some.hint("shuffle_hash"), "h"), own.count())
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size = [], 0
@@ -670,7 +670,7 @@ def score(docs: DataFrame, training: Column, chunk: Column, id_col: str = "doc_i
     once = int(class_total[RARE_CLASS])
     unknown = min(0.9, max(0.1, once / (once + 2 * twice))) if once else 0.9
 
-    files = ChunkFiles(own.select("chunk", "h").join(words, "h"), own.count(), counts=True)
+    files = ChunkFiles(own.select("chunk", "h").join(words.hint("shuffle_hash"), "h"), own.count(), counts=True)
     rows = stored(encoded(chunked, files, kind_of, tokens, kinds, class_total, unknown, unseen_types(once, twice)), "encoded")
     files.drop(docs.sparkSession)
     drop(own)
