@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from .functions import text
 from .functions.json_keys import section_keys
-from .operators import graph, imports, infer, manifests, metrics, tree, usage
+from .operators import graph, imports, infer, manifests, metrics, ranks, tree, usage
 from .plans import analyze
 from .sources import repo
 
@@ -80,8 +80,7 @@ def ignored_segment_filter(spark, sf_dir):
 
 @query(f"SELECT page_id, row_number() OVER (ORDER BY string_split({_HOST_PATH}, '/'), page_id) AS place FROM pages")
 def path_component_order(spark, sf_dir):
-    order = Window.orderBy(text.order_key(F.col("path")), "page_id")
-    return _paths(spark, sf_dir).select("page_id", F.row_number().over(order).cast("bigint").alias("place"))
+    return ranks.numbered(_paths(spark, sf_dir), [text.order_key(F.col("path")), F.col("page_id")], "place").drop("path")
 
 
 @query("SELECT doc_id, CASE WHEN doc_id % 10 IN (0, 1) THEN -1 ELSE length(text) END AS chars FROM documents")

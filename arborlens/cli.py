@@ -10,6 +10,7 @@ import time
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
+from . import durable
 from .functions import text
 from .operators import tree, usage
 from .plans import analyze, report
@@ -35,7 +36,7 @@ def parser() -> argparse.ArgumentParser:
 
 def result(spark: SparkSession, root: str) -> dict:
     """The analysis of one tree; the one row that is collected."""
-    row = analyze.analyze(repo.files(spark, root).drop("is_dir", "length"), repo.listing(spark, root)).drop("repo_id").first()
+    row = analyze.analyze(repo.files(spark, root), repo.listing(spark, root)).drop("repo_id").first()
     return row.asDict(recursive=True) if row else analyze.empty()
 
 
@@ -44,11 +45,12 @@ def run(spark: SparkSession, args: argparse.Namespace) -> str:
     began = time.perf_counter()
     root, guard = repo.resolve_input(args.path)
     try:
+        root = repo.shared_root(spark, root, guard)
         if args.command == "scan":
             paths = [r["path"] for r in repo.paths(spark, root).orderBy(text.order_key(F.col("path"))).collect()]
             out = "".join(f"{x}\n" for x in [f"{len(paths)} file{'' if len(paths) == 1 else 's'}", *[os.path.join(root, p) for p in paths]])
         elif args.command == "framework":
-            paths = [r["path"] for r in usage.files_using(repo.files(spark, root), args.name).collect()]
+            paths = [r["path"] for r in usage.files_using(repo.files(spark, root), args.name).collect()]  # the source opens files of the framework's extensions only
             out = report.usage(args.name, [os.path.join(root, p) for p in paths])
         elif args.command == "map":
             label = os.path.basename(os.path.normpath(root)) or "."
@@ -59,6 +61,7 @@ def run(spark: SparkSession, args: argparse.Namespace) -> str:
     finally:
         if guard:
             guard.cleanup()
+        durable.release(spark)
     if getattr(args, "time", False):
         print(f"⏱  Completed in {time.perf_counter() - began:.2f}s", file=sys.stderr)
     return out

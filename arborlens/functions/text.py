@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from ..rules import CLONE_ERRORS, GIT_PREFIXES, OTHER_CLONE_ERROR
+
 
 def text_of(content: Column) -> Column:
     """A file's text; null if it holds a NUL byte or isn't strict UTF-8."""
@@ -68,7 +72,7 @@ def is_relative(specifier: Column) -> Column:
 
 
 def is_git_url(c: Column) -> Column:
-    return c.startswith("http://") | c.startswith("https://") | c.startswith("git@")
+    return reduce(Column.__or__, [c.startswith(p) for p in GIT_PREFIXES])
 
 
 def requirement_name(line: Column) -> Column:
@@ -112,19 +116,14 @@ def plural(n: Column) -> Column:
 def clone_error(message: Column, url: Column) -> Column:
     """What to tell of a failed clone; the first rule that fits."""
 
-    def has(*words: str) -> Column:
-        out = F.contains(message, F.lit(words[0]))
-        for w in words[1:]:
-            out = out | F.contains(message, F.lit(w))
-        return out
-
-    denied = has("not found", "404", "403", "authentication", "could not read Username")
-    return (
-        F.when(denied, F.concat(F.lit("Repository not found or access denied: "), url))
-        .when(has("resolve", "connect", "timed out", "SSL", "network"), F.concat(F.lit("Network error while cloning: "), message))
-        .when(has("unsupported URL protocol", "invalid"), F.concat(F.lit("Invalid repository URL: "), url))
-        .otherwise(F.concat(F.lit("Failed to clone repository: "), message))
-    )
+    def said(form: str) -> Column:
+        head, _, name = form.rstrip("}").partition("{")
+        return F.concat(F.lit(head), {"url": url, "message": message}[name])
+
+    out = said(OTHER_CLONE_ERROR)
+    for words, form in reversed(CLONE_ERRORS):
+        out = F.when(reduce(Column.__or__, [F.contains(message, F.lit(w)) for w in words]), said(form)).otherwise(out)
+    return out
 
 
 def longest_path(path: Column) -> Column:

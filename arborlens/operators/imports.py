@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text
 from ..rules import JS_EXTENSIONS
+from . import facts
 
 #: What comes before a quoted specifier, in the order in which a line is searched.
 TRIGGERS = ("from ", "require\\(", "import\\(")
@@ -18,12 +19,6 @@ def specifiers(line: Column, triggers: tuple[str, ...] = TRIGGERS) -> Column:
     return F.concat(*parts)
 
 
-def _lines(files: DataFrame, extensions: tuple[str, ...]) -> DataFrame:
-    own = files.where(F.col("ext").isin(*extensions)).select("repo_id", "path", text.text_of(F.col("content")).alias("text")).where("text is not null")
-    out = own.select("repo_id", "path", F.posexplode(text.lines(F.col("text"))).alias("line_no", "raw"))
-    return out.select("repo_id", "path", "line_no", text.trim(F.col("raw")).alias("line"))
-
-
 def _joined(directory: Column, rest: Column) -> Column:
     return text.normalize(F.concat(F.when(directory != "", F.concat(directory, F.lit("/"))).otherwise(""), rest))
 
@@ -52,14 +47,15 @@ def rust_candidates(path: Column, module: Column) -> Column:
 
 
 def import_candidates(files: DataFrame) -> DataFrame:
-    """(repo_id, src, ord, candidates) of each import statement; ord orders the statements of a file."""
-    js = _lines(files, JS_EXTENSIONS).where(~text.is_slash_comment(F.col("line")))
+    """(repo_id, src, ord, candidates) of each import statement of files or facts; ord orders the statements of a file."""
+    own, ext = facts.of(files), F.col("ext")
+    js = facts.lines(own, ext.isin(*JS_EXTENSIONS)).where(~text.is_slash_comment(F.col("line")))
     js = js.select("repo_id", "path", "line_no", F.posexplode(specifiers(F.col("line"))).alias("pos", "spec")).where(text.is_relative(F.col("spec")))
     js = js.select("repo_id", F.col("path").alias("src"), F.struct("line_no", "pos").alias("ord"), js_candidates(F.col("path"), F.col("spec")).alias("candidates"))
     zero = F.struct("line_no", F.lit(0).alias("pos")).alias("ord")
-    py = _lines(files, ("py",)).where(F.col("line").startswith("from ."))
+    py = facts.lines(own, ext == "py").where(F.col("line").startswith("from ."))
     py = py.select("repo_id", F.col("path").alias("src"), zero, python_candidates(F.col("path"), F.col("line")).alias("candidates"))
-    rs = _lines(files, ("rs",)).where(~text.is_slash_comment(F.col("line"))).withColumn("module", F.regexp_extract("line", r"^(?:pub)*(?U:\s)*mod (.*?);+$", 1)).where("module <> ''")
+    rs = facts.lines(own, ext == "rs").where(~text.is_slash_comment(F.col("line"))).withColumn("module", F.regexp_extract("line", r"^(?:pub)*(?U:\s)*mod (.*?);+$", 1)).where("module <> ''")
     rs = rs.select("repo_id", F.col("path").alias("src"), zero, rust_candidates(F.col("path"), text.trim(F.col("module"))).alias("candidates"))
     return js.unionByName(py).unionByName(rs)
 

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from .. import rules
 from ..functions import text
 from ..functions.json_keys import section_keys
+from . import facts
 
 
 def rule_table(df: DataFrame, frameworks: dict[str, str], databases: dict[str, str]) -> DataFrame:
@@ -21,20 +22,14 @@ def matched(keys: DataFrame, frameworks: dict[str, str], databases: dict[str, st
     return keys.join(F.broadcast(rule_table(keys, frameworks, databases)), "key").select("repo_id", "kind", "label")
 
 
-def numbered_lines(files: DataFrame, name: str) -> DataFrame:
-    """(repo_id, path, line_no, line) of text files of a name, trimmed."""
-    own = files.where(F.col("name") == name).select("repo_id", "path", text.text_of(F.col("content")).alias("text")).where("text is not null")
-    return own.select("repo_id", "path", F.posexplode(text.lines(F.col("text"))).alias("line_no", "raw")).select("repo_id", "path", "line_no", text.trim(F.col("raw")).alias("line"))
-
-
 def npm_labels(files: DataFrame) -> DataFrame:
-    own = files.where(F.col("name") == "package.json").select("repo_id", text.text_of(F.col("content")).alias("text"))
-    keys = own.select("repo_id", F.explode(section_keys(rules.NPM_SECTIONS)("text")).alias("key"))
+    own = facts.of(files).where("package is not null")
+    keys = own.select("repo_id", F.explode(section_keys(rules.NPM_SECTIONS)("package")).alias("key"))
     return matched(keys, rules.NPM_FRAMEWORKS, rules.NPM_DATABASES)
 
 
 def pip_labels(files: DataFrame) -> DataFrame:
-    lines = numbered_lines(files, "requirements.txt").where("line <> '' and not startswith(line, '#')")
+    lines = facts.lines(files, F.col("name") == "requirements.txt").where("line <> '' and not startswith(line, '#')")
     return matched(lines.select("repo_id", text.requirement_name(F.col("line")).alias("key")), rules.PIP_FRAMEWORKS, rules.PIP_DATABASES)
 
 
@@ -46,7 +41,7 @@ def in_sections(lines: DataFrame, keys: tuple[str, ...], sections: tuple[str, ..
 
 
 def cargo_labels(files: DataFrame) -> DataFrame:
-    lines = in_sections(numbered_lines(files, "Cargo.toml"), ("repo_id", "path"), rules.CARGO_SECTIONS, F.col("line").startswith("["))
+    lines = in_sections(facts.lines(files, F.col("name") == "Cargo.toml"), ("repo_id", "path"), rules.CARGO_SECTIONS, F.col("line").startswith("["))
     return matched(lines.select("repo_id", text.cargo_key(F.col("line")).alias("key")), rules.CARGO_FRAMEWORKS, rules.CARGO_DATABASES)
 
 
@@ -59,7 +54,7 @@ def first_rule(line: Column, table: dict[str, str]) -> Column:
 
 
 def go_labels(files: DataFrame) -> DataFrame:
-    out = numbered_lines(files, "go.mod").select("repo_id", F.lit("framework").alias("kind"), first_rule(F.col("line"), rules.GO_FRAMEWORKS).alias("label"))
+    out = facts.lines(files, F.col("name") == "go.mod").select("repo_id", F.lit("framework").alias("kind"), first_rule(F.col("line"), rules.GO_FRAMEWORKS).alias("label"))
     return out.where("label is not null")
 
 
@@ -83,7 +78,8 @@ def infrastructure_labels(files: DataFrame) -> DataFrame:
 
 
 def all_labels(files: DataFrame) -> DataFrame:
-    """Distinct labels of all kinds."""
+    """Distinct labels of all kinds, of files or facts."""
+    files = facts.of(files)
     parts = [npm_labels(files), pip_labels(files), cargo_labels(files), go_labels(files), infrastructure_labels(files)]
     out = parts[0]
     for p in parts[1:]:

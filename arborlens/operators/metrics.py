@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text
 from ..rules import LANGUAGES
+from .ranks import numbered
 
 
 def language(ext: Column) -> Column:
@@ -15,8 +16,9 @@ def language(ext: Column) -> Column:
 
 
 def file_lines(files: DataFrame) -> DataFrame:
-    """(repo_id, path, loc, language) of text files; binary and invalid ones are left out."""
-    out = files.select("repo_id", "path", text.line_count(text.text_of(F.col("content"))).alias("loc"), language(F.col("ext")).alias("language"))
+    """(repo_id, path, loc, language) of text files, from files or facts; binary, invalid and unread ones are left out."""
+    loc = F.col("loc") if "loc" in files.columns else text.line_count(text.text_of(F.col("content"))).alias("loc")
+    out = files.select("repo_id", "path", loc, language(F.col("ext")).alias("language"))
     return out.where("loc is not null")
 
 
@@ -37,10 +39,11 @@ def breakdown(lines: DataFrame) -> DataFrame:
 
 
 def ranked(rows: DataFrame, by: str = "file", keys: tuple[str, ...] = ("repo_id",), most: int | None = None) -> DataFrame:
-    """With rank by loc, largest first, ties by path components; only the first `most`, cut before ranks of a group are complete."""
-    order = Window.partitionBy(*keys).orderBy(F.desc("loc"), text.order_key(F.col(by)))
-    out = rows.withColumn("rank", F.row_number().over(order))
-    return out.where(F.col("rank") <= most) if most else out
+    """With rank by loc, largest first, ties by path components; only the first `most`, cut before rows are shuffled, if asked for."""
+    order = [F.desc("loc"), text.order_key(F.col(by))]
+    if not most:
+        return numbered(rows, order, "rank", keys)
+    return rows.withColumn("rank", F.row_number().over(Window.partitionBy(*keys).orderBy(*order)).cast("bigint")).where(F.col("rank") <= most)
 
 
 def shares(by_language: DataFrame, keys: tuple[str, ...] = ("repo_id",)) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text
+from .ranks import numbered
 
 DEPTH = 6
 
@@ -33,13 +34,12 @@ def tree_lines(entries: DataFrame, max_depth: int = DEPTH) -> DataFrame:
     cut = whole.where(F.col("is_dir") & (F.col("depth") == max_depth)).select("repo_id", "key", F.lit(1).alias("extra"), F.concat("below", F.lit("    …")).alias("line"))
     rows = named.unionByName(cut)
     # an ellipsis follows its directory and comes before what is after it: arrays that begin alike compare by length, then by extra
-    number = F.row_number().over(Window.partitionBy("repo_id").orderBy("key", "extra"))
-    return rows.select("repo_id", number.cast("bigint").alias("line_no"), "line")
+    return numbered(rows, [F.col("key"), F.col("extra")], "line_no", ("repo_id",)).select("repo_id", "line_no", "line")
 
 
 def render(label: str, lines: DataFrame, max_depth: int = DEPTH) -> str:
     """The tree of one repository as text, its label first."""
     if max_depth <= 0:
-        return f"{label}\n    …\n"
+        return f"{label}/\n    …\n"
     rows = lines.orderBy("line_no").select("line").collect()  # the text is the result
-    return "".join(f"{x}\n" for x in [label, *[r["line"] for r in rows]])
+    return "".join(f"{x}\n" for x in [f"{label}/", *[r["line"] for r in rows]])

@@ -24,7 +24,7 @@ def uses(body: Column, ext: Column, extensions: tuple[str, ...], patterns: tuple
 
 def files_using(files: DataFrame, framework: str) -> DataFrame:
     """(repo_id, path) in path order; none for an unknown framework."""
-    extensions, patterns = rules.usage_patterns().get(framework.lower(), ((), ()))
+    extensions, patterns = rules.USAGE.get(framework.lower(), ((), ()))
     if not extensions:
         return files.select("repo_id", "path").limit(0)
     own = files.where(F.col("ext").isin(*extensions)).select("repo_id", "path", "ext", text.text_of(F.col("content")).alias("text"))

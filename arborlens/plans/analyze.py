@@ -1,11 +1,15 @@
-"""The whole analysis as one row a repository."""
+"""The whole analysis: tables of a row a file, label, edge or language, and one nested row a repository.
+
+Contents are read once: a lean table of facts is stored, and all else comes from it.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators import graph, imports, infer, manifests, metrics
+from ..durable import stored
+from ..operators import facts, graph, imports, infer, manifests, metrics
 
 #: Columns of the result, in their order.
 RESULT = (
@@ -14,22 +18,37 @@ RESULT = (
 )
 
 
+def tables(files: DataFrame, listing: DataFrame | None = None) -> dict[str, DataFrame]:
+    """The analysis as tables, for repositories of any size: facts, files (repo_id, file, loc, language), languages, totals, labels (repo_id, kind, label), edges
+    (repo_id, src, dst, ord) and dead (repo_id, path). listing: all paths that imports may lead to."""
+    known = stored(facts.facts(files), "facts")
+    listing = known.select("repo_id", "path") if listing is None else listing
+    lines = metrics.file_lines(known)
+    links = stored(imports.edges(known, listing), "edges")
+    return {
+        "facts": known, "files": metrics.breakdown(lines), "languages": metrics.language_loc(lines), "totals": metrics.total_loc(lines),
+        "labels": manifests.all_labels(known), "edges": links, "dead": graph.dead_files(known, links),
+    }
+
+
 def analyze(files: DataFrame, listing: DataFrame | None = None) -> DataFrame:
-    """(repo_id, then RESULT) from files (repo_id, path, name, ext, content); listing: all paths that imports may lead to."""
-    listing = files.select("repo_id", "path") if listing is None else listing
-    repos = files.select("repo_id").distinct()
-    lines = metrics.file_lines(files)
-    by_language = metrics.language_loc(lines).groupBy("repo_id").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("language", "loc")))).alias("languages"))
-    totals = metrics.total_loc(lines)
-    entry = F.struct((-F.col("loc")).alias("k"), F.split("file", "/").alias("p"), F.struct("file", "loc", "language").alias("v"))
-    parts = metrics.breakdown(lines).groupBy("repo_id").agg(F.transform(F.array_sort(F.collect_list(entry)), lambda x: x["v"]).alias("file_breakdown"))
-    links = imports.edges(files, listing)
+    """(repo_id, then RESULT) from files (repo_id, path, name, ext, content): tables() nested into one row a repository, as the JSON result wants it.
+    A row holds all paths of its repository, so one of tens of millions of files is for tables()."""
+    t = tables(files, listing)
     shown = F.concat(F.lit("./"), "path")
-    deps = imports.adjacency(files.select("repo_id", "path"), links).select("repo_id", shown.alias("path"), F.transform("deps", lambda x: F.concat(F.lit("./"), x)).alias("deps"))
-    deps = deps.groupBy("repo_id").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("path", "deps")))).alias("dependency_graph"))
-    gone = graph.dead_files(files, links).groupBy("repo_id").agg(F.transform(F.array_sort(F.collect_list(F.struct(F.split("path", "/").alias("k"), shown.alias("v")))), lambda x: x["v"]).alias("dead_code"))
-    out = repos
-    for side in (by_language, totals, manifests.label_sets(manifests.all_labels(files)), parts, deps, gone):
+
+    def nested(df: DataFrame, name: str, order, value) -> DataFrame:
+        rows = F.array_sort(F.collect_list(F.struct(*order, value.alias("v"))))
+        return df.groupBy("repo_id").agg(F.transform(rows, lambda x: x["v"]).alias(name))
+
+    by_language = nested(t["languages"], "languages", ["language"], F.struct("language", "loc")).withColumn("languages", F.map_from_entries("languages"))
+    entry = F.struct("file", "loc", "language")
+    parts = nested(t["files"], "file_breakdown", [(-F.col("loc")).alias("k"), F.split("file", "/").alias("p")], entry)
+    deps = imports.adjacency(t["facts"].select("repo_id", "path"), t["edges"]).select("repo_id", shown.alias("path"), F.transform("deps", lambda x: F.concat(F.lit("./"), x)).alias("deps"))
+    deps = nested(deps, "dependency_graph", ["path"], F.struct("path", "deps")).withColumn("dependency_graph", F.map_from_entries("dependency_graph"))
+    gone = nested(t["dead"], "dead_code", [F.split("path", "/").alias("k")], shown)
+    out = t["facts"].select("repo_id").distinct()
+    for side in (by_language, t["totals"], manifests.label_sets(t["labels"]), parts, deps, gone):
         out = out.join(side, "repo_id", "left")
     none = F.array().cast("array<string>")
     out = out.withColumns({c: F.coalesce(c, none) for c in ("frameworks", "databases", "infrastructure", "dead_code")})

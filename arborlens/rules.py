@@ -53,40 +53,142 @@ GO_FRAMEWORKS = {
     "github.com/beego/beego": "Beego", "github.com/go-chi/chi": "Chi", "github.com/revel/revel": "Revel", "go.uber.org/fx": "Uber FX",
 }
 
-
-def _quoted(*forms: str) -> list[str]:
-    """Each form with both kinds of quotes in place of Q."""
-    return [f.replace("Q", q) for f in forms for q in ("'", '"')]
-
-
-# fixed values: framework -> (extensions, kinds of patterns of its package). from: from Q<pkg>Q, req: require(Q<pkg>Q), sub: from Q<pkg>/
-_JS = {
-    "react": ("ts tsx js jsx mjs", "from react", "from react-dom", "req react"), "next.js": ("ts tsx js jsx", "from next", "sub next", "req next"),
-    "express": ("ts js mjs", "from express", "req express"), "vite": ("ts js mjs", "from vite", "sub vite"), "vue": ("ts tsx js jsx vue", "from vue", "req vue"),
-    "svelte": ("ts js svelte", "from svelte", "sub svelte"), "nestjs": ("ts js", "sub @nestjs"), "fastify": ("ts js mjs", "from fastify", "req fastify"),
-    "koa": ("ts js mjs", "from koa", "req koa"), "remix": ("ts tsx js jsx", "sub @remix-run"), "gatsby": ("ts tsx js jsx", "from gatsby"),
-    "nuxt": ("ts js vue", "from nuxt", "from #app"), "astro": ("ts js astro", "from astro", "sub astro"),
-}
-_PY = ("fastapi", "django", "flask", "starlette", "aiohttp")
-_RS = {"tokio": "tokio", "axum": "axum", "actix-web": "actix_web", "rocket": "rocket", "warp": "warp", "leptos": "leptos", "dioxus": "dioxus", "yew": "yew", "tauri": "tauri"}
-_GO = {"gin": '"github.com/gin-gonic/gin"', "echo": '"github.com/labstack/echo', "fiber": '"github.com/gofiber/fiber', "chi": '"github.com/go-chi/chi'}
-_FORM = {"from": "from Q{}Q", "req": "require(Q{}Q)", "sub": "from Q{}/"}
-
-
-def usage_patterns() -> dict[str, tuple[tuple[str, ...], tuple[str, ...]]]:
-    """framework -> (extensions, substrings): a line with one of them uses the framework."""
-    out = {n: (tuple(e.split()), tuple(_quoted(*[_FORM[k].format(p) for k, p in map(str.split, forms)]))) for n, (e, *forms) in _JS.items()}
-    out |= {n: (("py",), (f"from {n}", f"import {n}")) for n in _PY}
-    out |= {n: (("rs",), (f"use {p}", f"{p}::")) for n, p in _RS.items()}
-    return out | {n: (("go",), (p,)) for n, p in _GO.items()}
-
+# fixed values: framework -> (extensions, substrings): a line with one of them uses the framework
+USAGE = {
+    "react": (
+        ("ts", "tsx", "js", "jsx", "mjs"),
+        ("from 'react'", 'from "react"', "from 'react-dom'", 'from "react-dom"', "require('react')", 'require("react")'),
+    ),
+    "next.js": (
+        ("ts", "tsx", "js", "jsx"),
+        ("from 'next'", 'from "next"', "from 'next/", 'from "next/', "require('next')", 'require("next")'),
+    ),
+    "express": (
+        ("ts", "js", "mjs"),
+        ("from 'express'", 'from "express"', "require('express')", 'require("express")'),
+    ),
+    "vite": (
+        ("ts", "js", "mjs"),
+        ("from 'vite'", 'from "vite"', "from 'vite/", 'from "vite/'),
+    ),
+    "vue": (
+        ("ts", "tsx", "js", "jsx", "vue"),
+        ("from 'vue'", 'from "vue"', "require('vue')", 'require("vue")'),
+    ),
+    "svelte": (
+        ("ts", "js", "svelte"),
+        ("from 'svelte'", 'from "svelte"', "from 'svelte/", 'from "svelte/'),
+    ),
+    "nestjs": (
+        ("ts", "js"),
+        ("from '@nestjs/", 'from "@nestjs/'),
+    ),
+    "fastify": (
+        ("ts", "js", "mjs"),
+        ("from 'fastify'", 'from "fastify"', "require('fastify')", 'require("fastify")'),
+    ),
+    "koa": (
+        ("ts", "js", "mjs"),
+        ("from 'koa'", 'from "koa"', "require('koa')", 'require("koa")'),
+    ),
+    "remix": (
+        ("ts", "tsx", "js", "jsx"),
+        ("from '@remix-run/", 'from "@remix-run/'),
+    ),
+    "gatsby": (
+        ("ts", "tsx", "js", "jsx"),
+        ("from 'gatsby'", 'from "gatsby"'),
+    ),
+    "nuxt": (
+        ("ts", "js", "vue"),
+        ("from 'nuxt'", 'from "nuxt"', "from '#app'", 'from "#app"'),
+    ),
+    "astro": (
+        ("ts", "js", "astro"),
+        ("from 'astro'", 'from "astro"', "from 'astro/", 'from "astro/'),
+    ),
+    "fastapi": (
+        ("py",),
+        ("from fastapi", "import fastapi"),
+    ),
+    "django": (
+        ("py",),
+        ("from django", "import django"),
+    ),
+    "flask": (
+        ("py",),
+        ("from flask", "import flask"),
+    ),
+    "starlette": (
+        ("py",),
+        ("from starlette", "import starlette"),
+    ),
+    "aiohttp": (
+        ("py",),
+        ("from aiohttp", "import aiohttp"),
+    ),
+    "tokio": (
+        ("rs",),
+        ("use tokio", "tokio::"),
+    ),
+    "axum": (
+        ("rs",),
+        ("use axum", "axum::"),
+    ),
+    "actix-web": (
+        ("rs",),
+        ("use actix_web", "actix_web::"),
+    ),
+    "rocket": (
+        ("rs",),
+        ("use rocket", "rocket::"),
+    ),
+    "warp": (
+        ("rs",),
+        ("use warp", "warp::"),
+    ),
+    "leptos": (
+        ("rs",),
+        ("use leptos", "leptos::"),
+    ),
+    "dioxus": (
+        ("rs",),
+        ("use dioxus", "dioxus::"),
+    ),
+    "yew": (
+        ("rs",),
+        ("use yew", "yew::"),
+    ),
+    "tauri": (
+        ("rs",),
+        ("use tauri", "tauri::"),
+    ),
+    "gin": (
+        ("go",),
+        ('"github.com/gin-gonic/gin"',),
+    ),
+    "echo": (
+        ("go",),
+        ('"github.com/labstack/echo',),
+    ),
+    "fiber": (
+        ("go",),
+        ('"github.com/gofiber/fiber',),
+    ),
+    "chi": (
+        ("go",),
+        ('"github.com/go-chi/chi',),
+    ),
+}
 
 # fixed values: names of entry points
-ENTRY_POINTS = frozenset(
-    "main.rs lib.rs build.rs index.ts index.tsx index.js index.jsx index.mjs server.ts server.js app.ts app.js main.ts main.js vite.config.ts vite.config.js "
-    "next.config.ts next.config.js tailwind.config.ts tailwind.config.js jest.config.ts jest.config.js vitest.config.ts vitest.config.js webpack.config.js "
-    "rollup.config.js app.py main.py run.py manage.py wsgi.py asgi.py __main__.py main.go cli.ts cli.js cli.rs".split()
-)
+ENTRY_POINTS = (
+    "main.rs", "lib.rs", "build.rs", "index.ts", "index.tsx", "index.js", "index.jsx", "index.mjs",
+    "server.ts", "server.js", "app.ts", "app.js", "main.ts", "main.js", "vite.config.ts", "vite.config.js",
+    "next.config.ts", "next.config.js", "tailwind.config.ts", "tailwind.config.js", "jest.config.ts", "jest.config.js", "vitest.config.ts", "vitest.config.js",
+    "webpack.config.js", "rollup.config.js", "app.py", "main.py", "run.py", "manage.py", "wsgi.py", "asgi.py",
+    "__main__.py", "main.go", "cli.ts", "cli.js", "cli.rs",
+)
 
 # fixed values: labels that make a front end or a back end
 FRONTEND = ("React", "Vue", "Next.js", "Nuxt", "Svelte", "Astro", "Remix", "Gatsby", "Angular")
@@ -94,3 +196,14 @@ BACKEND = ("Express", "FastAPI", "Django", "Flask", "Axum", "Actix-web", "Rocket
 
 # fixed values: extensions that imports are resolved to
 JS_EXTENSIONS = ("ts", "tsx", "js", "jsx", "mjs")
+
+# fixed values: beginnings of git URLs
+GIT_PREFIXES = ("http://", "https://", "git@")
+
+# fixed values: what a failed clone's message holds -> what is told; the first that fits
+CLONE_ERRORS = (
+    (("not found", "404", "403", "authentication", "could not read Username"), "Repository not found or access denied: {url}"),
+    (("resolve", "connect", "timed out", "SSL", "network"), "Network error while cloning: {message}"),
+    (("unsupported URL protocol", "invalid"), "Invalid repository URL: {url}"),
+)
+OTHER_CLONE_ERROR = "Failed to clone repository: {message}"

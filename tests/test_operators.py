@@ -35,7 +35,7 @@ def test_names_and_languages(spark):
     given = {"a.rs": "Rust", "b.TSX": "TypeScript", ".bashrc": None, "x.tar.gz": None, "Makefile": None, "n.markdown": "Markdown", "a.b.py": "Python", "z.": None}
     df = spark.createDataFrame([(k,) for k in given], "n string")
     assert values(df, metrics.language(text.extension(F.col("n")))) == [*given.values()]
-    assert len(rules.LANGUAGES) == 23 and len(rules.ENTRY_POINTS) == 37 and len(rules.usage_patterns()) == 31
+    assert len(rules.LANGUAGES) == 23 and len(rules.ENTRY_POINTS) == 37 and len(rules.USAGE) == 31
 
 
 @pytest.mark.parametrize(
@@ -120,9 +120,23 @@ def test_dead(spark, nodes, edges, dead):
     assert sorted(r.path for r in graph.dead_files(n, e).collect()) == dead.split()
 
 
-def test_reachability_against_plain_search(spark):
+@pytest.mark.parametrize("local", [10**6, 0])
+def test_reachability_of_groups(spark, monkeypatch, local):
+    monkeypatch.setattr(graph, "LOCAL", local)
+    edges = [("x", "a", "b"), ("x", "b", "a"), ("x", "b", "c"), ("x", "c", "out"), ("y", "a", "c"), ("y", None, "b"), ("x", "c", None), ("x", "q", "q")]
+    nodes = [(k, n) for k in "xyz" for n in "abcd"]
+    n, e = spark.createDataFrame(nodes, "k string, node string"), spark.createDataFrame(edges, "k string, src string, dst string")
+    found = graph.reachable(n, e, spark.createDataFrame([("x", "a"), ("y", "a"), ("y", "gone"), ("w", "a")], "k string, node string"), ("k",))
+    assert sorted(map(tuple, found.collect())) == [("x", "a"), ("x", "b"), ("x", "c"), ("y", "a"), ("y", "c")]
+    assert graph.reachable(n.limit(0), e, n.limit(0), ("k",)).count() == 0
+
+
+@pytest.mark.parametrize("local", [10**6, 0])
+def test_reachability_against_plain_search(spark, monkeypatch, local):
     import random
 
+    monkeypatch.setattr(graph, "LOCAL", local)
+
     rng = random.Random(5)
     edges = [(rng.randrange(60), rng.randrange(60)) for _ in range(70)] + [(0, 60)] + [(i, i + 1) for i in range(60, 99)]
     seen, queue = {0}, [0]
@@ -195,7 +209,7 @@ def test_whole_tree(spark, tmp_path):
     make(tmp_path, WEB)
     own = repo.files(spark, str(tmp_path))
     assert sorted(r.path for r in own.select("path").collect()) == sorted(p for p in WEB if not p.startswith(("node_modules", "build")))
-    row = analyze.analyze(own.drop("is_dir", "length"), repo.listing(spark, str(tmp_path)))
+    row = analyze.analyze(own, repo.listing(spark, str(tmp_path)))
     r = row.drop("repo_id").first().asDict(recursive=True)
     assert r["frameworks"] == ["React"] and r["databases"] == ["PostgreSQL"] and r["infrastructure"] == ["GitHub Actions"]
     assert r["languages"] == {"TypeScript": 4, "JSON": 1, "YAML": 1, "Python": 0} and r["total_loc"] == 6
@@ -209,6 +223,52 @@ def test_whole_tree(spark, tmp_path):
     assert "Frontend → Database" in report.full(r) and "TOTAL" in report.files(r) and "TypeScript" in report.stack(r) and "unreachable" in report.dead_code(r)
 
 
+def test_contents_are_read_once(spark, tmp_path, monkeypatch):
+    make(tmp_path, WEB)
+    plans, plain = [], analyze.stored
+    monkeypatch.setattr(analyze, "stored", lambda df, what: plans.append(df._jdf.queryExecution().optimizedPlan().toString()) or plain(df, what))
+    row = analyze.analyze(repo.files(spark, str(tmp_path)), repo.listing(spark, str(tmp_path)))
+    plans.append(row._jdf.queryExecution().optimizedPlan().toString())
+    # the facts scan the contents, the edges the listing, which opens no file, and the result nothing
+    assert [p.count("RelationV2") for p in plans] == [1, 1, 0]
+
+
+def test_links_unread_files_and_pushed_conditions(spark, tmp_path, monkeypatch):
+    import os
+
+    make(tmp_path, {"a/x.py": "1", "a/package.json": "{}", "b/package.json": "{}", "b/c/y.js": "from './z'", "b/c/d/e/f.py": "2", "target/q.py": "3"})
+    os.symlink(tmp_path / "a" / "x.py", tmp_path / "b" / "link.py")
+    os.symlink(tmp_path / "a", tmp_path / "b" / "dir_link")
+    os.symlink(tmp_path / "none", tmp_path / "b" / "broken")
+    for spread in (64, 1):
+        monkeypatch.setattr(repo, "SPREAD", spread)
+        root = str(tmp_path)
+        assert sorted(r.path for r in repo.paths(spark, root).collect()) == ["a/package.json", "a/x.py", "b/c/d/e/f.py", "b/c/y.js", "b/package.json"]
+        assert {"b/link.py", "target/q.py"} <= {r.path for r in repo.listing(spark, root).collect()} and repo.listing(spark, root).where("path like '%dir_link%' or path like '%broken'").count() == 0
+        shown = {r.path: r.is_dir for r in repo.entries(spark, root).collect()}
+        assert shown["b/link.py"] is shown["b/dir_link"] is shown["b/broken"] is False and shown["b/c"] is True and "target" not in shown
+    assert repo.files(spark, f"file://{tmp_path}").count() == 5
+    opened = repo._Reader({"path": str(tmp_path)})
+    left = [*opened.pushFilters([repo.EqualTo(("name",), "package.json"), repo.EqualTo(("length",), 2)])]
+    assert len(left) == 1
+    rows = [r for p in opened.partitions() for r in opened.read(p)]
+    assert sorted(r[1] for r in rows if not r[2]) == ["a/package.json", "b/package.json"]
+    assert repo.files(spark, str(tmp_path)).where("name = 'package.json' and ext = 'json'").count() == 2
+    monkeypatch.setattr(repo.Tree, "read", lambda self, path: (_ for _ in ()).throw(OSError("no")) if path == "a/x.py" else b"ok")
+    own = repo._Reader({"path": str(tmp_path)})
+    found = {r[1]: (r[4], r[7]) for p in own.partitions() for r in own.read(p)}
+    assert found["a/x.py"] == (None, "no") and found["b/c/y.js"] == (b"ok", None)
+    with pytest.raises(FileNotFoundError):
+        lost = repo._Reader({"path": str(tmp_path / "nowhere")})
+        [*lost.read(repo._Slice([("a", "file", 0, None)], []))]
+
+
+def test_unread_files_are_nodes_without_edges(spark):
+    own = spark.createDataFrame([("r", "main.py", b"from .a import x"), ("r", "a.py", None)], "repo_id string, path string, content binary")
+    r = analyze.analyze(repo.from_table(own)).first()
+    assert r.dependency_graph == {"./main.py": ["./a.py"], "./a.py": []} and [f.file for f in r.file_breakdown] == ["./main.py"]
+
+
 def test_empty_and_missing_trees(spark, tmp_path):
     from arborlens import cli
 
@@ -230,7 +290,7 @@ def test_cli(spark, tmp_path):
         return cli.run(spark, cli.parser().parse_args([*argv, str(tmp_path)]))
 
     assert out("scan").startswith("7 files\n") and "React" in out("stack") and out("framework", "react").startswith("No files use react")
-    assert out("map", "--depth", "1").splitlines()[0] == tmp_path.name and json.loads(out("json", "--compact"))["total_loc"] == 6
+    assert out("map", "--depth", "1").splitlines()[0] == f"{tmp_path.name}/" and json.loads(out("json", "--compact"))["total_loc"] == 6
     args = cli.parser().parse_args(["map"])
     assert args.depth == 6 and args.path == "."
     with pytest.raises(ValueError, match="Path not found"):
@@ -280,9 +340,24 @@ def test_release(spark):
 
     df = durable.stored(spark.range(3), "x")
     assert df.count() == 3
-    place = durable._written[-1].removeprefix("file:").replace("//", "/", 1) if durable._written[-1].startswith("file:") else durable._written[-1]
     import os
 
-    assert os.path.isdir(place)
+    place, other = (df._stored_at.removeprefix("file:"), durable.stored(spark.range(2), "y"))
+    assert os.path.isdir(place) and durable.shared_dir(spark).startswith("file:/")
+    durable.drop(other)
+    assert not os.path.exists(other._stored_at.removeprefix("file:"))
+    apart = durable.stored(spark.newSession().range(2), "z")
     durable.release(spark)
-    assert not os.path.exists(place)
+    assert not os.path.exists(place) and os.path.isdir(apart._stored_at.removeprefix("file:"))
+
+
+def test_numbers_by_ranges(spark):
+    from arborlens.operators import ranks
+
+    rows = spark.createDataFrame([(f"g{i % 3}", (i * 37) % 101) for i in range(300)], "g string, x int").distinct()
+    for keys in ((), ("g",)):
+        found = [tuple(r) for r in ranks.numbered(rows.repartition(7), [F.desc("x"), F.col("g")], "n", keys).collect()]
+        for g in ("g0", "g1", "g2") if keys else (None,):
+            own = sorted((-x, k, n) for k, x, n in found if g in (None, k))
+            assert [n for _, _, n in own] == [*range(1, len(own) + 1)]
+    assert ranks.numbered(rows.limit(0), [F.col("x")], "n").count() == 0
