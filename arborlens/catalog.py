@@ -1,25 +1,22 @@
-"""The operators on the shared test tables, and the same in DuckDB SQL.
+"""The operators on the shared test tables, and the same in DuckDB SQL; on source trees: catalog_trees.
 
-The tables are no source trees, so each query gives an operator an analogous shape: documents stand for files, their languages for
+The tables are no source trees, so each query here gives an operator an analogous shape: documents stand for files, their languages for
 extensions, pages for paths and quoted specifiers, foreign keys for the import graph. Every query covers its whole tables.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from . import catalog_trees  # noqa: F401 (registers its queries)
+from .catalog_registry import ORACLES, QUERIES, query  # noqa: F401
 from .functions import text
 from .functions.json_keys import section_keys
 from .operators import graph, imports, infer, manifests, metrics, ranks, tree, usage
 from .plans import analyze
 from .sources import repo
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
-
 #: Language of a document -> extension of its file; the last one is no known language.
 EXTENSIONS = {"en": "py", "es": "rs", "fr": "TS", "de": "txt"}
 _SQL_EXT = "CASE lang " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in EXTENSIONS.items()) + " END"
@@ -36,16 +33,6 @@ _LOC = f"len(list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x
 _HOST_PATH = "regexp_replace(url, '^https?://', '')"
 
 
-def query(oracle: str | None = None):
-    def add(f: Callable[[SparkSession, str], DataFrame]):
-        QUERIES[f.__name__] = f
-        if oracle:
-            ORACLES[f.__name__] = oracle
-        return f
-
-    return add
-
-
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -355,17 +342,22 @@ def _signals(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, dict[str, Col
 _SQL_BITS = "(SELECT c_custkey, " + ", ".join(f"(c_custkey >> {k}) & 1 = 1 AS {n}" for k, n in enumerate(("fe", "be", "db", "rust", "go", "python", "solidity", "docker"))) + " FROM customer)"
 
 
-def _sql_decide(table: tuple[tuple[str, str], ...], other: str, name: str) -> str:
-    return "SELECT c_custkey, CASE " + " ".join(f"WHEN {c} THEN '{r}'" for c, r in table) + f" ELSE '{other}' END AS {name} FROM {_SQL_BITS}"
-
-
-@query(_sql_decide(infer.PROJECT_TYPES, infer.OTHER_PROJECT, "project_type"))
+@query(
+    f"""SELECT c_custkey, CASE WHEN solidity THEN 'Blockchain / Smart-contract project' WHEN fe AND be AND db THEN 'Full-stack web application'
+WHEN fe AND be THEN 'Full-stack web application (no detected database)' WHEN fe THEN 'Frontend web application' WHEN be AND db AND rust THEN 'Rust backend service'
+WHEN be AND db AND go THEN 'Go backend service' WHEN be AND db AND python THEN 'Python backend service' WHEN be AND db THEN 'Backend API service'
+WHEN be AND rust THEN 'Rust backend service' WHEN be THEN 'Backend API service' WHEN rust THEN 'Rust library / CLI tool' WHEN go THEN 'Go application'
+WHEN python THEN 'Python application' WHEN docker THEN 'Containerised service' ELSE 'Unknown / General-purpose project' END AS project_type FROM {_SQL_BITS}"""
+)
 def project_type(spark, sf_dir):
     rows, given = _signals(spark, sf_dir)
     return rows.select("c_custkey", infer.project_type(given).alias("project_type"))
 
 
-@query(_sql_decide(infer.ARCHITECTURES, infer.OTHER_ARCHITECTURE, "architecture"))
+@query(
+    f"""SELECT c_custkey, CASE WHEN fe AND be AND db THEN 'Frontend → API → Database' WHEN fe AND be THEN 'Frontend → API' WHEN be AND db THEN 'API → Database'
+WHEN fe AND db THEN 'Frontend → Database' WHEN fe THEN 'Frontend only' WHEN be THEN 'API only' ELSE 'Monolithic / undetermined' END AS architecture FROM {_SQL_BITS}"""
+)
 def architecture(spark, sf_dir):
     rows, given = _signals(spark, sf_dir)
     return rows.select("c_custkey", infer.architecture(given).alias("architecture"))

@@ -40,6 +40,24 @@ def test_candidates_meet_all_customers(spark, monkeypatch):
     assert seen[0].count() == spark.read.parquet(f"{ROOT}/customer.parquet").count()
 
 
+def test_entry_misses_only_the_subpackage(tmp_path):
+    """Without the subpackage the other queries are there; a module that is missing inside it is an error."""
+    import shutil
+    import subprocess
+    import sys
+
+    here = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    shutil.copytree(f"{here}/arborlens", tmp_path / "arborlens", ignore=shutil.ignore_patterns("llm", "__pycache__"))
+    shutil.copy(f"{here}/__spark_entry__.py", tmp_path)
+    code = "import __spark_entry__ as e; print(len(e.queries()), [n for n in e.queries() if n.startswith('op') or n == 'pipeline'])"
+    done = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, capture_output=True, text=True, check=True)
+    assert done.stdout.split() == [str(len(catalog.QUERIES)), "[]"]
+    (tmp_path / "arborlens" / "llm").mkdir()
+    (tmp_path / "arborlens" / "llm" / "__init__.py").write_text("")
+    (tmp_path / "arborlens" / "llm" / "queries.py").write_text("import nothing_of_that_name")
+    assert "nothing_of_that_name" in subprocess.run([sys.executable, "-c", code], cwd=tmp_path, capture_output=True, text=True).stderr
+
+
 def test_entry(spark):
     import __spark_entry__ as entry
 
