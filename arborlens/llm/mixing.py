@@ -7,14 +7,16 @@ shares at 31 exponents, which halves the interval five times; four rounds fix t
 
 A source's weight is realised in blocks: its documents fall into BLOCKS blocks by a hash of their ids. For each pass over
 the source the blocks are permuted anew, by a hash of source, pass and block; whole passes take all blocks, the last one takes them in
-order while they fit the rest of the source's budget. The budget is thus met from below, to one block in BLOCKS. `schedule` is
+order while they fit the rest of the source's budget, those that are larger than all of the rest after the others. The budget is thus met from below, to
+one block that would fit by itself. `schedule` is
 the millionth of the source's budget at which a block begins: ordered by it, sources advance together.
 
 A source with a third of all rows has as many blocks as any other, so no group is gathered: sums are partial aggregations, and the
 documents join the plan by source and block.
 
-Cases: a null text has no tokens; a null source is a source of its own; documents of a source without tokens come once; repeated
-rows are rows of their own (of one block); with a budget of 0 only documents without tokens come; an empty table gives an empty result.
+Cases: a null text has no tokens; a text of any length counts whole, and belongs to one block; a null source is a source of its own; rows without an id are of one block; documents of
+a source without tokens come once; repeated rows are rows of their own (of one block); blocks with equal hashes go by number; columns of any names, nested ones too, come through
+mixed unchanged; with a budget of 0 only documents without tokens come; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -89,7 +91,8 @@ def plan(sizes: DataFrame, entropy: float = ENTROPY, max_passes: float = MAX_PAS
     wanted = shares.select("key", F.col("tokens").alias("have"), F.floor(F.lit(float(budget)) * weight + 0.5).cast("bigint").alias("want"))
     wanted = wanted.withColumn("passes", F.when(F.col("have") > 0, F.expr("want div have")).otherwise(F.lit(0)))
     uses = sizes.join(wanted, "key").withColumn("pass_no", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("passes"))))
-    order = Window.partitionBy("key", "pass_no").orderBy(F.md5(F.concat_ws(":", "key", F.col("pass_no").cast("string"), F.col("block").cast("string")).cast("binary")), "block")
+    large = F.expr("pass_no = passes and tokens > want - passes * have")  # nothing of the last pass can hold it
+    order = Window.partitionBy("key", "pass_no").orderBy(large, F.md5(F.concat_ws(":", "key", F.col("pass_no").cast("string"), F.col("block").cast("string")).cast("binary")), "block")
     uses = uses.withColumn("block_rank", F.row_number().over(order).cast("bigint")).withColumn("upto", F.sum("tokens").over(order.rowsBetween(Window.unboundedPreceding, 0)))
     uses = uses.where(F.expr("pass_no < passes or upto <= want - passes * have"))
     schedule = F.expr("case when want > 0 then (1000000 * (pass_no * have + upto - tokens)) div want else 0 end")
@@ -148,7 +151,7 @@ want AS (SELECT key, tokens AS have, CASE WHEN tokens > 0 THEN floor(total::DOUB
 pas AS (SELECT *, CASE WHEN have > 0 THEN want // have ELSE 0 END AS passes FROM want),
 uses AS (SELECT s.key, s.block, s.tokens, p.have, p.want, p.passes, unnest(range(0, p.passes + 1)) AS pass_no FROM sizes s JOIN pas p USING (key)),
 ranked AS (SELECT *, row_number() OVER w AS block_rank, sum(tokens) OVER w AS upto FROM uses
-           WINDOW w AS (PARTITION BY key, pass_no ORDER BY md5(key || ':' || pass_no || ':' || block), block ROWS UNBOUNDED PRECEDING))
+           WINDOW w AS (PARTITION BY key, pass_no ORDER BY (pass_no = passes AND tokens > want - passes * have), md5(key || ':' || pass_no || ':' || block), block ROWS UNBOUNDED PRECEDING))
 SELECT d.doc_id, nullif(d.key, chr(0)) AS source, d.tokens AS n_tokens, r.pass_no, d.block, r.block_rank,
        CASE WHEN r.want > 0 THEN ((1000000 * (r.pass_no * r.have + r.upto - r.tokens)) // r.want)::BIGINT ELSE 0 END AS schedule
 FROM sized d JOIN ranked r ON r.key = d.key AND r.block = d.block WHERE r.pass_no < r.passes OR r.upto <= r.want - r.passes * r.have
