@@ -10,9 +10,9 @@ Rows are packed in windows of at most WINDOW pieces of one partition, in one pas
 bounded, no group is gathered, and a lost executor repeats its partitions only. A sequence id is the partition's number times
 2**32 plus the sequence's number there.
 
-Cases: a null text is an empty one; a document without ids, or an empty one with an end id, still has one piece;
-repeated rows are packed one by one; a piece with more loss tokens than the limit is cut further; an empty table gives an
-empty result.
+Cases: a null text is an empty one; a document without ids, or an empty one with an end id, still has one piece; texts of any length
+are cut into as many pieces as they need; null ids are kept as they are; repeated rows are packed one by one; a piece with more loss tokens than the limit is cut further; of pieces with
+equal products the first in the order of demands is taken; other columns don't matter, whatever their names; an empty table gives an empty result.
 """
 
 from __future__ import annotations

@@ -11,7 +11,8 @@ so that code and magnitude bits of a coefficient take 8 bits together (9 for the
 refinement scans each coefficient is one bit. So files of this kind are read and written by table lookups over whole scans;
 all others go the general way, symbol by symbol.
 
-Cases: a null text is an empty one; an empty payload is one unit of padding; padding beyond the payload's last
+Cases: a null text is an empty one; a text of any length is one file, of up to 65,535 rows of blocks; null ids are kept as they are; repeated rows give
+equal files; other columns don't matter, whatever their names; an empty payload is one unit of padding; padding beyond the payload's last
 unit is of 255s and is cut by the length kept in a comment segment; equal texts give equal files; an empty table gives an
 empty result; a file that is no progressive JPEG raises ValueError.
 """

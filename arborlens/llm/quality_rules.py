@@ -8,8 +8,9 @@ counts, on the map side first: a source with a third of all rows costs no more t
 depend on the order of merging, and the sketches of small groups are merged upwards (source, then language, then
 all) until they hold `least` documents.
 
-Cases: a null text is an empty one; a document of no words fails the base rule; null languages and sources are
-groups of their own; repeated rows are judged one by one; an empty table gives an empty result.
+Cases: a null text is an empty one; a document of no words fails the base rule; texts of any length are counted whole; null languages and sources are
+groups of their own; null ids are kept as they are; repeated rows are judged one by one, each alike; a value on a fence is within it; other columns, whatever their names, come through filter_quality
+unchanged and don't matter to assess; an empty table gives an empty result.
 """
 
 from __future__ import annotations

@@ -3,6 +3,10 @@
 Each stage takes (spark, docs, sf_dir) and works on all rows that the stage before kept; its result is written as Parquet and
 read again as the next one's docs. All stages but the last return the columns of documents. Mixing may return a row
 several times, or not at all, as its source's weight asks; packing gives one row a piece.
+
+Cases: null and empty texts have too few words for the rules, so they go there; texts of any length pass whole; rows without an id pass all stages (the rules and the
+classifier judge texts, and near duplicates leave what has no id); of rows with one id near duplicates keep one; null languages and sources are groups
+of their own; further columns of documents, whatever their names, come through all stages but the last; ties are settled as the operators state; an empty table gives no row.
 """
 
 from __future__ import annotations
