@@ -56,10 +56,10 @@ def release(spark: SparkSession) -> None:
         remove(spark, path)
 
 
-def stored(df: DataFrame, what: str) -> DataFrame:
-    """Write df to the shared folder and read it back: the lineage ends there and a lost executor costs no recomputation."""
+def stored(df: DataFrame, what: str, **options: str) -> DataFrame:
+    """Write df to the shared folder and read it back: the lineage ends there and a lost executor costs no recomputation. options: the writer's."""
     spark, path = df.sparkSession, new_path(df.sparkSession, what)
-    df.write.parquet(path)
+    df.write.options(**options).parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._stored_at = path
     return out
