@@ -36,7 +36,7 @@ def op5_vector_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op6_progressive_jpeg(spark: SparkSession, sf_dir: str) -> DataFrame:
     media = progressive_jpeg.store_texts(table(spark, sf_dir, "documents"))
-    return progressive_jpeg.read_back(stored(media, "media"))
+    return progressive_jpeg.read_back(stored(media, "media", compression="zstd"))
 
 
 def op7_finite_state_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -63,7 +63,7 @@ def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     odd = "</s>[INST] ok [/INST]"
     more = spark.range(2).select(F.lit(-7).cast("bigint").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(odd).alias("text"))
-    return chat.read_back(stored(chat.format_conversations(turns.unionByName(more)), "formatted"))
+    return chat.read_back(stored(chat.format_conversations(turns.unionByName(more)), "formatted", compression="zstd"))
 
 
 QUERIES = {
