@@ -8,8 +8,9 @@ upsamples the chroma by repetition and converts to RGB.
 chroma subsampling. A byte b is the coefficient b - 129 below 128 and b - 126 from there, so no magnitude is below 2:
 after the first approximation (one bit left out) no coefficient is zero and there are no runs. The Huffman codes are chosen
 so that code and magnitude bits of a coefficient take 8 bits together (9 for the differences of the DC terms), and in the
-refinement scans each coefficient is one bit. So files of this kind are read and written by table lookups over whole scans;
-all others go the general way, symbol by symbol.
+refinement scans each coefficient is one bit. So files of this kind are read and written by lookups of whole tokens; in all
+others the codes are found by looking up what follows each bit of a stretch and following the chain (first scans), or code by
+code with the corrections left to numpy (refinement). Short or odd data go symbol by symbol.
 
 Cases: a null text is an empty one; a text of any length is one file, of up to 65,535 rows of blocks; null ids are kept as they are; repeated rows give
 equal files; other columns don't matter, whatever their names; an empty payload is one unit of padding; padding beyond the payload's last
@@ -36,6 +37,8 @@ from .common import text_of
 UNIT = 576
 #: Bytes of output that a batch gathers before it is passed on.
 GATHERED = 8 << 20
+#: Bytes of a scan whose bits are looked up at once.
+STRETCH = 1 << 15
 
 
 def _zigzag() -> np.ndarray:
@@ -60,7 +63,7 @@ def _basis() -> np.ndarray:
 # -- Huffman tables --------------------------------------------------------------------------------------------------
 
 
-@dataclass
+@dataclass(frozen=True)
 class Huffman:
     counts: tuple[int, ...]  # codes of 1 to 16 bits
     symbols: bytes
@@ -261,68 +264,251 @@ def _interleaved(parts: list[Component], rows: int, cols: int) -> np.ndarray:
     return np.stack(out, 1).reshape(-1, 2)
 
 
-def _slow_scan(segments: list[bytes], parts: list[Component], order: np.ndarray, dc: list, ac: dict | None, band: tuple[int, int], high: int, low: int, restart: int, per_unit: int) -> None:
-    """The general way, one symbol after another."""
+def _slow_scan(data: bytes, parts: list[Component], order: np.ndarray, dc: list, ac: dict | None, band: tuple[int, int], high: int, low: int) -> None:
+    """One segment, one symbol after another: what short or odd data need, and what the tables are tested against."""
     first, last = band
-    step = restart * per_unit if restart else len(order)
-    for n, data in enumerate(segments):
-        reader, run, predicted = _Reader(data), 0, [0] * len(parts)
-        for k, b in order[n * step : (n + 1) * step].tolist():
-            block = parts[k].blocks[b]
-            if first == 0:
-                if high:
-                    block[0] |= reader.bit() << low
-                else:
-                    predicted[k] += reader.signed(reader.symbol(dc[k]))
-                    block[0] = predicted[k] << low
-                continue
-            if not high:
-                if run:
-                    run -= 1
-                    continue
-                z = first
-                while z <= last:
-                    rs = reader.symbol(ac)
-                    r, s = rs >> 4, rs & 15
-                    if s:
-                        z += r
-                        block[z] = reader.signed(s) * (1 << low)
-                        z += 1
-                    elif r == 15:
-                        z += 16
-                    else:
-                        run = (1 << r) + reader.take(r) - 1
-                        break
+    reader, run, predicted = _Reader(data), 0, [0] * len(parts)
+    for k, b in order.tolist():
+        block = parts[k].blocks[b]
+        if first == 0:
+            if high:
+                block[0] |= reader.bit() << low
+            else:
+                predicted[k] += reader.signed(reader.symbol(dc[k]))
+                block[0] = predicted[k] << low
+            continue
+        if not high:
+            if run:
+                run -= 1
                 continue
             z = first
-            if not run:
+            while z <= last:
+                rs = reader.symbol(ac)
+                r, s = rs >> 4, rs & 15
+                if s:
+                    z += r
+                    block[z] = reader.signed(s) * (1 << low)
+                    z += 1
+                elif r == 15:
+                    z += 16
+                else:
+                    run = (1 << r) + reader.take(r) - 1
+                    break
+            continue
+        z = first
+        if not run:
+            while z <= last:
+                rs = reader.symbol(ac)
+                r, s = rs >> 4, rs & 15
+                fresh = 0
+                if s:
+                    fresh = (1 if reader.bit() else -1) << low
+                elif r < 15:
+                    run = (1 << r) + reader.take(r)
+                    break
                 while z <= last:
-                    rs = reader.symbol(ac)
-                    r, s = rs >> 4, rs & 15
-                    fresh = 0
-                    if s:
-                        fresh = (1 if reader.bit() else -1) << low
-                    elif r < 15:
-                        run = (1 << r) + reader.take(r)
-                        break
-                    while z <= last:
-                        if block[z]:
-                            if reader.bit():
-                                block[z] += (1 << low) if block[z] > 0 else -(1 << low)
-                        elif r == 0:
-                            if fresh:
-                                block[z] = fresh
-                            z += 1
-                            break
-                        else:
-                            r -= 1
+                    if block[z]:
+                        if reader.bit():
+                            block[z] += (1 << low) if block[z] > 0 else -(1 << low)
+                    elif r == 0:
+                        if fresh:
+                            block[z] = fresh
                         z += 1
-            if run:
-                while z <= last:
-                    if block[z] and reader.bit():
-                        block[z] += (1 << low) if block[z] > 0 else -(1 << low)
+                        break
+                    else:
+                        r -= 1
                     z += 1
-                run -= 1
+        if run:
+            while z <= last:
+                if block[z] and reader.bit():
+                    block[z] += (1 << low) if block[z] > 0 else -(1 << low)
+                z += 1
+            run -= 1
+
+
+@cache
+def _ahead(table: Huffman, dc: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For each value of the next 16 bits: symbol, bits of its code, and bits with the value after it; 0 bits where no code fits."""
+    symbols, bits, span = np.zeros(1 << 16, np.uint8), np.zeros(1 << 16, np.uint8), np.zeros(1 << 16, np.uint8)
+    for symbol, code, n in table.codes():
+        r, s = symbol >> 4, symbol & 15
+        here = slice(code << (16 - n), (code + 1) << (16 - n))
+        symbols[here] = symbol
+        if symbol < 16 or not dc:
+            bits[here], span[here] = n, n + (s or (r if r < 15 else 0))
+    return symbols, bits, span
+
+
+def _triples(data: bytes, start: int, stop: int) -> np.ndarray:
+    """Three bytes from each place as one number, zeros beyond the end."""
+    raw = np.zeros(stop - start + 2, np.uint32)
+    part = np.frombuffer(data, np.uint8)[start : stop + 2]
+    raw[: len(part)] = part
+    return raw[:-2] << 16 | raw[1:-1] << 8 | raw[2:]
+
+
+def _chain(jump: np.ndarray, at: int, limit: int) -> np.ndarray:
+    """The places below limit that jumps lead to, from `at` on: every 16th by a walk, those between from it."""
+    far = jump
+    for _ in range(4):
+        far = far[far]
+    heads, view = [], memoryview(far)
+    while at < limit:
+        heads.append(at)
+        at = view[at]
+    places = [np.array(heads, np.intp)]
+    for _ in range(15):
+        places.append(jump[places[-1]])
+    places = np.stack(places, 1).reshape(-1)
+    return places[places < limit]
+
+
+def _symbols(data: bytes, slots: list[Huffman], dc: bool) -> tuple[np.ndarray, np.ndarray]:
+    """(units, slots) of symbols, and of the values after them, as far as codes and data go. slots: the tables of a unit, in their turn.
+
+    Where the next code begins depends on the place alone, so its place is looked up for every bit of a stretch at once, and the chain of units followed.
+    """
+    tables = {id(t): _ahead(t, dc) for t in slots}
+    total, at, out = 8 * len(data), 0, []
+    while at < total:
+        start = at // 8
+        stop = min(start + STRETCH, len(data))
+        w = (_triples(data, start, stop + 4 * len(slots) + 4)[:, None] >> np.arange(8, 0, -1, dtype=np.uint32) & 0xFFFF).reshape(-1)
+        n, here = len(w), np.arange(len(w))
+        nexts = {}
+        for k, (_, _, span) in tables.items():
+            wide = span[w]
+            nexts[k] = np.append(np.where(wide, np.minimum(here + wide, n), n), n)
+        jump = nexts[id(slots[0])]
+        for t in slots[1:]:
+            jump = nexts[id(t)][jump]
+        p = _chain(jump, at - 8 * start, 8 * (stop - start))
+        ends = jump[p] + 8 * start
+        good = int(np.argmax(bad)) if (bad := (ends > total) | (jump[p] == n)).any() else len(p)
+        p = p[:good]
+        symbol, value = np.empty((good, len(slots)), np.uint8), np.empty((good, len(slots)), np.int32)
+        for k, t in enumerate(slots):
+            codes, bits, span = tables[id(t)]
+            x = w[p]
+            symbol[:, k] = codes[x]
+            value[:, k] = w[np.minimum(p + bits[x], n - 1)] >> (16 - (span[x] - bits[x])).astype(np.uint32)
+            p = nexts[id(t)][p]
+        out.append((symbol, value))
+        if good < len(ends):
+            break
+        at = int(ends[-1])
+    return np.concatenate([np.empty((0, len(slots)), np.uint8), *(x for x, _ in out)]), np.concatenate([np.empty((0, len(slots)), np.int32), *(x for _, x in out)])
+
+
+def _signed(value: np.ndarray, size: np.ndarray) -> np.ndarray:
+    one = np.int32(1) << size.astype(np.int32)
+    return np.where(value >= one >> 1, value, value - one + 1)
+
+
+def _segment_scan(data: bytes, parts: list[Component], order: np.ndarray, dc: list[Huffman | None], ac: Huffman | None, band: tuple[int, int], high: int, low: int, per_unit: int) -> bool:
+    """One segment of any scan by tables; False: it is short or odd, and nothing was done."""
+    first, last = band
+    wide, n = last - first + 1, len(order)
+    if first == 0:
+        if high:
+            steps = np.unpackbits(np.frombuffer(data, np.uint8))[:n].astype(np.int32) << low
+        else:
+            slots = [dc[k] for k in order[:per_unit, 0]]
+            if None in slots:
+                return False
+            size, value = _symbols(data, slots, True)
+            steps = _signed(value, size).reshape(-1)[:n]
+        if len(steps) < n:
+            return False
+        for k, p in enumerate(parts):
+            mine = order[:, 0] == k
+            if high:
+                p.blocks[order[mine, 1], 0] |= steps[mine]
+            else:
+                p.blocks[order[mine, 1], 0] = np.cumsum(steps[mine]) << low
+        return True
+    if ac is None:
+        return False
+    p, at = parts[0], order[:, 1]
+    if high:
+        return _refine(data, p, at, ac, first, last, low)
+    symbol, value = (x[:, 0] for x in _symbols(data, [ac], False))
+    r, s = symbol >> 4, symbol & 15
+    end = (s == 0) & (r < 15)
+    passed = np.where(end, 0, np.where(s > 0, r.astype(np.int32) + 1, 16))
+    gone = passed.cumsum()
+    cuts = np.flatnonzero(end)
+    base = np.append(0, gone[cuts])  # coefficients passed before each stretch between ends of blocks
+    begin = np.append(0, (np.diff(base) // wide + (1 << r[cuts].astype(np.int64)) + value[cuts]).cumsum())
+    if begin[-1] + ((gone[-1] if len(gone) else 0) - base[-1]) // wide < n:
+        return False
+    stretch = end.cumsum() - end
+    inside = gone - base[stretch]
+    block = begin[stretch] + (inside - 1) // wide
+    mine = ~end & (block < n)
+    if ((inside - passed)[mine] // wide != (inside[mine] - 1) // wide).any():
+        return False
+    mine &= s > 0
+    p.blocks[at[block[mine]], first + (inside[mine] - 1) % wide] = _signed(value[mine], s[mine]) * (1 << low)
+    return True
+
+
+def _refine(data: bytes, part: Component, at: np.ndarray, table: Huffman, first: int, last: int, low: int) -> bool:
+    """A refinement scan: code by code, but corrections, which are one bit for each coefficient known before, in their order, only as ranges of bits."""
+    codes, bits, _ = map(memoryview, _ahead(table, False))
+    wide, n, total = last - first + 1, len(at), 8 * len(data)
+    view = memoryview(_triples(data, 0, len(data) + 8))
+    now = part.blocks[at, first : last + 1]
+    empty = now == 0
+    zeros = memoryview(np.flatnonzero(empty) % wide)
+    starts = np.append(0, empty.sum(1).cumsum()).tolist()
+    known, flat = np.flatnonzero(~empty), now.reshape(-1)
+    froms, counts, fresh, signs = [], [], [], []
+    b = pos = 0
+    while b < n:
+        z, end, k = starts[b], starts[b + 1], 0
+        while k < wide:
+            if pos >= total:
+                return False
+            ahead = view[pos >> 3] >> (8 - (pos & 7)) & 0xFFFF
+            if not bits[ahead]:
+                return False
+            pos += bits[ahead]
+            r, s = codes[ahead] >> 4, codes[ahead] & 15
+            if s or r == 15:
+                sign = pos
+                pos += s > 0
+                z += r
+                if z < end:
+                    to = zeros[z]
+                    z += 1
+                    more = to - k - r
+                    if s:
+                        fresh.append(b * wide + to)
+                        signs.append(sign)
+                    k = to + 1
+                else:
+                    more, k = wide - k - (end - z + r), wide
+            else:
+                run = (1 << r) + ((view[pos >> 3] >> (8 - (pos & 7)) & 0xFFFF) >> (16 - r))
+                pos += r
+                upto = min(b + run, n)
+                more = (upto - b) * wide - k - (starts[upto] - z)
+                b, k = upto - 1, wide
+            if more:
+                froms.append(pos)
+                counts.append(more)
+                pos += more
+        b += 1
+    if pos > total:
+        return False
+    stream, counts = np.unpackbits(np.frombuffer(data, np.uint8)), np.array(counts, np.int64)
+    places = np.repeat(np.array(froms, np.int64) - counts.cumsum() + counts, counts) + np.arange(len(known))
+    added = stream[places].astype(np.int32) << low
+    flat[known] += np.where(flat[known] > 0, added, -added)
+    flat[fresh] = np.where(stream[signs], 1, -1) * (1 << low)
+    part.blocks[at, first : last + 1] = now
+    return True
 
 
 def _fast_scan(data: bytes, parts: list[Component], order: np.ndarray, dc: list[Huffman | None], ac: Huffman | None, band: tuple[int, int], high: int, low: int) -> bool:
@@ -463,7 +649,11 @@ def read(data: bytes, fast: bool = True) -> Image:
                     start = k + 2
                 seek = k + 2
             pieces = [x.replace(b"\xff\x00", b"\xff") for x in [*pieces, raw[start:]]]
-            _slow_scan(pieces, parts, order, [t and t.lookup() for t in dc], ac and ac.lookup(), band, high, low, restart, per_unit)
+            step = restart * per_unit if restart else len(order)
+            for k, piece in enumerate(pieces):
+                units = order[k * step : (k + 1) * step]
+                if len(units) and not (fast and _segment_scan(piece, parts, units, dc, ac, band, high, low, per_unit)):
+                    _slow_scan(piece, parts, units, [t and t.lookup() for t in dc], ac and ac.lookup(), band, high, low)
     if image is None:
         raise ValueError("no frame")
     image.comment = comment

@@ -3,6 +3,7 @@
 import hashlib
 import os
 import random
+import struct
 import zlib
 
 import numpy as np
@@ -434,6 +435,108 @@ def test_jpeg_general_scans():
         P.read(b"nothing")
 
 
+def general_file(rng, blocks, restart):
+    """A 4:2:0 file of given coefficients in the scans that common encoders write, coded by the book, symbol after symbol."""
+    P = progressive_jpeg
+    short = [0x00, 0x01, 0x11, 0xF0, 0x10, 0x02]
+    ac = P.Huffman((0, 0, 6, 0, 0, 0, 0, 0, 0, 250) + (0,) * 6, bytes(short + [x for x in range(256) if x not in short]))
+    dcs = [P.Huffman((0, 2, 0, 0, 12) + (0,) * 11, bytes([1, 0, *range(2, 14)])), P.Huffman((0, 0, 4, 8) + (0,) * 12, bytes(range(12)))]
+    codes = [{s: f"{c:0{n}b}" for s, c, n in t.codes()} for t in (ac, *dcs)]
+    rows, cols = 2, 3
+
+    def scan(parts, first, last, high, low, tables, segments):
+        packed = [bytes(int(x[i : i + 8], 2) for i in range(0, len(x), 8)).replace(b"\xff", b"\xff\x00") for x in (x + "1" * (-len(x) % 8) for x in segments)]
+        data = packed[0] + b"".join(bytes([0xFF, 0xD0 + k % 8]) + x for k, x in enumerate(packed[1:]))
+        return P._scan([(c + 1, *tables[k]) for k, c in enumerate(parts)], first, last, high, low) + data
+
+    def cut(units, per):
+        return [units[i : i + restart * per] for i in range(0, len(units), restart * per)] if restart else [units]
+
+    def number(v, size):
+        return f"{v if v > 0 else v + (1 << size) - 1:0{size}b}" if size else ""
+
+    mcus = [(c, k) for m in range(rows * cols) for c, k in [*((0, (m // cols * 2 + y) * 2 * cols + m % cols * 2 + x) for y in (0, 1) for x in (0, 1)), (1, m), (2, m)]]
+
+    def dc_first(units):
+        out, last = "", [0, 0, 0]
+        for c, k in units:
+            step, last[c] = (int(blocks[c][k, 0]) >> 1) - last[c], int(blocks[c][k, 0]) >> 1
+            size = abs(step).bit_length()
+            out += codes[1 + (c > 0)][size] + number(step, size)
+        return out
+
+    def ac_bits(rows_, high, low):
+        out, run, held = "", 0, ""
+
+        def flush():
+            nonlocal out, run, held
+            while run:
+                n = min(run.bit_length() - 1, 14)
+                take = min(run, (2 << n) - 1)
+                out, run = out + codes[0][n << 4] + (f"{take - (1 << n):0{n}b}" if n else ""), run - take
+                assert not run
+            out, held = out + held, ""
+
+        for row in rows_.tolist():
+            mags = [abs(v) >> low for v in row]
+            fresh = [k for k, m in enumerate(mags) if (m == 1 if high else m)]
+            zeros, fix = 0, ""
+            for k, (v, m) in enumerate(zip(row, mags, strict=True)):
+                if not m:
+                    zeros += 1
+                    continue
+                while zeros > 15 and fresh and k <= fresh[-1]:
+                    flush()
+                    out, zeros, fix = out + codes[0][0xF0] + fix, zeros - 16, ""
+                if high and m > 1:
+                    fix += str(m & 1)
+                    continue
+                flush()
+                size = 1 if high else m.bit_length()
+                out += codes[0][zeros << 4 | size] + (str(int(v > 0)) if high else number(m if v > 0 else -m, size)) + fix
+                zeros, fix = 0, ""
+            if zeros or fix:
+                run, held = run + 1, held + fix
+        flush()
+        return out
+
+    out = b"\xff\xd8" + P._segment(0xDB, b"\x00" + bytes([3] * 64)) + P._segment(0xC2, b"\x08" + struct.pack(">HH", 16 * rows, 16 * cols) + b"\x03\x01\x22\x00\x02\x11\x00\x03\x11\x00")
+    out += P._table(0, 0, dcs[0]) + P._table(0, 1, dcs[1]) + P._table(1, 0, ac) + P._segment(0xDD, struct.pack(">H", restart))
+    out += scan([0, 1, 2], 0, 0, 0, 1, [(0, 0), (1, 0), (1, 0)], [dc_first(u) for u in cut(mcus, 6)])
+    for high, low in ((0, 2), (2, 1), (1, 0)):
+        for c in range(3):
+            for first, last in ((1, 5), (6, 63)):
+                out += scan([c], first, last, high, low, [(0, 0)], [ac_bits(u[:, first : last + 1], high, low) for u in cut(blocks[c], 1)])
+    out += scan([0, 1, 2], 0, 0, 1, 0, [(0, 0)] * 3, ["".join(str(int(blocks[c][k, 0]) & 1) for c, k in u) for u in cut(mcus, 6)])
+    return out + b"\xff\xd9"
+
+
+@pytest.mark.parametrize("seed", range(12))
+def test_jpeg_of_common_scans(seed, monkeypatch):
+    """Interleaved scans under two tables, zero runs, runs of ends of blocks, refinements and restarts: by tables, in short stretches, and symbol by symbol."""
+    rng = np.random.default_rng(seed)
+    dense = (0.02, 0.3, 0.9)[seed % 3]
+    blocks = [np.where(rng.random((n, 64)) < dense, rng.integers(-60, 61, (n, 64)), 0) for n in (24, 6, 6)]
+    media = general_file(rng, blocks, (0, 0, 2, 1)[seed % 4])
+    slow = progressive_jpeg.read(media, fast=False)
+    assert all((p.blocks == b).all() for p, b in zip(slow.parts, blocks, strict=True))
+    for stretch in (1 << 15, 7):
+        monkeypatch.setattr(progressive_jpeg, "STRETCH", stretch)
+        assert all((p.blocks == b).all() for p, b in zip(progressive_jpeg.read(media).parts, blocks, strict=True))
+    with monkeypatch.context() as m:
+        m.setattr(progressive_jpeg, "_slow_scan", None)  # whole data never need it
+        progressive_jpeg.read(media)
+
+    def outcome(data, fast):
+        try:
+            return [p.blocks.tolist() for p in progressive_jpeg.read(data, fast=fast).parts]
+        except (ValueError, IndexError, struct.error) as e:
+            return type(e)
+
+    for n in rng.integers(600, len(media), 6):  # cut off anywhere: as symbol by symbol
+        assert outcome(media[:n], True) == outcome(media[:n], False)
+
+
 def test_jpeg_columns(spark, odd, none):
     stored = progressive_jpeg.store_texts(odd)
     rows = progressive_jpeg.read_back(stored).collect()
