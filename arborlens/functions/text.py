@@ -15,6 +15,11 @@ def text_of(content: Column) -> Column:
     return F.when(~F.contains(content, F.lit(b"\x00")), F.try_validate_utf8(content.cast("string")))
 
 
+def quoted(value: str) -> str:
+    """value as a string of SQL: tables of fixed values are one call that way, not one for each value."""
+    return "'" + value.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
 def trim(c: Column) -> Column:
     """Without Unicode white space at both ends (not only U+0020)."""
     return F.regexp_replace(c, r"(?U)^\s+|\s+$", "")

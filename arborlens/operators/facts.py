@@ -12,18 +12,19 @@ from ..rules import JS_EXTENSIONS
 LINE_MANIFESTS = ("requirements.txt", "Cargo.toml", "go.mod")
 
 
-def _wanted(raw: Column) -> Column:
-    """The lines, with their numbers, that an import or a manifest could be in; the others are not kept."""
+def _wanted() -> Column:
+    """The lines of `text`, with their numbers, that an import or a manifest could be in; the others are not kept."""
 
-    def those(test) -> Column:
-        numbered = F.transform(raw, lambda x, k: F.struct(k.alias("line_no"), x.alias("line")))
-        return F.filter(numbered, lambda x: test(x["line"])) if test else numbered
+    def listed(values) -> str:
+        return ", ".join(map(text.quoted, values))
 
-    js = those(lambda x: F.contains(x, F.lit("from ")) | F.contains(x, F.lit("require(")) | F.contains(x, F.lit("import(")))
-    py, rs = those(lambda x: F.contains(x, F.lit("from ."))), those(lambda x: F.contains(x, F.lit("mod ")))
-    ext = F.col("ext")
-    kept = F.when(F.col("name").isin(*LINE_MANIFESTS), those(None)).when(ext.isin(*JS_EXTENSIONS), js).when(ext == "py", py).when(ext == "rs", rs)
-    return F.transform(kept, lambda x: F.struct(x["line_no"].alias("line_no"), text.trim(x["line"]).alias("line")))
+    numbered = "transform(split(text, '\\n', -1), (x, k) -> struct(k AS line_no, x AS line))"
+    kept = f"""
+        CASE WHEN name IN ({listed(LINE_MANIFESTS)}) THEN {numbered}
+             WHEN ext IN ({listed(JS_EXTENSIONS)}) THEN filter({numbered}, x -> contains(x.line, 'from ') OR contains(x.line, 'require(') OR contains(x.line, 'import('))
+             WHEN ext = 'py' THEN filter({numbered}, x -> contains(x.line, 'from .'))
+             WHEN ext = 'rs' THEN filter({numbered}, x -> contains(x.line, 'mod ')) END"""
+    return F.transform(F.expr(kept), lambda x: F.struct(x["line_no"].alias("line_no"), text.trim(x["line"]).alias("line")))
 
 
 def facts(files: DataFrame) -> DataFrame:
@@ -31,7 +32,7 @@ def facts(files: DataFrame) -> DataFrame:
     what is no text; the text of a package.json; numbered lines with imports or of other manifests, trimmed."""
     own = files.select("repo_id", "path", "name", "ext", text.text_of(F.col("content")).alias("text"))
     package = F.when(F.col("name") == "package.json", F.col("text"))
-    return own.select("repo_id", "path", "name", "ext", text.line_count(F.col("text")).alias("loc"), package.alias("package"), _wanted(text.lines(F.col("text"))).alias("lines"))
+    return own.select("repo_id", "path", "name", "ext", text.line_count(F.col("text")).alias("loc"), package.alias("package"), _wanted().alias("lines"))
 
 
 def of(files: DataFrame) -> DataFrame:

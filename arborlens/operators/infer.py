@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -46,12 +48,9 @@ def flags(frameworks: Column, databases: Column, languages: Column, infrastructu
 
 def decide(table: tuple[tuple[str, str], ...], other: str, given: dict[str, Column]) -> Column:
     """The result of the first condition that holds."""
-    out = F.lit(other)
-    for condition, result in reversed(table):
-        all_of = F.lit(True)
-        for name in condition.split(" and "):
-            all_of = all_of & F.coalesce(given[name], F.lit(False))
-        out = F.when(all_of, result).otherwise(out)
+    out = other
+    for condition, result in reversed(table):  # a null flag doesn't hold: nor does what it is part of
+        out = F.when(reduce(Column.__and__, [given[name] for name in condition.split(" and ")]), result).otherwise(out)
     return out
 
 

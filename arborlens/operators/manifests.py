@@ -11,26 +11,45 @@ from ..functions.json_keys import section_keys
 from . import facts
 
 
-def rule_table(df: DataFrame, frameworks: dict[str, str], databases: dict[str, str]) -> DataFrame:
-    """(key, kind, label) of fixed rules."""
-    rows = [(k, "framework", v) for k, v in frameworks.items()] + [(k, "database", v) for k, v in databases.items()]
-    return df.sparkSession.createDataFrame(rows, "key string, kind string, label string")
+#: Frameworks and databases by the manifest whose keys name them.
+RULES = {
+    "npm": (rules.NPM_FRAMEWORKS, rules.NPM_DATABASES), "pip": (rules.PIP_FRAMEWORKS, rules.PIP_DATABASES), "cargo": (rules.CARGO_FRAMEWORKS, rules.CARGO_DATABASES),
+}
+
+
+def rule_table(df: DataFrame, tables: dict[str, tuple[dict[str, str], dict[str, str]]]) -> DataFrame:
+    """(manifest, key, kind, label) of fixed rules, as values within the plan."""
+    rows = [(m, k, kind, v) for m, both in tables.items() for kind, table in zip(("framework", "database"), both, strict=True) for k, v in table.items()]
+    values = ", ".join(f"({', '.join(map(text.quoted, r))})" for r in rows)
+    return df.sparkSession.sql(f"SELECT * FROM VALUES {values} AS t(manifest, key, kind, label)")
+
+
+def matched_by_manifest(keys: DataFrame, tables: dict[str, tuple[dict[str, str], dict[str, str]]]) -> DataFrame:
+    """Equal manifests and keys; the rules are a few dozen rows, so they are broadcast."""
+    return keys.join(F.broadcast(rule_table(keys, tables)), ["manifest", "key"]).select("repo_id", "kind", "label")
 
 
 def matched(keys: DataFrame, frameworks: dict[str, str], databases: dict[str, str]) -> DataFrame:
-    """Equal keys; the rules are a few dozen rows, so they are broadcast."""
-    return keys.join(F.broadcast(rule_table(keys, frameworks, databases)), "key").select("repo_id", "kind", "label")
+    """Equal keys."""
+    return matched_by_manifest(keys.withColumn("manifest", F.lit("any")), {"any": (frameworks, databases)})
 
 
-def npm_labels(files: DataFrame) -> DataFrame:
+def npm_keys(files: DataFrame) -> DataFrame:
     own = facts.of(files).where("package is not null")
-    keys = own.select("repo_id", F.explode(section_keys(rules.NPM_SECTIONS)("package")).alias("key"))
-    return matched(keys, rules.NPM_FRAMEWORKS, rules.NPM_DATABASES)
+    return own.select("repo_id", F.lit("npm").alias("manifest"), F.explode(section_keys(rules.NPM_SECTIONS)("package")).alias("key"))
 
 
-def pip_labels(files: DataFrame) -> DataFrame:
+def npm_labels(files: DataFrame) -> DataFrame:
+    return matched_by_manifest(npm_keys(files), RULES)
+
+
+def pip_keys(files: DataFrame) -> DataFrame:
     lines = facts.lines(files, F.col("name") == "requirements.txt").where("line <> '' and not startswith(line, '#')")
-    return matched(lines.select("repo_id", text.requirement_name(F.col("line")).alias("key")), rules.PIP_FRAMEWORKS, rules.PIP_DATABASES)
+    return lines.select("repo_id", F.lit("pip").alias("manifest"), text.requirement_name(F.col("line")).alias("key"))
+
+
+def pip_labels(files: DataFrame) -> DataFrame:
+    return matched_by_manifest(pip_keys(files), RULES)
 
 
 def in_sections(lines: DataFrame, keys: tuple[str, ...], sections: tuple[str, ...], is_header: Column, order: str = "line_no") -> DataFrame:
@@ -40,9 +59,13 @@ def in_sections(lines: DataFrame, keys: tuple[str, ...], sections: tuple[str, ..
     return held.where(~is_header & F.col("header").isin(*sections))
 
 
-def cargo_labels(files: DataFrame) -> DataFrame:
+def cargo_keys(files: DataFrame) -> DataFrame:
     lines = in_sections(facts.lines(files, F.col("name") == "Cargo.toml"), ("repo_id", "path"), rules.CARGO_SECTIONS, F.col("line").startswith("["))
-    return matched(lines.select("repo_id", text.cargo_key(F.col("line")).alias("key")), rules.CARGO_FRAMEWORKS, rules.CARGO_DATABASES)
+    return lines.select("repo_id", F.lit("cargo").alias("manifest"), text.cargo_key(F.col("line")).alias("key"))
+
+
+def cargo_labels(files: DataFrame) -> DataFrame:
+    return matched_by_manifest(cargo_keys(files), RULES)
 
 
 def first_rule(line: Column, table: dict[str, str]) -> Column:
@@ -78,13 +101,10 @@ def infrastructure_labels(files: DataFrame) -> DataFrame:
 
 
 def all_labels(files: DataFrame) -> DataFrame:
-    """Distinct labels of all kinds, of files or facts."""
+    """Distinct labels of all kinds, of files or facts; the keys of all manifests meet the rules in one join."""
     files = facts.of(files)
-    parts = [npm_labels(files), pip_labels(files), cargo_labels(files), go_labels(files), infrastructure_labels(files)]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out.distinct()
+    keyed = matched_by_manifest(npm_keys(files).unionByName(pip_keys(files)).unionByName(cargo_keys(files)), RULES)
+    return keyed.unionByName(go_labels(files)).unionByName(infrastructure_labels(files)).distinct()
 
 
 def label_sets(labels: DataFrame) -> DataFrame:

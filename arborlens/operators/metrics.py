@@ -12,7 +12,7 @@ from .ranks import numbered
 
 def language(ext: Column) -> Column:
     """The language of an extension; null if unknown. A literal map of fixed size: no join."""
-    return F.try_element_at(F.create_map(*[F.lit(x) for kv in LANGUAGES.items() for x in kv]), ext)
+    return F.try_element_at(F.expr(f"map({', '.join(text.quoted(x) for kv in LANGUAGES.items() for x in kv)})"), ext)
 
 
 def file_lines(files: DataFrame) -> DataFrame:
