@@ -891,6 +891,153 @@ def test_planted_conversation(spark):
     assert tuple(row)[1:5] == expected([("user", odd), ("assistant", odd)])
 
 
+# -- the registered queries on whole tables --------------------------------------------------------------------------
+
+HUNDREDTH = "/root/testdata/sf0.01"
+
+
+def texts_of(spark):
+    """doc_id: text, in ascending order."""
+    return {r.doc_id: r.text or "" for r in table(spark, HUNDREDTH, "documents").orderBy("doc_id").collect()}
+
+
+def crc(i):
+    return zlib.crc32(str(i).encode())
+
+
+def plain_counts(text):
+    """All counts of a text by plain Python, in the order of text_stats.COUNTS."""
+    import re
+
+    own, w = text_stats.slow_counts(text), re.findall(r"[^\x20\x09-\x0D]+", text)
+    own |= {
+        "n_upper": len(re.findall("[A-Z]", text)), "n_lower": len(re.findall("[a-z]", text)), "n_digits": len(re.findall("[0-9]", text)), "n_marks": sum(c in "!?\"'()[]{}=+_~^@/\\:;`-" for c in text),
+        "n_wide": sum(ord(c) > 127 for c in text), "n_stops": sum(c in ".," for c in text), "n_lines": text.count("\n"), "n_kinds": len({*w}),
+        "n_wordless": sum(not any(c.isascii() and c.isalpha() or ord(c) > 127 for c in x) for x in w),
+    }
+    return [own[c] for c in text_stats.COUNTS]
+
+
+@needs_tables
+def test_query_of_the_quality_classifier(spark):
+    """Every score again from plain counts, and the weights as the least of the logistic loss on differences."""
+    texts, B = texts_of(spark), bradley_terry
+    counts = {i: plain_counts(t) for i, t in texts.items()}
+    labels = {r.doc_id: r.quality for r in table(spark, HUNDREDTH, "labels").collect() if r.quality in (0, 1) and r.doc_id in texts and crc(r.doc_id) % 4 != 2}
+    rows = sorted((counts[i][::-1], y) for i, y in labels.items())
+    x, y = B.features(np.array([c[::-1] for c, _ in rows])), np.array([y for _, y in rows])
+    model = B.fit(x, y)
+    rng, good, bad = np.random.default_rng(7), model.pieces(x[y == 1]), model.pieces(x[y == 0])
+    n = 8 * max(len(good), len(bad))
+    a = np.resize(rng.permutation(len(good)), n)
+    d = good[a] - bad[rng.permutation(np.resize(rng.permutation(len(bad)), n))]
+    assert np.abs(d.T @ (1 / (1 + np.exp(d @ model.weights))) - model.weights).max() < 1e-3  # the gradient, with the penalty's
+    strength = model.strength(B.features(np.array([*counts.values()])))
+    want = dict(zip(counts, 1 / (1 + np.exp(-np.clip(np.log(7 / 3) + strength - model.threshold, -30, 30))), strict=True))
+    got = queries.op1_bradley_terry(spark, HUNDREDTH).collect()
+    assert len(got) == len(texts) and all(r.held_out == (crc(r.doc_id) % 4 == 2) and abs(r.score - want[r.doc_id]) < 1e-9 and r.predicted == (r.score >= 0.7) for r in got)
+
+
+@needs_tables
+def test_query_of_near_duplicates(spark):
+    found = queries.op3_bottom_k_near_dups(spark, HUNDREDTH).collect()
+    want = near_dups.slow_components([*texts_of(spark).items()], 2)
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in found} == want and len(found) == len(want) and all(r.kept == (r.doc_id == r.component_id) for r in found)
+
+
+@needs_tables
+def test_queries_of_token_ids(spark):
+    texts = texts_of(spark)
+    ids = dict(zip(texts, ([*x, 1] for x in direct_ids([*texts.values()])), strict=True))
+    at, want = 0, set()
+    for i, own in ids.items():
+        want.add((i, at, len(own), zlib.crc32(np.array(own, "<u4").tobytes())))
+        at += len(own)
+    found = queries.op8_sorted_string_tables(spark, HUNDREDTH).select("doc_id", "start", "n_tokens", "ids_crc32").collect()
+    assert len(found) == len(want) and {tuple(r) for r in found} == want
+
+    pieces, bins = queries.op5_vector_packing(spark, HUNDREDTH).collect(), {}
+    ends = {i: [] for i in ids}
+    for r in pieces:
+        assert r.ids_crc32 == zlib.crc32(np.array(ids[r.doc_id][r.start : r.start + r.length], "<u4").tobytes()) and r.doc_tokens == len(ids[r.doc_id]) and r.length > 0
+        ends[r.doc_id].append((r.start, r.start + r.length))
+        bins.setdefault(r.sequence_id, []).append((r.offset, r.offset + r.length))
+    for i, own in ends.items():
+        own.sort()
+        assert own[0][0] == 0 and own[-1][1] == len(ids[i]) and all(a[1] == b[0] for a, b in zip(own, own[1:]))
+    for own in bins.values():
+        own.sort()
+        assert own[0][0] == 0 and own[-1][1] <= 2048 and all(a[1] == b[0] for a, b in zip(own, own[1:]))
+    assert at > 0.98 * 2048 * (len(bins) - 8)  # each partition may end with a sequence that isn't full
+
+
+@needs_tables
+def test_query_of_media(spark):
+    texts, found = texts_of(spark), queries.op6_progressive_jpeg(spark, HUNDREDTH).collect()
+    assert len(found) == len(texts)
+    for r in found[::9]:
+        raw = texts[r.doc_id].encode()
+        full = raw + b"\xff" * (max(576, -(-len(raw) // 576) * 576) - len(raw))
+        media = progressive_jpeg.encode(full)
+        assert (r.n_bytes, r.payload_bytes, r.payload_sha256, r.tail_crc32) == (len(raw), len(full), hashlib.sha256(full).hexdigest(), zlib.crc32(full[-32:]))
+        assert (r.media_bytes, r.media_sha256) == (len(media), hashlib.sha256(media).hexdigest())
+    assert len({r.payload_sha256 for r in found}) == len({(r.payload_sha256, r.media_sha256, r.feature) for r in found})
+
+
+@needs_tables
+def test_query_of_toxicity(spark):
+    """Every score again: learned on the driver, each sentence by the three machines one after the other."""
+    X, texts = toxicity, texts_of(spark)
+    labels = {r.doc_id: r.toxic for r in table(spark, HUNDREDTH, "labels").collect() if r.toxic in (0, 1) and r.doc_id in texts and crc(r.doc_id) % 5 != 0}
+    sample, y = [texts[i] for i in labels], np.array([*labels.values()])
+    w = X.document_weights(X.minima(sample).view(np.int64))
+    sums = {t: [round(a, 6), round(b, 6)] for t, (a, b) in X.term_sums(sample, y.tolist(), w.tolist()).items()}
+    lexicon = X.lexicon_of(sums, [float(w[y == 0].sum()), float(w[y == 1].sum())])
+    scope, clause, paths = X.scope_grammar(), X.clause_grammar(), {}
+
+    def features(text):
+        out = dict.fromkeys(X.KINDS, 0.0)
+        for line in text.split("\n"):
+            a = b = 0
+            total = 0.0
+            for x, own in [*(p for word in line.split() for p in (paths.get(word) or paths.setdefault(word, lexicon.write(word)))), (X.END, 0.0)]:
+                if x == X.END:
+                    if kind := clause.finals.get(b, (None,))[0]:
+                        out[kind] += total
+                    total = 0.0
+                a, x, one = scope.arcs[a][x]
+                b, _, two = clause.arcs[b][x]
+                total += own + one + two
+        whole = sum(out.values())
+        return [min(v, 6.0) for v in (*out.values(), 100 * whole / (50 + text.count(" ") + text.count("\n")))]
+
+    x = {i: features(t) for i, t in texts.items()}
+    model = X.fit(None, np.array([x[i] for i in labels]), y)
+    p = 1 / (1 + np.exp(-(np.array([x[i] for i in labels]) @ model.weights + model.bias)))
+    each = np.where(y == 1, 0.5 / (y == 1).mean(), 0.5 / (y == 0).mean())
+    slope = np.array([x[i] for i in labels]).T @ (each * (y - p)) - 0.5 * (model.weights - np.array([*X.KINDS.values(), 0.0]))
+    assert np.abs(slope).max() < 1e-3
+    found = queries.op7_finite_state_toxicity(spark, HUNDREDTH).collect()
+    want = {i: 1 / (1 + np.exp(-np.clip(np.dot(v, model.weights) + model.bias, -30, 30))) for i, v in x.items()}
+    assert len(found) == len(texts) and all(r.held_out == (crc(r.doc_id) % 5 == 0) and abs(r.score - want[r.doc_id]) < 1e-5 for r in found)
+    assert any(r.predicted for r in found) and not all(r.predicted for r in found)
+
+
+@needs_tables
+def test_query_of_the_class_model(spark):
+    texts = texts_of(spark)
+    train = [crc(i) % 7 != 2 for i in texts]
+    want, n = slow_base([*texts.values()], train)
+    found = {r.doc_id: r for r in queries.op9_class_ngram_scores(spark, HUNDREDTH).collect()}
+    assert len(found) == len(texts)
+    for i, use, (tokens_, known, base) in zip(texts, train, want, strict=True):
+        r = found[i]
+        assert (r.held_out, r.n_tokens, r.n_known, r.train_tokens) == (not use, tokens_, known, n) and abs(r.base_score - base) < 1e-6 * max(1, -base)
+    docs = table(spark, HUNDREDTH, "documents").select(F.xxhash64("doc_id").bitwiseAND(3).alias("chunk"), F.coalesce("text", F.lit("")).alias("text"), (remainder("doc_id", 7) == 2).alias("held_out"))
+    words = class_lm.vocabulary(docs.where("not held_out").select("chunk", "text"), common.stored(class_lm.chunk_words(docs), "words")).collect()
+    assert np.allclose([found[i].score for i in texts], slow_scores([*texts.values()], train, words), rtol=1e-9, atol=1e-6)
+
+
 # -- the pipeline ----------------------------------------------------------------------------------------------------
 
 
