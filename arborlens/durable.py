@@ -56,10 +56,19 @@ def release(spark: SparkSession) -> None:
         remove(spark, path)
 
 
+#: Whether what an execution has shuffled goes with its end, rather than when the driver happens to collect garbage.
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def stored(df: DataFrame, what: str, **options: str) -> DataFrame:
     """Write df to the shared folder and read it back: the lineage ends there and a lost executor costs no recomputation. options: the writer's."""
     spark, path = df.sparkSession, new_path(df.sparkSession, what)
-    df.write.options(**options).parquet(path)
+    before = spark.conf.get(_CLEANUP, None)
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        df.write.options(**options).parquet(path)
+    finally:
+        spark.conf.set(_CLEANUP, before) if before else spark.conf.unset(_CLEANUP)
     out = spark.read.schema(df.schema).parquet(path)
     out._stored_at = path
     return out

@@ -8,12 +8,13 @@
    sketch needs no list. Frequent values are thus listed only by documents that consist of little else.
 3. In a list of up to SHORT classes all pairs are compared; in a longer one, dealt out in portions, each class is compared with one
    pivot, the class with the least hash for that value. A pair is a candidate if the union of both sketches estimates a similarity
-   of half the threshold or more.
+   of half the threshold or more. Lists hold the upper halves of the sketches' values: equal halves of different values can only add to an estimate.
 4. Candidates are verified on full sets; links give connected components.
 5. Long lists that still hold several components are finished exactly. Lists with the same main component are one group, in which
-   every class outside that component meets every class whose size allows the similarity, full set against full set, block by block; of a pair of
-   blocks only links between components that it hasn't linked yet come out. A group of thousands of similar documents is mostly one
-   component by then, so this costs what the strays cost; nothing is dropped or capped.
+   every class outside that component meets every class whose size allows the similarity, block by block: first sketch against sketch, by the
+   rule of step 3, which leaves the classes that have such a partner in another component; then these, full set against full set. Of a pair of
+   blocks only links between components that it hasn't linked yet come out. So texts that merely share a frequent value cost a sketch a block,
+   and full sets move only where sketches are alike; nothing is dropped or capped.
 
 All hashes rest on a key that is drawn for each call, after the texts are given, so no texts can be made whose different shingles meet; the
 results don't depend on it.
@@ -32,16 +33,18 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, GroupedData, Window
 from pyspark.sql import functions as F
 
 from . import kernels as K
-from .common import connected_components, join_counted, map_batches, stored, text_of
+from .common import connected_components, drop, join_counted, map_batches, stored, text_of
 
 SIZE, THRESHOLD, RETAINED, SHARE = 5, 0.8, 32, 0.4
 SHORT, PORTION = 16, 512
-#: Values of full sets, and sets, in a block of step 5.
-BLOCK, ROWS = 1 << 17, 160
+#: Values of full sets, and sets, in a block of step 5; sketches in a block of it.
+BLOCK, ROWS, SKETCHES = 1 << 17, 160, 384
+#: Bits of the largest filter that picks documents in place; with more than a fourth of them documents they are joined instead.
+BITS = 1 << 25
 _OTHER = np.uint64(0xA5A5A5A5A5A5A5A5)
 
 
@@ -123,9 +126,13 @@ def estimate(a: np.ndarray, b: np.ndarray, k: int) -> float:
     return len(np.intersect1d(np.intersect1d(a, b, True), union, True)) / len(union)
 
 
-def _lists(batch: pa.RecordBatch, place: int) -> list[np.ndarray]:
-    column = batch.column(place)
-    flat = column.values.to_numpy(zero_copy_only=False).view(np.uint64)
+def _halves(sketch: str):
+    """The upper 32 bits of a sketch's values, in the same order."""
+    return F.transform(sketch, lambda v: F.shiftright(v, 32).cast("int"))
+
+
+def _lists(column: pa.ListArray) -> list[np.ndarray]:
+    flat = column.values.to_numpy(zero_copy_only=False).view(np.uint32)
     at = column.offsets.to_numpy()
     return [flat[a:b] for a, b in zip(at[:-1], at[1:], strict=True)]
 
@@ -137,7 +144,7 @@ def _list_candidates(k: int, least: float):
         key, held, out, kind = None, [], [], None
         for batch in batches:
             kind = batch.schema.field(4).type
-            sketches = _lists(batch, 5)
+            sketches = _lists(batch.column(5))
             vs, portions, longs, _, ids, _ = (batch.column(c).to_pylist() if c < 5 else None for c in range(6))
             for r, now in enumerate(zip(vs, portions, strict=True)):
                 if now != key:
@@ -157,6 +164,34 @@ def _list_candidates(k: int, least: float):
     return run
 
 
+def _block_partners(k: int, least: float):
+    """Over the rows (comp, id, stray, sketch) of two blocks: the ids of strays and of others in another component that have sketches alike."""
+
+    def run(rows: pa.Table) -> pa.Table:
+        ids, comps = rows.column("id").combine_chunks(), rows.column("comp").combine_chunks().dictionary_encode().indices.to_numpy()
+        stray = rows.column("stray").combine_chunks().to_numpy(zero_copy_only=False)
+        sketches = [x for chunk in rows.column("sketch").chunks for x in _lists(chunk)]
+        right = np.flatnonzero(~stray)
+        sizes = np.array([len(sketches[r]) for r in right], np.int64)
+        values = np.concatenate([sketches[r] for r in right]) if len(right) else np.zeros(0, np.uint32)
+        owner = np.repeat(np.arange(len(right)), sizes)
+        order = np.argsort(values, kind="stable")
+        values, owner = values[order], owner[order]
+        found = np.zeros(len(stray), bool)
+        for x in np.flatnonzero(stray):
+            lo, hi = np.searchsorted(values, sketches[x], "left"), np.searchsorted(values, sketches[x], "right")
+            n = hi - lo
+            both = np.bincount(owner[np.repeat(lo - (np.cumsum(n) - n), n) + np.arange(n.sum())], minlength=len(right))
+            # no less than estimate() finds: what both hold may lie beyond the k least of the union
+            good = (both >= least * np.minimum(k, len(sketches[x]) + sizes - both) - 1e-9) & (comps[right] != comps[x])
+            if good.any():
+                found[x] = True
+                found[right[good]] = True
+        return pa.table([ids.filter(pa.array(found)).unique()], ["id"])
+
+    return run
+
+
 def _block_links(threshold: float):
     """Over the rows (comp, id, stray, members) of two blocks: links between strays and others, one for each pair of components.
 
@@ -209,6 +244,28 @@ def verified(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
     return map_batches(pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y"), run, f"a {kind}, b {kind}")
 
 
+def _picked(rows: DataFrame, ids: DataFrame) -> DataFrame:
+    """The rows (id, text) whose id is in ids, and maybe a few others: by a filter of at most BITS bits that tasks read rows through in place; only
+    for more ids by a join, which shuffles the texts. ids: a stored table."""
+    count, bits = ids.count(), 1 << 10
+    if 4 * count > BITS:
+        return rows.join(ids, "id", "left_semi")
+    while bits < BITS and bits < 16 * count:
+        bits *= 2
+    place = F.pmod(F.xxhash64("id"), F.lit(bits))
+    marks = ids.select(place.alias("p")).select(F.shiftright("p", 5).alias("w"), F.expr("shiftleft(1L, cast(p % 32 as int))").alias("m"))
+    marks = marks.groupBy("w").agg(F.bit_or("m").alias("m")).toArrow()  # BITS / 32 rows at most
+    words = np.zeros(bits // 32, np.uint32)
+    words[marks.column("w").to_numpy()] = marks.column("m").to_numpy().astype(np.uint32)
+    shared = rows.sparkSession.sparkContext.broadcast(words)
+
+    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+        p = batch.column(2).to_numpy()
+        return batch.select([0, 1]).filter(pa.array(shared.value[p >> 5] >> (p & 31).astype(np.uint32) & np.uint32(1) == 1))
+
+    return map_batches(rows.select("id", "text", place.alias("p")), run, f"id {rows.schema['id'].dataType.simpleString()}, text string")
+
+
 def full_sets(docs: DataFrame, ids: DataFrame, id_col: str, text_col: str, size: int, key: int, values: DataFrame | None = None) -> DataFrame:
     """(id, members) of the documents in ids, from whole texts. values: those of united()."""
 
@@ -224,13 +281,30 @@ def full_sets(docs: DataFrame, ids: DataFrame, id_col: str, text_col: str, size:
 
     schema = f"id {docs.schema[id_col].dataType.simpleString()}, members binary"
     if values is None:
-        return map_batches(_rows(docs, id_col, text_col).join(ids, "id", "left_semi"), run, schema)
+        return map_batches(_picked(_rows(docs, id_col, text_col), ids), run, schema)
     more = values.join(ids, "id", "left_semi").groupBy("id").agg(F.sort_array(F.collect_list("u")).alias("us"))
     plain = ids.join(values.select("id").distinct(), "id", "left_anti")
     same = map_batches(_rows(docs, id_col, text_col).join(plain, "id", "left_semi"), run, schema).groupBy("id").agg(F.min("members").alias("members"))
     return same.unionByName(map_batches(more, packed, schema))
 
 
+def _meetings(near: DataFrame, what: DataFrame, column: str, cost: Column | None, rows: int) -> GroupedData:
+    """Groups of the rows (comp, id, stray, column) of two blocks of a group's band: each block of its strays with each block of all its classes.
+    near: a stored table (main, id, comp, stray, n, own, band); what: (id, column). A block has about `rows` rows at most, and BLOCK of the cost, if given."""
+    x = F.col("stray") & (F.col("own") == F.col("band"))
+
+    def parts_of(one: Column) -> Column:
+        by_rows = F.ceil(F.sum(one) / rows)
+        return by_rows if cost is None else F.greatest(F.ceil(F.sum(one * cost) / BLOCK), by_rows)
+
+    blocks = near.groupBy("main", "band").agg(parts_of(x.cast("int")).alias("ps"), parts_of(F.lit(1)).alias("qs"), F.count("*").alias("size"))
+    h, zero = F.xxhash64("id"), F.lit(0).cast("bigint")
+    placed = join_counted(near, stored(blocks.where("ps > 0"), "blocks"), ["main", "band"], "size").join(what, "id")
+    ours = placed.where(x).select("main", "band", F.pmod(h, "ps").alias("p"), F.explode(F.sequence(zero, F.col("qs") - 1)).alias("q"), "id", "comp", "stray", column)
+    theirs = placed.select("main", "band", F.explode(F.sequence(zero, F.col("ps") - 1)).alias("p"), F.pmod(h, "qs").alias("q"), "id", "comp", F.lit(False).alias("stray"), column)
+    return ours.unionByName(theirs).groupBy("main", "band", "p", "q")
+
+
 def near_duplicates(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, size: int = SIZE, threshold: float = THRESHOLD, k: int = RETAINED
 ) -> DataFrame:
@@ -257,15 +331,16 @@ def near_duplicates(
     spread = F.when(~F.col("long"), F.array(F.lit(0))).when(own, F.sequence(F.lit(0), F.col("portions") - 1))
     spread = spread.otherwise(F.array(F.pmod(F.xxhash64("id"), F.col("portions")).cast("int")))
     dealt = members.select("v", F.explode(spread).alias("portion"), "long", own.alias("pivot"), "id")
-    rows = dealt.join(classes.select("id", "sketch"), "id").select("v", "portion", "long", "pivot", "id", "sketch")
+    sketches = classes.select("id", _halves("sketch").alias("sketch"))
+    rows = dealt.join(sketches, "id").select("v", "portion", "long", "pivot", "id", "sketch")
     rows = rows.repartition("v", "portion").sortWithinPartitions("v", "portion", F.desc("pivot"), "id")
     pairs = stored(rows.mapInArrow(_list_candidates(k, least), f"a {kind}, b {kind}").distinct(), "candidates")
 
     # 4
-    touched = listed.where(F.col("size") > SHORT).select("id")
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("id")).union(touched).distinct()
+    wanted = stored(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "wanted")
     sets = stored(full_sets(docs, wanted, id_col, text_col, size, key, values), "sets")
     links = stored(verified(pairs, sets, threshold), "links")
+    drop(sets)
     parts = connected_components(links)
 
     # 5
@@ -279,17 +354,12 @@ def near_duplicates(
         band = F.floor(F.log(F.col("n").cast("double")) / (1.001 * math.log(1 / threshold))).cast("int") if threshold < 1 else F.col("n").cast("int")
         group = group.join(classes.select("id", "n"), "id").select("*", (F.col("comp") != F.col("main")).alias("stray"), band.alias("own"))
         near = stored(group.select("*", F.explode(F.array(F.col("own") - 1, F.col("own"), F.col("own") + 1)).alias("band")), "group")
-        x = F.col("stray") & (F.col("own") == F.col("band"))
-
-        def parts_of(n, rows):
-            return F.greatest(F.ceil(F.sum(n) / BLOCK), F.ceil(F.sum(rows) / ROWS))
-
-        blocks = near.groupBy("main", "band").agg(parts_of(F.when(x, F.col("n")).otherwise(0), x.cast("int")).alias("ps"), parts_of(F.col("n"), F.lit(1)).alias("qs"), F.count("*").alias("size"))
-        h, places = F.xxhash64("id"), ["main", "band", "p", "q"]
-        placed = join_counted(near, stored(blocks.where("ps > 0"), "blocks"), ["main", "band"], "size").join(sets, "id")
-        ours = placed.where(x).select("main", "band", F.pmod(h, "ps").alias("p"), F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("qs") - 1)).alias("q"), "id", "comp", "stray", "members")
-        theirs = placed.select("main", "band", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("ps") - 1)).alias("p"), F.pmod(h, "qs").alias("q"), "id", "comp", F.lit(False).alias("stray"), "members")
-        more = stored(ours.unionByName(theirs).groupBy(*places).applyInArrow(_block_links(threshold), f"a {kind}, b {kind}"), "links")
+        found = _meetings(near, sketches, "sketch", None, SKETCHES).applyInArrow(_block_partners(k, least), f"id {kind}")
+        partners = stored(found.distinct(), "partners")
+        sets = stored(full_sets(docs, partners, id_col, text_col, size, key, values), "sets")
+        near = stored(near.join(partners, "id", "left_semi"), "near")
+        more = stored(_meetings(near, sets, "members", F.col("n"), ROWS).applyInArrow(_block_links(threshold), f"a {kind}, b {kind}"), "links")
+        drop(sets)
         if not more.isEmpty():
             parts = connected_components(links.unionByName(more))
 

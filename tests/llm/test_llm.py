@@ -262,6 +262,28 @@ def test_near_duplicates_of_long_lists(spark, monkeypatch):
     assert {r.doc_id: (r.n_shingles, r.component_id) for r in found} == near_dups.slow_components(docs, 2)
 
 
+def test_full_sets_move_only_where_sketches_are_alike(spark, monkeypatch):
+    """Texts that share a frequent phrase, and little else, don't meet by full sets; near copies among them do, whatever component they are in."""
+    monkeypatch.setattr(near_dups, "SKETCHES", 16)
+    asked, whole = [], near_dups.full_sets
+    monkeypatch.setattr(near_dups, "full_sets", lambda docs, ids, *a: asked.append({r.id for r in ids.collect()}) or whole(docs, ids, *a))
+    rng = random.Random(5)
+    docs = [(i, "so it is " + " ".join(f"w{rng.randrange(10**6)}" for _ in range(12))) for i in range(200)]
+    docs += [(i + 200, docs[i][1] + " more") for i in range(10)]
+    found = near_dups.near_duplicates(spark.createDataFrame(docs, "doc_id bigint, text string"), size=2).collect()
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in found} == near_dups.slow_components(docs, 2)
+    assert set().union(*asked) == {*range(10), *range(200, 210)}
+
+
+@pytest.mark.parametrize("bits", [1 << 25, 8])
+def test_documents_are_picked_in_place_or_by_a_join(spark, monkeypatch, bits):
+    monkeypatch.setattr(near_dups, "BITS", bits)
+    rows = spark.range(5000).select("id", F.col("id").cast("string").alias("text"))
+    ids = spark.range(5000).where("id % 9 = 0").union(spark.range(-3, 0))
+    got = {r.id for r in near_dups._picked(rows, ids).collect()}
+    assert {*range(0, 5000, 9)} <= got and len(got) < 1000 and near_dups._picked(rows, ids.limit(0)).count() == 0
+
+
 def test_components_of_many_edges(spark, monkeypatch):
     monkeypatch.setattr(common, "FEW", 0)
     test_components(spark)
