@@ -244,12 +244,12 @@ def verified(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
     return map_batches(pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y"), run, f"a {kind}, b {kind}")
 
 
-def _picked(rows: DataFrame, ids: DataFrame) -> DataFrame:
-    """The rows (id, text) whose id is in ids, and maybe a few others: by a filter of at most BITS bits that tasks read rows through in place; only
-    for more ids by a join, which shuffles the texts. ids: a stored table."""
+def _picked(rows: DataFrame, ids: DataFrame, f, schema: str) -> DataFrame:
+    """map_batches(f) of the rows (id, text) whose id is in ids, and maybe of a few others: by a filter of at most BITS bits that tasks read rows
+    through in place; only for more ids by a join, which shuffles the texts. ids: a stored table."""
     count, bits = ids.count(), 1 << 10
     if 4 * count > BITS:
-        return rows.join(ids, "id", "left_semi")
+        return map_batches(rows.join(ids, "id", "left_semi"), f, schema)
     while bits < BITS and bits < 16 * count:
         bits *= 2
     place = F.pmod(F.xxhash64("id"), F.lit(bits))
@@ -259,11 +259,12 @@ def _picked(rows: DataFrame, ids: DataFrame) -> DataFrame:
     words[marks.column("w").to_numpy()] = marks.column("m").to_numpy().astype(np.uint32)
     shared = rows.sparkSession.sparkContext.broadcast(words)
 
-    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+    def run(batch: pa.RecordBatch) -> pa.RecordBatch | None:
         p = batch.column(2).to_numpy()
-        return batch.select([0, 1]).filter(pa.array(shared.value[p >> 5] >> (p & 31).astype(np.uint32) & np.uint32(1) == 1))
+        some = batch.select([0, 1]).filter(pa.array(shared.value[p >> 5] >> (p & 31).astype(np.uint32) & np.uint32(1) == 1))
+        return f(some) if some.num_rows else None
 
-    return map_batches(rows.select("id", "text", place.alias("p")), run, f"id {rows.schema['id'].dataType.simpleString()}, text string")
+    return map_batches(rows.select("id", "text", place.alias("p")), run, schema)
 
 
 def full_sets(docs: DataFrame, ids: DataFrame, id_col: str, text_col: str, size: int, key: int, values: DataFrame | None = None) -> DataFrame:
@@ -281,7 +282,7 @@ def full_sets(docs: DataFrame, ids: DataFrame, id_col: str, text_col: str, size:
 
     schema = f"id {docs.schema[id_col].dataType.simpleString()}, members binary"
     if values is None:
-        return map_batches(_picked(_rows(docs, id_col, text_col), ids), run, schema)
+        return _picked(_rows(docs, id_col, text_col), ids, run, schema)
     more = values.join(ids, "id", "left_semi").groupBy("id").agg(F.sort_array(F.collect_list("u")).alias("us"))
     plain = ids.join(values.select("id").distinct(), "id", "left_anti")
     same = map_batches(_rows(docs, id_col, text_col).join(plain, "id", "left_semi"), run, schema).groupBy("id").agg(F.min("members").alias("members"))
