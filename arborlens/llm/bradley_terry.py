@@ -5,8 +5,10 @@ labelled 0) are fitted by the logistic loss on feature differences, with a ridge
 quantile of the strengths of the labelled sample is the threshold: the one with the best balanced accuracy. The score is a
 logistic curve through 0.7 at that threshold, so score >= 0.7 is the decision.
 
-The fit uses at most SAMPLE rows of each label, those with the smallest hashes of their ids, and PAIRS pairs; these
-bounds fix what the driver holds. Everything else covers all rows.
+The fit uses all labelled rows. With at most SAMPLE rows of each label the driver fits them itself, on at most PAIRS pairs. More are dealt by hashes of
+ids into groups of about GROUP rows, the scarcer label's rows into several where it takes that to give each group enough of them; every row of a group is in pairs with the
+group's rows of the other label. Tasks sum gradients and curvatures over all pairs, in whole numbers, so that no order of rows matters; the spread of the
+features and the threshold come from histograms of all rows. The driver holds sums and histograms, whose size doesn't depend on the rows.
 
 Cases: a null text is an empty one and is scored like any other; texts of any length are counted whole; labels other than 0 and 1, and labels
 without a document, are ignored; if an id has several labels the largest counts, and of several texts the one with the smallest counts is learned
@@ -28,7 +30,10 @@ from . import text_stats
 from .common import map_batches, stored, text_of
 
 SAMPLE, PAIRS, THRESHOLD = 12_000, 96_000, 0.7
+#: Rows of the more frequent label in a group, the least of the other one, and the unit of sums over groups.
+GROUP, FEW, UNIT = 4096, 512, 2.0**30
 _N = {c: k for k, c in enumerate(text_stats.COUNTS)}
+_WIDTH = 14
 
 
 def features(counts: np.ndarray) -> np.ndarray:
@@ -115,32 +120,126 @@ def counted(docs: DataFrame, id_col: str, text_col: str, keep: list[str] | None
     return map_batches(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")), count, f"id {kind}, counts array<bigint>")
 
 
-def sampled(labels: DataFrame, label: str, allowed: Column, id_col: str, sample: int) -> list[DataFrame]:
-    """(id, y) of at most `sample` allowed rows of labels, for y = 0 and for y = 1."""
+def labelled(labels: DataFrame, label: str, allowed: Column, id_col: str) -> DataFrame:
+    """(id, y) of all allowed rows of labels, with y in {0, 1}."""
     marks = labels.select(F.col(id_col).alias("id"), F.col(label).alias("y")).where(allowed & F.col("y").isin(0, 1) & F.col("id").isNotNull())
-    marks = marks.groupBy("id").agg(F.max("y").alias("y"))
-    return [marks.where(F.col("y") == y).orderBy(F.xxhash64("id"), "id").limit(sample) for y in (0, 1)]
+    return marks.groupBy("id").agg(F.max("y").alias("y"))
+
+
+def _grouped(rows: DataFrame, n: dict[int, int]) -> DataFrame:
+    """(g, good, bad): the features of each group's rows as bytes, in an order that depends on nothing but the rows. rows: (id, y, counts); n: rows by label."""
+    most = max(n, key=n.get)
+    groups = -(-n[most] // GROUP)
+    copies = min(groups, -(-groups * FEW // n[1 - most]))
+    places = F.when(F.col("y") == most, F.array(F.lit(0))).otherwise(F.sequence(F.lit(0), F.lit(copies - 1)))
+    dealt = rows.select("id", "y", "counts", F.explode(places).alias("copy"))
+    dealt = dealt.select("y", "counts", F.pmod(F.pmod(F.xxhash64("id"), F.lit(groups)) + F.col("copy"), F.lit(groups)).alias("g"))
+
+    def pack(rows: pa.Table) -> pa.Table:
+        x = np.array(rows.column("counts").to_pylist(), np.int64)
+        y = rows.column("y").to_numpy()
+        both = [features(z[np.lexsort(z.T)]).tobytes() for z in (x[y == 1], x[y == 0])]
+        return pa.table({"g": rows.column("g").slice(0, 1), "good": pa.array(both[:1], pa.binary()), "bad": pa.array(both[1:], pa.binary())})
+
+    return dealt.groupBy("g").applyInArrow(pack, "g bigint, good binary, bad binary")
+
+
+def _over_groups(groups: DataFrame, f, key: str) -> list:
+    """(key, n) over all groups, n being the sum of what f(g, good, bad) gives as arrays of keys and whole numbers."""
+
+    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+        keys, values = [], []
+        for g, *both in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            k, v = f(g, *(np.frombuffer(z, float).reshape(-1, _WIDTH) for z in both))
+            keys.append(k)
+            values.append(v)
+        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(x).astype(np.int64)) for x in (keys, values)], [key, "n"])
+
+    sums = map_batches(groups, run, f"{key} bigint, n bigint").groupBy(key).agg(F.sum(F.col("n").cast("decimal(38,0)")).alias("n"))
+    return sorted((r[0], int(r[1])) for r in sums.collect())
+
+
+def _ordered(x: np.ndarray, drop: int) -> np.ndarray:
+    """The leading bits of doubles as integers in the order of the numbers: all but the last `drop` bits."""
+    bits = np.ascontiguousarray(x + 0.0).view(np.int64)
+    return (bits ^ ((bits >> 63) & np.int64((1 << 63) - 1))) >> drop
+
+
+def _least(keys: np.ndarray, drop: int) -> np.ndarray:
+    """The least number with each of the leading bits that _ordered() gives."""
+    bits = keys.astype(np.int64) << drop
+    return (bits ^ ((bits >> 63) & np.int64((1 << 63) - 1))).view(float)
+
+
+def fit_groups(groups: DataFrame, seed: int = 7, ridge: float = 1.0, steps: int = 30) -> Model:
+    """fit() over a stored table of _grouped(): features to 1 in 256, thresholds to 1 in 1,024, of all rows."""
+    k, room = _WIDTH, 1 << 52
+
+    def spread(g: int, good: np.ndarray, bad: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        return np.unique(_ordered(good, 44) + np.arange(k) * np.int64(room), return_counts=True)
+
+    at = np.array(_over_groups(groups, spread, "bin"), np.int64)
+    # features are no less than 0, so a bin's number tells its feature
+    place, marks = at[:, 0] // room, []
+    for j in range(k):
+        own = at[place == j]
+        run = np.cumsum(own[:, 1])
+        marks.append(_least(own[np.searchsorted(run, np.array([0.05, 0.5, 0.95]) * run[-1]), 0] % room, 44))
+    low, centre, high = np.array(marks).T
+    model = Model(centre, np.maximum(high - low, 1e-3), np.zeros(3 * k), 0.0)
+
+    def sums(g: int, good: np.ndarray, bad: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        if not len(good) or not len(bad):
+            return np.zeros(0), np.zeros(0)
+        rng, n = np.random.default_rng([seed, g]), 8 * max(len(good), len(bad))
+        a = np.resize(rng.permutation(len(good)), n)
+        d = model.pieces(good)[a] - model.pieces(bad)[rng.permutation(np.resize(rng.permutation(len(bad)), n))]
+        p = 1 / (1 + np.exp(np.clip(d @ model.weights, -30, 30)))
+        both = np.concatenate([((d * (p * (1 - p))[:, None]).T @ d).ravel(), d.T @ p])
+        return np.arange(len(both)), np.rint(both * UNIT)
+
+    m = 3 * k
+    for _ in range(steps):
+        found = np.array([float(v) for _, v in _over_groups(groups, sums, "place")]) / UNIT
+        step = np.linalg.solve(found[: m * m].reshape(m, m) + ridge * np.eye(m), found[m * m :] - ridge * model.weights)
+        model.weights = model.weights + step
+        if np.abs(step).max() < 1e-6:
+            break
+
+    def strengths(g: int, good: np.ndarray, bad: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        return np.unique(np.concatenate([2 * _ordered(model.strength(z), 42) + c for c, z in ((1, good), (0, bad))]), return_counts=True)
+
+    at = np.array(_over_groups(groups, strengths, "bin"), np.int64)
+    bins = np.unique(at[:, 0] >> 1)
+    count = np.zeros((len(bins), 2))
+    count[np.searchsorted(bins, at[:, 0] >> 1), at[:, 0] & 1] = at[:, 1]
+    below = np.cumsum(count, 0) - count
+    right = below[:, 0] / count[:, 0].sum() + 1 - below[:, 1] / count[:, 1].sum()
+    best = np.flatnonzero(right >= right.max() - 1e-12)
+    model.threshold = float(_least(bins[best[len(best) // 2]][None], 42)[0])
+    return model
 
 
 def learn(counts: DataFrame, labels: DataFrame, label: str, allowed: Column, id_col: str = "doc_id", sample: int = SAMPLE) -> Model:
-    """Fit on the rows of counts (id, counts) whose id is in labels and allowed (a condition on `id`); only labels' ids and labels are shuffled with the counts."""
-    rows = []
-    for some in sampled(labels, label, allowed, id_col, sample):
-        rows += counts.join(some, "id").groupBy("id").agg(F.min("counts")).drop("id").collect()  # `sample` rows at most
-        rows.append(None)
-    cut = rows.index(None)
-    bad, good = rows[:cut], rows[cut + 1 : -1]
-    x = np.array([r[0] for r in bad + good], np.int64).reshape(-1, len(text_stats.COUNTS))
-    order = np.lexsort(x.T) if len(x) else np.zeros(0, np.int64)  # rows arrive in any order
-    y = np.r_[np.zeros(len(bad), int), np.ones(len(good), int)][order]
-    x = x[order]
-    return fit(features(x), y)
+    """Fit on all rows of counts (id, counts) whose id is in labels and allowed (a condition on `id`); only labels' ids and labels are shuffled with the counts.
+    With at most `sample` rows of each label the driver fits them."""
+    rows = counts.join(labelled(labels, label, allowed, id_col), "id").groupBy("id", "y").agg(F.min("counts").alias("counts"))
+    rows = stored(rows.select("id", F.col("y").cast("int").alias("y"), "counts"), "labelled")
+    n = {0: 0, 1: 0} | {r[0]: r[1] for r in rows.groupBy("y").count().collect()}
+    if min(n.values()) and max(n.values()) > sample:
+        return fit_groups(stored(_grouped(rows, n), "groups"))
+    found = rows.select("y", "counts").collect() if min(n.values()) else []  # `sample` rows of each label at most
+    x = np.array([r[1] for r in found], np.int64).reshape(-1, len(text_stats.COUNTS))
+    y = np.array([r[0] for r in found], int)
+    order = np.lexsort((y, *x.T)) if len(x) else np.zeros(0, np.int64)  # rows arrive in any order
+    return fit(features(x[order]), y[order])
 
 
 def learn_from(docs: DataFrame, labels: DataFrame, label: str, allowed: Column, id_col: str = "doc_id", text_col: str = "text", sample: int = SAMPLE) -> Model:
-    """learn() from texts that nobody has counted yet: only sampled documents are counted; their ids, at most 2 * sample, are broadcast."""
-    bad, good = sampled(labels, label, allowed, id_col, sample)
-    rows = docs.select(id_col, text_col).join(F.broadcast(bad.union(good).select(F.col("id").alias(id_col))), id_col, "left_semi")
+    """learn() from texts that nobody has counted yet. Of few labels, the ids are broadcast and only their documents counted; else all are, in place."""
+    rows, marks = docs.select(id_col, text_col), labelled(labels, label, allowed, id_col)
+    if marks.count() <= 2 * sample:
+        rows = rows.join(F.broadcast(marks.select(F.col("id").alias(id_col))), id_col, "left_semi")
     return learn(stored(counted(rows, id_col, text_col), "counts"), labels, label, allowed, id_col, sample)
 
 
