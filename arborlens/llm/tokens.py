@@ -13,7 +13,7 @@ from collections.abc import Iterable, Iterator
 import numpy as np
 
 #: Pieces that a worker keeps in each of two generations; the longest that it keeps; characters that are encoded together.
-CACHE, LONGEST, TOGETHER = 300_000, 48, 1 << 18
+CACHE, LONGEST, TOGETHER = 1_000_000, 48, 1 << 18
 _MARKS = frozenset(".,!?;:")
 _loaded: dict[str, Encoder] = {}
 

@@ -404,6 +404,16 @@ def test_ids_with_a_small_cache(monkeypatch):
     assert [np.frombuffer(x, "<u4").tolist() for x in tokens.Encoder(tokens.default_path()).encode_all(texts)] == direct_ids(texts)
 
 
+def test_words_of_a_large_vocabulary_are_encoded_once(monkeypatch):
+    e, asked = tokens.Encoder(tokens.default_path()), []
+    monkeypatch.setattr(e, "_word_ids", lambda words: asked.append(len(words)) or [b"" for _ in words])
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    texts = [" ".join(a + b + c + d for c in letters for d in letters) for a in letters for b in letters] * 2
+    texts += [t.replace(" ", "x ") for t in texts]
+    list(e.encode_all(texts))
+    assert sum(asked) < 1.01 * len({w for t in texts for w in t.split()})
+
+
 def test_packing_odd_rows(spark, odd, none):
     rows = packing.pack_documents(odd, with_ids=True).collect()
     want = [x + [1] for x in direct_ids(ODD)]
