@@ -65,27 +65,66 @@ def with_ends(h: np.ndarray, doc: np.ndarray, n: int) -> tuple[np.ndarray, np.nd
     return out, bounds
 
 
+class Index:
+    """Places in a sorted array of hashes: the leading bits tell where to look, and the few keys that aren't there within STEPS are searched for."""
+
+    STEPS = 4
+
+    def __init__(self, values: np.ndarray):
+        bits = min(22, len(values).bit_length() + 2)
+        self.values, self.shift = values, np.uint64(64 - bits)
+        self.padded = np.r_[values, np.uint64(2**64 - 1)]
+        below = np.cumsum(np.bincount((values >> self.shift).astype(np.int64), minlength=1 << bits))
+        self.first = np.r_[0, below[:-1]].astype(np.int32 if len(values) < 1 << 31 else np.int64)
+
+    def places(self, keys: np.ndarray) -> np.ndarray:
+        """The place of each key, len(values) for those that aren't there."""
+        at = self.first[(keys >> self.shift).astype(np.int64)].astype(np.int64)
+        low = np.flatnonzero(self.padded[at] < keys)
+        for _ in range(self.STEPS):
+            if not len(low):
+                break
+            at[low] += 1
+            low = low[self.padded[at[low]] < keys[low]]
+        if len(low):
+            at[low] = np.searchsorted(self.values, keys[low])
+        at[self.padded[at] != keys] = len(self.values)
+        return at
+
+
+def _summed_by(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct keys in ascending order and the sums of their counts."""
+    if not len(keys):
+        return keys, counts
+    order = np.argsort(keys)
+    keys = keys[order]
+    heads = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]])
+    return keys[heads], np.add.reduceat(counts[order], heads)
+
+
 class _Tally:
     """Counts of 64-bit keys in sorted arrays, merged as they grow; gives back what exceeds the bound."""
 
     def __init__(self):
         self.keys, self.counts, self.size = [], [], 0
 
+    def put(self, keys: np.ndarray) -> bool:
+        """Count keys, and give nothing back; whether all had to be merged."""
+        k, n = np.unique(keys, return_counts=True)
+        self.keys.append(k)
+        self.counts.append(n)
+        self.size += len(k)
+        if full := self.size > _HELD:
+            self.merge()
+        return full
+
     def add(self, keys: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        if len(keys):
-            k, n = np.unique(keys, return_counts=True)
-            self.keys.append(k)
-            self.counts.append(n)
-            self.size += len(k)
-            if self.size > _HELD:
-                self.merge()
-                if self.size > _HELD // 2:
-                    yield from self.drain()
+        if len(keys) and self.put(keys) and self.size > _HELD // 2:
+            yield from self.drain()
 
     def merge(self) -> None:
         if len(self.keys) > 1:
-            k, back = np.unique(np.concatenate(self.keys), return_inverse=True)
-            n = np.bincount(back, np.concatenate(self.counts)).astype(np.int64)
+            k, n = _summed_by(np.concatenate(self.keys), np.concatenate(self.counts))
             self.keys, self.counts, self.size = [k], [n], len(k)
 
     def drain(self) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -100,12 +139,11 @@ def _batches(key: np.ndarray, n: np.ndarray, names: list[str]) -> Iterator[pa.Re
         yield pa.RecordBatch.from_arrays([pa.array(key[a : a + (1 << 18)].view(np.int64)), pa.array(n[a : a + (1 << 18)])], names)
 
 
-def _symbols(tokens: np.ndarray, head: np.ndarray) -> np.ndarray:
-    """Place in the sorted head, len(head) for other words, len(head) + 1 for the end."""
-    if not len(head):
-        return np.where(tokens == END, 1, 0)
-    at = np.minimum(np.searchsorted(head, tokens), len(head) - 1)
-    return np.where(head[at] == tokens, at, np.where(tokens == END, len(head) + 1, len(head)))
+def _symbols(tokens: np.ndarray, head: Index) -> np.ndarray:
+    """Place in the head, len(head) for other words, len(head) + 1 for the end."""
+    at = head.places(tokens)
+    at[tokens == END] = len(head.values) + 1
+    return at
 
 
 def head_bigrams(texts: DataFrame, head: np.ndarray) -> np.ndarray:
@@ -113,11 +151,11 @@ def head_bigrams(texts: DataFrame, head: np.ndarray) -> np.ndarray:
     k = len(head) + 2
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table, held, size = np.zeros(k * k, np.int64), [], 0
+        table, held, size, index = np.zeros(k * k, np.int64), [], 0, Index(head)
         for batch in batches:
             for h, doc, n in _documents(text_of(batch.column(0))):
                 tokens, _ = with_ends(h, doc, n)
-                s = _symbols(tokens, head)
+                s = _symbols(tokens, index)
                 held.append(np.r_[k - 1, s[:-1]] * k + s)  # an end stands before each document
                 size += len(s)
                 if size > _HELD:
@@ -193,17 +231,25 @@ def tail_votes(texts: DataFrame, head: np.ndarray, group: np.ndarray) -> DataFra
     lookup = np.r_[group, -1, -1].astype(np.int64)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tallies = [_Tally() for _ in range(GROUPS)]
+        tallies, index = [_Tally() for _ in range(GROUPS)], Index(head)
+        words, votes, size = [], [], 0
 
         def out(g: int, found: tuple[np.ndarray, np.ndarray]) -> Iterator[pa.RecordBatch]:
             for b in _batches(*found, ["h", "n"]):
                 yield pa.RecordBatch.from_arrays([b.column(0), pa.array(np.full(b.num_rows, g, np.int32)), b.column(1)], ["h", "g", "n"])
 
+        def settle() -> Iterator[pa.RecordBatch]:
+            if words:
+                h, vote = np.concatenate(words), np.concatenate(votes)
+                for g in range(GROUPS):
+                    for found in tallies[g].add(h[vote == g]):
+                        yield from out(g, found)
+
         for batch in batches:
             for h, doc, _ in _documents(text_of(batch.column(0))):
                 if not len(h):
                     continue
-                s = _symbols(h, head)
+                s = _symbols(h, index)
                 known = lookup[s]
                 at = np.arange(len(h))
                 before = np.maximum.accumulate(np.where(known >= 0, at, -1))
@@ -213,14 +259,18 @@ def tail_votes(texts: DataFrame, head: np.ndarray, group: np.ndarray) -> DataFra
                 right = np.where(doc[np.minimum(after, len(h) - 1)] == doc, right, -1)
                 vote = np.where(left >= 0, left, np.where(right >= 0, right, 0))
                 other = s == len(head)
-                for g in range(GROUPS):
-                    for found in tallies[g].add(h[other & (vote == g)]):
-                        yield from out(g, found)
+                words.append(h[other])
+                votes.append(vote[other].astype(np.int8))
+                size += len(words[-1])
+                if size > _HELD // 2:
+                    yield from settle()
+                    words, votes, size = [], [], 0
+        yield from settle()
         for g in range(GROUPS):
             for found in tallies[g].drain():
                 yield from out(g, found)
 
-    return texts.mapInArrow(run, "h bigint, g int, n bigint").groupBy("h", "g").agg(F.sum("n").alias("n"))
+    return texts.mapInArrow(run, "h bigint, g int, n bigint").repartition("h").groupBy("h", "g").agg(F.sum("n").alias("n"))  # tasks have summed up already
 
 
 # -- words of chunks -------------------------------------------------------------------------------------------------
@@ -251,19 +301,31 @@ def chunk_words(docs: DataFrame) -> DataFrame:
         held: dict[int, list[tuple[np.ndarray, np.ndarray]]] = {}
         size = 0
 
+        def settle(raw: tuple[list[np.ndarray], list[np.ndarray]], parts: list) -> int:
+            """Counts of the words to learn from, and zeros for the others; how many they are."""
+            for words, learned in zip(raw, (1, 0), strict=True):
+                k, n = np.unique(np.concatenate([*words, np.zeros(0, np.uint64)]), return_counts=True)
+                parts.append((k, n * learned))
+            return len(parts[-1][0]) + len(parts[-2][0])
+
         def flush() -> Iterator[pa.RecordBatch]:
             for chunk, parts in held.items():
-                k, back = np.unique(np.concatenate([p[0] for p in parts]), return_inverse=True)
-                n = np.bincount(back, np.concatenate([p[1] for p in parts])).astype(np.int64)
+                k, n = _summed_by(*(np.concatenate([p[c] for p in parts]) for c in (0, 1)))
                 for b in _batches(k, n, ["h", "n"]):
                     yield pa.RecordBatch.from_arrays([pa.array(np.full(b.num_rows, chunk, np.int64)), *b.columns], ["chunk", "h", "n"])
 
         for chunk, rows in _runs(batches):
             use, at, parts = ~rows.column(2).to_numpy(zero_copy_only=False), 0, held.setdefault(chunk, [])
+            raw, waiting = ([], []), 0
             for h, doc, m in _documents(text_of(rows.column(1))):
-                k, back = np.unique(h, return_inverse=True)
-                parts.append((k, np.bincount(back, use[at + doc], minlength=len(k))))
-                at, size = at + m, size + len(k)
+                learned = use[at + doc]
+                raw[0].append(h[learned])
+                raw[1].append(h[~learned])
+                at, waiting = at + m, waiting + len(h)
+                if waiting > _HELD // 2:
+                    size += settle(raw, parts)
+                    raw, waiting = ([], []), 0
+            size += settle(raw, parts)
             parts.append((np.array([END], np.uint64), np.array([use.sum()])))
             if size > _HELD:
                 yield from flush()
@@ -287,49 +349,51 @@ class ChunkFiles:
         spark = known.sparkSession
         self.folder, self.counts = new_path(spark, "chunks"), counts
         self.n_files = n_files = max(int(spark.conf.get("spark.sql.shuffle.partitions")), rows // _IN_FILE)
-        file = F.pmod(F.col("chunk"), F.lit(n_files)).cast("int")
-        placed = known.select(file.alias("file"), "chunk", "h", "class", "n").repartitionById(n_files, F.col("file")).sortWithinPartitions("file", "chunk")
+        what = F.shiftleft("n", 8).bitwiseOR(F.col("class").cast("bigint")) if counts else F.col("class").cast("bigint")
+        # a partition is a file; one long to sort by is sorted by its digits
+        placed = known.select("chunk", "h", what.alias("what")).repartitionById(n_files, F.pmod(F.col("chunk"), F.lit(n_files)).cast("int")).sortWithinPartitions("chunk")
         folder = self.folder
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             fs, root = place_of(folder)
             fs.create_dir(root, recursive=True)
             stream = number = name = chunk = None
-            index, parts, at, out = [], [], 0, []
+            index, parts, at = [], [], 0
 
             def end_chunk() -> None:
                 nonlocal at
-                h, kind, n = (np.concatenate([p[c] for p in parts]) for c in range(3))
-                h, first = np.unique(h.view(np.uint64), return_index=True)
-                stream.write(h.tobytes() + (n[first].astype(np.int64).tobytes() if counts else b"") + kind[first].astype(np.uint8).tobytes())
+                h, what = (np.concatenate([p[c] for p in parts]) for c in range(2))
+                h = h.view(np.uint64)
+                order = np.argsort(h)
+                h = h[order]
+                first = np.r_[True, h[1:] != h[:-1]]
+                h, what = h[first], what[order[first]]
+                stream.write(h.tobytes() + ((what >> 8).tobytes() if counts else b"") + (what & 255).astype(np.uint8).tobytes())
                 index.append((chunk, at, len(h)))
                 at += len(h) * (17 if counts else 9)
 
-            def close() -> None:
-                stream.write(np.array(index, np.int64).T.tobytes() + struct.pack("<Q", len(index)))
-                stream.close()
-                out.append((number, name))
-
             for batch in batches:
                 if not batch.num_rows:
                     continue
-                files, chunks, h, kind, n = (batch.column(c).to_numpy() for c in range(5))
-                heads = np.flatnonzero(np.r_[True, (chunks[1:] != chunks[:-1]) | (files[1:] != files[:-1])])
+                chunks, h, what = (batch.column(c).to_numpy() for c in range(3))
+                if stream is None:
+                    number = int(chunks[0]) % n_files
+                    name = f"{number:06d}-{uuid.uuid4().hex}"
+                    stream = fs.open_output_stream(f"{root}/{name}")
+                if (chunks % n_files != number).any():
+                    raise ValueError("a partition holds chunks of several files")
+                heads = np.flatnonzero(np.r_[True, chunks[1:] != chunks[:-1]])
                 for a, b in zip(heads, np.r_[heads[1:], len(chunks)], strict=True):
-                    if parts and (files[a], chunks[a]) != (number, chunk):
+                    if parts and chunks[a] != chunk:
                         end_chunk()
                         parts = []
-                    if files[a] != number:
-                        if stream:
-                            close()
-                        number, name, index, at = int(files[a]), f"{int(files[a]):06d}-{uuid.uuid4().hex}", [], 0
-                        stream = fs.open_output_stream(f"{root}/{name}")
                     chunk = int(chunks[a])
-                    parts.append((h[a:b], kind[a:b], n[a:b]))
+                    parts.append((h[a:b], what[a:b]))
             if stream:
                 end_chunk()
-                close()
-                yield pa.RecordBatch.from_arrays([pa.array(x) for x in zip(*out, strict=True)], ["file", "name"])
+                stream.write(np.array(index, np.int64).T.tobytes() + struct.pack("<Q", len(index)))
+                stream.close()
+                yield pa.RecordBatch.from_arrays([pa.array([number]), pa.array([name])], ["file", "name"])
             return_memory()
 
         self.names = {r["file"]: r["name"] for r in stored(placed.mapInArrow(run, "file bigint, name string"), "names").collect()}  # a row a file
@@ -341,12 +405,13 @@ class ChunkFiles:
     def drop(self, spark) -> None:
         remove(spark, self.folder)
 
-    def get(self, chunk: int) -> tuple[np.ndarray, np.ndarray, np.ndarray | None]:
-        """(hashes, classes, counts) of a chunk; the last few are kept."""
+    def get(self, chunk: int) -> tuple[Index, np.ndarray, np.ndarray | None]:
+        """(index of the hashes, classes, counts) of a chunk; the last few are kept."""
         if chunk not in self.held:
             if len(self.held) > 3:
                 self.held.pop(next(iter(self.held)))
-            self.held[chunk] = self._read(chunk)
+            h, *rest = self._read(chunk)
+            self.held[chunk] = Index(h), *rest
         return self.held[chunk]
 
     def _read(self, chunk: int) -> tuple[np.ndarray, np.ndarray, np.ndarray | None]:
@@ -387,7 +452,8 @@ def vocabulary(docs: DataFrame, own: DataFrame, *, head_size: int = HEAD, rounds
     member[np.arange(len(label)), label] = 1
     group = exchange(member.T @ bigrams @ member, GROUPS, fixed=2)[:CLASSES]
     votes = tail_votes(texts, head, group[label[: len(head)]])
-    chosen = votes.groupBy("h").agg((F.max(F.struct("n", (-F.col("g")).alias("g")))["g"] * -1 + CLASSES).alias("class"))
+    first = F.max(F.col("n") * GROUPS + (GROUPS - 1) - F.col("g"))  # of the groups with most votes
+    chosen = votes.groupBy("h").agg((CLASSES + GROUPS - 1 - first % GROUPS).cast("int").alias("class"))
     spark = texts.sparkSession
     heads = spark.createDataFrame(pa.table({"h": head.view(np.int64), "head_class": label[: len(head)].astype(np.int32)}))
     out = counts.join(F.broadcast(heads), "h", "left").join(chosen, "h", "left")  # head_size rows at most
@@ -421,22 +487,23 @@ def neighbours(docs: DataFrame, own: DataFrame, words: DataFrame) -> DataFrame:
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size = [], 0
         for chunk, rows in _runs(batches):
-            h, kind, _ = files.get(chunk)
-            k, tally = len(h), _Tally()
-            h, kind = np.r_[h, END, RARE], np.r_[kind, END_CLASS, RARE_CLASS]
+            index, kind, _ = files.get(chunk)
+            k, tally, raw, waiting = len(index.values), _Tally(), [], 0
+            h, kind = np.r_[index.values, END, RARE], np.r_[kind, END_CLASS, RARE_CLASS]
             for g, doc, m in _documents(text_of(rows.column(1))):
                 t, _ = with_ends(g, doc, m)
-                at = np.minimum(np.searchsorted(h[:k], t), max(k - 1, 0))
-                at = np.where(t == END, k, np.where(h[at] == t, at, k + 1)) if k else np.where(t == END, k, k + 1)
+                at = index.places(t)
+                at[(at == k) & (t != END)] = k + 1
                 before = np.r_[k, at[:-1]]  # an end stands before each document
                 same = before == at
                 x = np.r_[at[~same] * 128 + kind[before[~same]], before[~same] * 128 + _AFTER + kind[at[~same]], at[same] * 128 + _SELF]
-                k_, n_ = np.unique(x, return_counts=True)
-                tally.keys.append(k_)
-                tally.counts.append(n_)
-                tally.size += len(k_)
-                if tally.size > _HELD:
-                    tally.merge()
+                raw.append(x)
+                waiting += len(x)
+                if waiting > _HELD:
+                    tally.put(np.concatenate(raw))
+                    raw, waiting = [], 0
+            if raw:
+                tally.put(np.concatenate(raw))
             for key, n in tally.drain():
                 held.append(_packed(h, kind, key, n))
                 size += len(key)
@@ -495,11 +562,10 @@ def _unpacked(codes: pa.ChunkedArray | pa.Array) -> tuple[np.ndarray, np.ndarray
 def _summed(rows: pa.Table) -> pa.Table:
     """Rows of neighbours(), in the order of h, with one row a word."""
     h, kind = rows.column("h").to_numpy(), rows.column("class").to_numpy()
-    heads = np.flatnonzero(np.r_[True, h[1:] != h[:-1]])
-    place = np.searchsorted(heads, np.arange(len(h)), "right") - 1
+    first = np.r_[True, h[1:] != h[:-1]]
+    heads, place = np.flatnonzero(first), np.cumsum(first) - 1
     row, code, n = _unpacked(rows.column("codes"))
-    key, back = np.unique(place[row] * 128 + code, return_inverse=True)
-    return _packed(h[heads].view(np.uint64), kind[heads], key, np.bincount(back, n).astype(np.int64))
+    return _packed(h[heads].view(np.uint64), kind[heads], *_summed_by(place[row] * 128 + code, n))
 
 
 def class_bigrams(found: DataFrame) -> np.ndarray:
@@ -537,16 +603,22 @@ def best_classes(kind: np.ndarray, row: np.ndarray, code: np.ndarray, n: np.ndar
     free, pairs = END_CLASS, pairs.astype(float)
     key, back = np.unique(n << 7 | code, return_inverse=True)
     c, m = key & 127, (key >> 7).astype(float)[:, None]
-    # the cell of each neighbour in each class: before, after, or the corner for the word itself
-    corner = np.broadcast_to(np.diag(pairs)[:free], (len(key), free))
-    cell = np.where((c == _SELF)[:, None], corner, np.where((c >= _AFTER)[:, None], pairs[:free, np.minimum(c % _AFTER, ALL_CLASSES - 1)].T, pairs[np.minimum(c % _AFTER, ALL_CLASSES - 1), :free]))
-    into = _xlogx(cell + m) - _xlogx(cell)
-    stay = _xlogx(cell) - _xlogx(np.maximum(cell - m, 0))
+    # the cell of a neighbour of each code in each class: before, after, or the corner for the word itself
+    cell = np.zeros((_SELF + 1, free))
+    cell[:ALL_CLASSES], cell[_AFTER : _AFTER + ALL_CLASSES], cell[_SELF] = pairs[:, :free], pairs[:free].T, np.diag(pairs)[:free]
+    held = _xlogx(cell)
+    into = _xlogx(cell[c] + m) - held[c]
     heads = np.flatnonzero(np.r_[True, row[1:] != row[:-1]])
     own = kind[row]
-    gain = into[back]
-    gain[np.arange(len(row)), own] = stay[back, own]
-    gain = np.add.reduceat(gain, heads, axis=0)
+    stay = held[code, own] - _xlogx(np.maximum(cell[code, own] - n, 0))
+    gain, bounds, a = np.empty((len(heads), free)), np.r_[heads, len(row)], 0
+    while a < len(heads):  # words of about 4,096 neighbours, whose table the caches hold
+        b = max(a + 1, int(np.searchsorted(bounds, bounds[a] + 4096, "right")) - 1)
+        p, q = bounds[a], bounds[b]
+        part = into[back[p:q]]
+        part[np.arange(q - p), own[p:q]] = stay[p:q]
+        np.add.reduceat(part, heads[a:b] - p, axis=0, out=gain[a:b])
+        a = b
     for side, total in ((code >= _AFTER, pairs.sum(1)[:free]), ((code < _AFTER) | (code == _SELF), pairs.sum(0)[:free])):
         w = np.add.reduceat(np.where(side, n, 0), heads).astype(float)[:, None]
         less = _xlogx(total + w) - _xlogx(total)
@@ -591,7 +663,7 @@ def encoded(docs: DataFrame, files: ChunkFiles, kind_of: str, tokens: int, kinds
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for chunk, rows in _runs(batches):
-            h, kind, n = files.get(chunk)
+            index, kind, n = files.get(chunk)
             base = np.r_[np.log10((n + 1) / (tokens + kinds + 1)), floor]
             own = np.where(kind == RARE_CLASS, (1 - unknown) / max(rare, 1), n / total[kind])
             emission = np.r_[np.log10(np.maximum(own, 1e-300)), np.log10(unknown / unseen)]
@@ -599,11 +671,10 @@ def encoded(docs: DataFrame, files: ChunkFiles, kind_of: str, tokens: int, kinds
             out = [[] for _ in range(5)]
             for g, doc, m in _documents(text_of(rows.column(1))):
                 t, bounds = with_ends(g, doc, m)
-                at = np.minimum(np.searchsorted(h, t), max(len(h) - 1, 0))
-                at = np.where(h[at] == t, at, len(h)) if len(h) else np.full(len(t), 0)
+                at = index.places(t)
                 starts = bounds[:-1]
                 out[0].append(np.diff(bounds))
-                out[1].append(np.add.reduceat((at < len(h)).astype(np.int64), starts))
+                out[1].append(np.add.reduceat((at < len(index.values)).astype(np.int64), starts))
                 out[2].append(np.add.reduceat(base[at], starts))
                 out[3].append(np.add.reduceat(emission[at], starts))
                 k = kind[at].tobytes()

@@ -770,6 +770,44 @@ def test_class_model(spark):
     assert sum(r.score for r in rows if r.held_out) > 0.95 * sum(r.base_score for r in rows if r.held_out)
 
 
+@pytest.mark.parametrize("crowded", [False, True])
+def test_index_finds_what_a_search_finds(crowded):
+    rng = np.random.default_rng(4)
+    top = np.uint64(2**64 - 1)
+    for n in (0, 1, 5, 3000):
+        h = rng.integers(0, 2**64, n, np.uint64)
+        h = np.unique(h >> np.uint64(44) if crowded else np.r_[h, h[:9] + np.uint64(1)])  # crowded: all with the same leading bits
+        keys = np.r_[h, h + np.uint64(1), rng.integers(0, 2**64, 500, np.uint64), np.uint64(0), class_lm.END, top]
+        for values in (h, np.unique(np.r_[h, top])):
+            want = [int(np.searchsorted(values, k)) if k in values else len(values) for k in keys]
+            assert class_lm.Index(values).places(keys).tolist() == want
+
+
+def test_votes_are_shuffled_once(spark):
+    texts = spark.createDataFrame([("x a b c",), ("x a x",), ("y a c",), (None,), ("",)], "text string")
+    x, y, a, b, c = (next(class_lm._documents(pa.array([w], pa.large_string())))[0][0] for w in "xyabc")
+    head = np.sort(np.array([x, y], np.uint64))
+    votes = class_lm.tail_votes(texts, head, np.where(head == x, 3, 5))
+    want = {(a, 3): 2, (a, 5): 1, (b, 3): 1, (c, 3): 1, (c, 5): 1}
+    assert {(np.int64(r.h).view(np.uint64), r.g): r.n for r in votes.collect()} == want
+    plan = votes.groupBy("h").agg(F.max("n"))._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1  # not by word and group, then by word again
+
+
+def test_chunk_files_give_back_the_words_of_any_chunk(spark):
+    rows = [(chunk, h, (h + 7) % 58, h % 1000 + 1) for chunk in (-(2**62) - 5, -13, -1, 0, 1, 12, 2**61 + 3) for h in range(-20, 30, 3)]
+    known = spark.createDataFrame(rows + rows[:40], "chunk bigint, h bigint, class int, n bigint")
+    for counts in (False, True):
+        files = class_lm.ChunkFiles(known, len(rows), counts)
+        for chunk in {r[0] for r in rows}:
+            index, kind, n = files.get(chunk)
+            own = sorted((int(np.int64(h).view(np.uint64)), k, m) for c, h, k, m in rows if c == chunk)
+            assert index.values.tolist() == [h for h, _, _ in own] and kind.tolist() == [k for _, k, _ in own]
+            assert n is None if not counts else n.tolist() == [m for _, _, m in own]
+        assert not len(files.get(99)[0].values)
+        files.drop(spark)
+
+
 def test_exchange_finds_alternating_classes():
     rng = np.random.default_rng(0)
     n = 20
