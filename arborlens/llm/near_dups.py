@@ -9,7 +9,9 @@
 3. In a list of up to SHORT classes all pairs are compared; in a longer one, dealt out in portions, each class is compared with one
    pivot, the class with the least hash for that value. A pair is a candidate if the union of both sketches estimates a similarity
    of half the threshold or more. Lists hold the upper halves of the sketches' values: equal halves of different values can only add to an estimate.
-4. Candidates are verified on full sets; links give connected components.
+4. Candidates are verified on full sets; links give connected components. Each class meets its least candidate first, in one shuffle
+   of the sets; of the other candidates only those between components that these links leave apart are verified, so a group of near
+   copies costs a set a copy, not a set a pair.
 5. Long lists that still hold several components are finished exactly. Lists with the same main component are one group, in which
    every class outside that component meets every class whose size allows the similarity, block by block: first sketch against sketch, by the
    rule of step 3, which leaves the classes that have such a partner in another component; then these, full set against full set. Of a pair of
@@ -37,7 +39,7 @@ from pyspark.sql import Column, DataFrame, GroupedData, Window
 from pyspark.sql import functions as F
 
 from . import kernels as K
-from .common import connected_components, drop, join_counted, map_batches, stored, text_of
+from .common import FEW, connected_components, drop, join_counted, map_batches, return_memory, stored, text_of
 
 SIZE, THRESHOLD, RETAINED, SHARE = 5, 0.8, 32, 0.4
 SHORT, PORTION = 16, 512
@@ -306,6 +308,48 @@ def _meetings(near: DataFrame, what: DataFrame, column: str, cost: Column | None
     return ours.unionByName(theirs).groupBy("main", "band", "p", "q")
 
 
+def _star_checks(threshold: float):
+    """Over rows (main, portion, centre, id, members) sorted by the first two, centres first: the pairs (a, b) of a centre and a row whose sets reach the threshold."""
+    percent = round(threshold * 100)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, centre = None, np.zeros(0, np.uint64)
+        for batch in batches:
+            good = []
+            for main, portion, first, m in zip(*(batch.column(c).to_pylist() for c in range(3)), batch.column(4), strict=True):
+                own = np.frombuffer(m.as_buffer(), np.uint64)
+                if first:
+                    key, centre = (main, portion), own.copy()
+                elif key != (main, portion):
+                    raise ValueError(f"no set of {main}")
+                both = 0 if first else len(np.intersect1d(centre, own, True))
+                good.append(not first and 100 * both >= percent * (len(centre) + len(own) - both))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(3)], ["a", "b"]).filter(pa.array(good, pa.bool_()))
+        return_memory()
+
+    return run
+
+
+def star_links(
+    pairs: DataFrame, docs: DataFrame, id_col: str, text_col: str, size: int, key: int, values: DataFrame | None, threshold: float
+) -> DataFrame:
+    """The pairs (a, b), for each b the one with the least a, whose full sets reach the threshold. pairs: a stored table with a < b.
+
+    Sets go to the least ids straight from the texts and aren't stored; an id with many partners has several portions, each with a copy of its set."""
+    kind = pairs.schema["a"].dataType.simpleString()
+    stars = stored(pairs.groupBy("b").agg(F.min("a").alias("a")), "stars")
+    centres = stored(stars.groupBy("a").agg(F.count("*").alias("size")), "centres")
+    portions = F.ceil(F.col("size") / PORTION).cast("int")
+    own = join_counted(stars, centres, ["a"], "size").select(F.col("b").alias("id"), F.col("a").alias("main"), F.pmod(F.xxhash64("b"), portions).cast("int").alias("portion"), F.lit(False).alias("centre"))
+    copies = centres.select(F.col("a").alias("id"), F.col("a").alias("main"), F.explode(F.sequence(F.lit(0), portions - 1)).alias("portion"), F.lit(True).alias("centre"))
+    places = stored(own.unionByName(copies), "places")
+    wanted = stored(places.select("id").distinct(), "wanted")
+    sets = full_sets(docs, wanted, id_col, text_col, size, key, values)
+    rows = sets.join(F.broadcast(places) if places.count() <= FEW else places, "id").select("main", "portion", "centre", "id", "members")
+    rows = rows.repartition("main", "portion").sortWithinPartitions("main", "portion", F.desc("centre"))
+    return rows.mapInArrow(_star_checks(threshold), f"a {kind}, b {kind}")
+
+
 def near_duplicates(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, size: int = SIZE, threshold: float = THRESHOLD, k: int = RETAINED
 ) -> DataFrame:
@@ -338,11 +382,19 @@ def near_duplicates(
     pairs = stored(rows.mapInArrow(_list_candidates(k, least), f"a {kind}, b {kind}").distinct(), "candidates")
 
     # 4
-    wanted = stored(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "wanted")
-    sets = stored(full_sets(docs, wanted, id_col, text_col, size, key, values), "sets")
-    links = stored(verified(pairs, sets, threshold), "links")
-    drop(sets)
+    links = stored(star_links(pairs, docs, id_col, text_col, size, key, values, threshold), "links")
     parts = connected_components(links)
+    ends = [parts.select(F.col("id").alias(c), F.col("component").alias(f"{c}_part")) for c in ("a", "b")]
+    apart = F.coalesce("a_part", "a") != F.coalesce("b_part", "b")
+    rest = stored(pairs.join(ends[0], "a", "left").join(ends[1], "b", "left").where(apart).select("a", "b"), "candidates")
+    if not rest.isEmpty():
+        wanted = stored(rest.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "wanted")
+        sets = stored(full_sets(docs, wanted, id_col, text_col, size, key, values), "sets")
+        more = stored(verified(rest, sets, threshold), "links")
+        drop(sets)
+        if not more.isEmpty():
+            links = links.unionByName(more)
+            parts = connected_components(links)
 
     # 5
     long = listed.where(F.col("size") > SHORT).join(parts, "id", "left")

@@ -302,6 +302,22 @@ def test_full_sets_move_only_where_sketches_are_alike(spark, monkeypatch):
     assert set().union(*asked) == {*range(10), *range(200, 210)}
 
 
+def test_near_copies_meet_one_copy_each(spark, monkeypatch):
+    """Each copy of a group is verified against one, not against all; only pairs that those links leave apart are verified besides."""
+    monkeypatch.setattr(near_dups, "PORTION", 4)
+    asked, whole = [], near_dups.verified
+    monkeypatch.setattr(near_dups, "verified", lambda pairs, *a: asked.extend(tuple(r) for r in pairs.collect()) or whole(pairs, *a))
+    rng = random.Random(11)
+    base = [" ".join(f"g{g}w{rng.randrange(10**6)}" for _ in range(60)) for g in range(6)]
+    docs = [(100 * g + k, f"{text} end{k}") for g, text in enumerate(base) for k in range(12)]
+    # 900 is like 901 and 901 like 902, but 900 is not like 902: the least candidate of 902 isn't linked to it
+    w = [f"c{i}" for i in range(60)]
+    docs += [(900 + k, " ".join(w[4 * k : 4 * k + 48])) for k in range(3)]
+    found = near_dups.near_duplicates(spark.createDataFrame(docs, "doc_id bigint, text string"), size=2).collect()
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in found} == near_dups.slow_components(docs, 2)
+    assert not [p for p in asked if p[0] < 900]
+
+
 @pytest.mark.parametrize("bits", [1 << 25, 8])
 def test_documents_are_picked_in_place_or_by_a_join(spark, monkeypatch, bits):
     monkeypatch.setattr(near_dups, "BITS", bits)
