@@ -29,6 +29,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -44,6 +45,8 @@ ROUNDS = 2
 #: In place of the hash of a word that occurs once. Codes of a word's neighbours: the class before it, _AFTER and the class after it, _SELF.
 RARE, _AFTER, _SELF = np.uint64(2), 64, 127
 _HELD = 1 << 21
+#: Codes of neighbours that are taken apart at once.
+_PART = 1 << 18
 #: Words of chunks in a file beyond the session's number of shuffle partitions.
 _IN_FILE = 1 << 26
 
@@ -486,6 +489,21 @@ def neighbours(docs: DataFrame, own: DataFrame, words: DataFrame) -> DataFrame:
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size = [], 0
+
+        def keep(h: np.ndarray, kind: np.ndarray, found: Iterator[tuple[np.ndarray, np.ndarray]]) -> Iterator[pa.RecordBatch]:
+            nonlocal size
+            for key, n in found:
+                held.append(_packed(h, kind, key, n))
+                size += len(key)
+            if size > 2 * _HELD:
+                yield from flush()
+
+        def flush() -> Iterator[pa.RecordBatch]:
+            nonlocal size
+            size = 0
+            for part in _by_word(held):
+                yield from _summed(part).to_batches()
+
         for chunk, rows in _runs(batches):
             index, kind, _ = files.get(chunk)
             k, tally, raw, waiting = len(index.values), _Tally(), [], 0
@@ -499,19 +517,14 @@ def neighbours(docs: DataFrame, own: DataFrame, words: DataFrame) -> DataFrame:
                 x = np.r_[at[~same] * 128 + kind[before[~same]], before[~same] * 128 + _AFTER + kind[at[~same]], at[same] * 128 + _SELF]
                 raw.append(x)
                 waiting += len(x)
-                if waiting > _HELD:
-                    tally.put(np.concatenate(raw))
+                if waiting > _HELD // 4:
+                    yield from keep(h, kind, tally.add(np.concatenate(raw)))
                     raw, waiting = [], 0
             if raw:
-                tally.put(np.concatenate(raw))
-            for key, n in tally.drain():
-                held.append(_packed(h, kind, key, n))
-                size += len(key)
-            if size > 2 * _HELD:
-                yield from _summed(_by_word(held)).to_batches()
-                held, size = [], 0
+                yield from keep(h, kind, tally.add(np.concatenate(raw)))
+            yield from keep(h, kind, tally.drain())
         if held:
-            yield from _summed(_by_word(held)).to_batches()
+            yield from flush()
         return_memory()
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -537,9 +550,18 @@ def neighbours(docs: DataFrame, own: DataFrame, words: DataFrame) -> DataFrame:
     return out
 
 
-def _by_word(tables: list[pa.Table]) -> pa.Table:
-    rows = pa.concat_tables(tables)
-    return rows.take(pa.array(np.argsort(rows.column("h").to_numpy(), kind="stable")))
+def _by_word(tables: list[pa.Table]) -> Iterator[pa.Table]:
+    """The rows of neighbours() in the order of h, in parts of about _PART codes, between which no word is divided; the list is emptied."""
+    rows = pa.concat_tables(tables).combine_chunks()
+    tables.clear()
+    order = np.argsort(rows.column("h").to_numpy(), kind="stable")
+    h = rows.column("h").to_numpy()[order]
+    heads = np.flatnonzero(np.r_[True, h[1:] != h[:-1]])
+    sizes = pc.binary_length(rows.column("codes")).to_numpy()[order] // 8
+    before = np.r_[0, np.cumsum(sizes, dtype=np.int64)][heads]
+    cuts = heads[np.flatnonzero(np.diff(before // _PART, prepend=-1))]
+    for a, b in zip(cuts, np.r_[cuts[1:], len(h)], strict=True):
+        yield rows.take(pa.array(order[a:b]))
 
 
 def _packed(h: np.ndarray, kind: np.ndarray, key: np.ndarray, n: np.ndarray) -> pa.Table:

@@ -4,7 +4,11 @@ import hashlib
 import os
 import random
 import struct
+import tracemalloc
 import zlib
+from collections import Counter
+from types import SimpleNamespace
+from unittest import mock
 
 import numpy as np
 import pyarrow as pa
@@ -858,6 +862,48 @@ def test_words_outside_the_head_are_exchanged(spark):
     assert right(plain) < 0.8 and right(found) > 0.95
 
 
+def test_neighbours_are_summed_in_parts(monkeypatch):
+    rng, c = np.random.default_rng(4), class_lm
+    chunks = [rng.integers(0, 50_000, (100, 1500)).astype("U") for _ in range(3)]
+    texts = [[" ".join(t) for t in chunk] for chunk in chunks]
+    hashes = [np.concatenate([h for h, _, _ in c._documents(pa.array(t, pa.large_string()))]) for t in texts]
+    known = {h: int(h % 48) for h in np.unique(np.concatenate(hashes)).tolist() if h % 5}
+    words = [np.array([h for h in np.unique(h).tolist() if h in known], np.uint64) for h in hashes]
+    files = [(c.Index(w), np.array([known[h] for h in w.tolist()]), None) for w in words]
+    monkeypatch.setattr(c, "ChunkFiles", lambda known, rows: SimpleNamespace(get=files.__getitem__, drop=lambda spark: None))
+    monkeypatch.setattr(c, "stored", lambda df, what: df)
+    monkeypatch.setattr(c, "F", SimpleNamespace(col=lambda name: 0))
+    monkeypatch.setattr(c, "_HELD", 1 << 18)
+    monkeypatch.setattr(c, "_PART", 1 << 14, raising=False)
+    docs = mock.MagicMock()
+    c.neighbours(docs, mock.MagicMock(), mock.MagicMock())
+    count = docs.select().mapInArrow.call_args[0][0]  # what a task runs
+    batches = [pa.RecordBatch.from_arrays([pa.array([i] * len(t)), pa.array(t)], ["chunk", "text"]) for i, t in enumerate(texts)]
+    del texts
+    tracemalloc.start()
+    found, held = [], 0
+    for b in count(iter(batches)):
+        held = max(held, tracemalloc.get_traced_memory()[1])
+        found.append(pa.RecordBatch.from_arrays([x.take(pa.array(range(len(x)))) for x in b.columns], b.schema.names))
+    tracemalloc.stop()
+    want = Counter()
+    for h in hashes:
+        for t in h.reshape(100, 1500).tolist():
+            t = [int(c.END), *(w if w in known else int(c.RARE) for w in t), int(c.END)]
+            kind = [c.END_CLASS if w == c.END else known.get(w, c.RARE_CLASS) for w in t]
+            for a, b, i, j in zip(t, t[1:], kind, kind[1:], strict=False):
+                want.update([(a, c._SELF)] if a == b else [(b, i), (a, c._AFTER + j)])
+    got = Counter()
+    for b in found:
+        h = b.column(0).to_numpy()
+        assert (h[1:] > h[:-1]).all()
+        h = h.view(np.uint64)
+        for i, code, n in zip(*(x.tolist() for x in c._unpacked(b.column(2))), strict=True):
+            got[int(h[i]), code] += n
+    assert got == want
+    assert held < 35e6  # bytes; 60 million if all codes are taken apart at once
+
+
 def slow_scores(texts, train, words):
     """The model's scores by plain Python, from the classes of the words' hashes."""
     import re
